@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import exact_dedup
+from attestra.llm import exact_dedup, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_kd_tree_shards": sharding.op9_kd_tree_shards,
 }
 
 ORACLES: dict[str, str] = {
