@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import bpe, exact_dedup, mixing, sharding, token_counts
+from attestra.llm import bpe, exact_dedup, language_id, mixing, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_language_id": language_id.op3_language_id,
     "op5_bpe_encode_decode": bpe.op5_bpe_encode_decode,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
