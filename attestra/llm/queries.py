@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import bpe, exact_dedup, language_id, mixing, sharding, token_counts
+from attestra.llm import bpe, exact_dedup, language_id, mixing, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,8 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_kd_tree_shards": sharding.op9_kd_tree_shards,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }
