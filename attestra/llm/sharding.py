@@ -97,7 +97,8 @@ def _narrow(units: DataFrame, open_: dict[int, Node]) -> None:
     spark = units.sparkSession
     at = [(i, n.dimension, n.low, max(1, -(-(n.high - n.low) // BINS))) for i, n in open_.items()]
     # At most one row for each open node, fewer than the shards.
-    state = F.broadcast(spark.createDataFrame(at, "_node int, _dim int, _low long, _step long"))
+    listed = ", ".join(f"({i}, {d}, {low}L, {step}L)" for i, d, low, step in at)
+    state = F.broadcast(spark.sql(f"SELECT * FROM VALUES {listed} AS t(_node, _dim, _low, _step)"))
     key = F.element_at(F.array(*DIMENSIONS), F.col("_dim") + 1)
     bins = units.join(state, "_node").withColumn("bin", F.floor((key - F.col("_low")) / F.col("_step")).cast("long")).where((F.col("bin") >= 0) & (F.col("bin") < BINS))
     found: dict[int, dict[int, tuple[int, int]]] = {}
