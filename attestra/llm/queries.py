@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import bpe, exact_dedup, language_id, mixing, sharding, substring_dedup, token_counts
+from attestra.llm import bpe, exact_dedup, jaccard_join, language_id, mixing, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_language_id": language_id.op3_language_id,
+    "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op5_bpe_encode_decode": bpe.op5_bpe_encode_decode,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": jaccard_join.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
 }
