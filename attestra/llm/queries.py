@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import bpe, exact_dedup, jaccard_join, language_id, mixing, sharding, substring_dedup, token_counts
+from attestra.llm import bpe, exact_dedup, html_content, jaccard_join, language_id, mixing, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_html_content": html_content.op2_html_content,
     "op3_language_id": language_id.op3_language_id,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op5_bpe_encode_decode": bpe.op5_bpe_encode_decode,
