@@ -8,7 +8,7 @@ from __future__ import annotations
 import random
 
 SYLLABLES = "ba ce di fo gu la me ni ro su ta ve wi xo zu an er in ou st tr al en ti re on is de la co ma".split()
-CONTENT_NAMES = ["article", "content", "post", "entry", "story", "main", "article-body", "post-content", "entry-content", "main-text", "text", "story_body", ""]
+CONTENT_NAMES = ["article", "content", "post", "entry", "story", "main", "article-body", "post-content", "entry-content", "main-text", "text", "story_body"]
 PARTS = {
     "nav": ["nav", "menu", "navbar", "navigation", "top-menu", "breadcrumb", "breadcrumbs", "pagination", "toc"],
     "header": ["header", "masthead", "site-header", "topbar", "branding", "logo"],
@@ -63,7 +63,7 @@ class Maker:
         for _ in range(r.choice([1, 2, 4, 7, 12])):
             kind = r.random()
             if kind < 0.72:
-                out.append(self.paragraph(1))
+                out.append(self.paragraph(1, *r.choice([(1, 6), (1, 6), (1, 6), (1, 2), (15, 60)])))
             elif kind < 0.79:
                 out.append(self.element("p", 1, self.words(1, 4, r.choice(["", "."]))))
             elif kind < 0.85:
@@ -121,7 +121,7 @@ class Maker:
         r = self.r
         body = self.body()
         tag = r.choice(["article", "article", "main", "div", "div", "section"])
-        name = r.choice(CONTENT_NAMES) if tag in ("article", "main") else r.choice(CONTENT_NAMES[:-1])
+        name = "" if tag in ("article", "main") and r.random() < 0.6 else r.choice(CONTENT_NAMES)
         main = self.element(tag, 1, body, name)
         before = [self.part(k) for k in ("notice", "header", "nav", "ad", "aside") if r.random() < 0.5]
         after = [self.part(k) for k in ("share", "form", "aside", "ad", "comments", "notice", "footer") if r.random() < 0.45]
