@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,21 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A small table from the driver's rows, sent as Arrow batches: no Python worker is started for it."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = [pa.array([r[i] for r in rows], kind.type, from_pandas=False) if not pa.types.is_list(kind.type) else _lists([r[i] for r in rows], kind.type) for i, kind in enumerate(kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=kinds), schema)
+
+
+def _lists(values: list, kind: pa.DataType) -> pa.Array:
+    names = [f.name for f in kind.value_type] if pa.types.is_struct(kind.value_type) else None
+    return pa.array([[dict(zip(names, x, strict=True)) if names else x for x in v] for v in values], kind)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII takes the quick built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

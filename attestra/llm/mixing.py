@@ -23,9 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import table, word_count, written
+from attestra.llm.common import local_table, table, word_count, written
 
 FINE_BITS = 12
+BROADCAST_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -73,8 +74,8 @@ def nearest_cut(sums: dict[int, int], want: float, bins: int) -> tuple[int, floa
     return bins, want
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix()) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, draws``.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``doc_id, size, source_size, target, draws``, and the columns named in ``keep`` as ``k_...``.
 
     ``draws`` is an array of ``(pass, shard, shuffle_key)``, one for each time the mix takes
     the document; empty if it doesn't. ``size`` counts words; null text has none. Null is a
@@ -85,29 +86,31 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
     u = F.xxhash64(F.lit(mix.seed), F.col(id_col))
-    base = written(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            key.alias("_source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.pmod(u, F.lit(mix.blocks)).cast("int").alias("_block"),
-            F.shiftrightunsigned(u, 64 - 2 * FINE_BITS).alias("_fine"),
-        ),
-        "mix",
+    rows_ = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        key.alias("_source"),
+        word_count(F.col(text_col)).alias("size"),
+        F.pmod(u, F.lit(mix.blocks)).cast("int").alias("_block"),
+        F.shiftrightunsigned(u, 64 - 2 * FINE_BITS).alias("_fine"),
+        *(F.col(c).alias(f"k_{c}") for c in keep),
     )
+    base = written(rows_.select("doc_id", "_source", "size", "_block", "_fine"), "mix")
     rows = base.groupBy("_source", "_block").agg(F.sum("size").alias("words")).collect()  # sources x blocks sums
     plan, rest = _block_plan(rows, mix)
     plan = _with_thresholds(base, plan, rest)
     schema = "_source string, _block int, source_size long, target double, _whole array<struct<pass:int,shard:int>>, _part array<struct<pass:int,shard:int>>, _below long"
-    planned = spark.createDataFrame(plan, schema)
+    planned = local_table(spark, plan, schema)
     taken = F.when(F.col("_fine") < F.col("_below"), F.concat("_whole", "_part")).otherwise(F.col("_whole"))
     # Keyed by source and block: a source with a third of all rows is spread over all its blocks.
-    return base.join(planned, ["_source", "_block"]).select(
+    if len(plan) <= BROADCAST_ROWS:  # beyond it both sides are shuffled
+        planned = F.broadcast(planned)
+    return (rows_ if keep else base).join(planned, ["_source", "_block"]).select(
         "doc_id",
         "size",
         "source_size",
         "target",
         F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(mix.seed + 1), F.col("doc_id"), d["pass"]).alias("shuffle_key"))).alias("draws"),
+        *(f"k_{c}" for c in keep),
     )
 
 
@@ -158,7 +161,7 @@ def _with_thresholds(base: DataFrame, plan: list[list], rest: dict[str, tuple[in
     spark, bins = base.sparkSession, 1 << FINE_BITS
     low, want = {s: 0 for s in rest}, {s: w for s, (_, w) in rest.items()}
     for shift in (FINE_BITS, 0):
-        at = spark.createDataFrame([(s, b, low[s], low[s] + (bins << shift)) for s, (b, _) in rest.items()], "_source string, _block int, _low long, _high long")
+        at = local_table(spark, [(s, b, low[s], low[s] + (bins << shift)) for s, (b, _) in rest.items()], "_source string, _block int, _low long, _high long")
         inside = base.join(at, ["_source", "_block"]).where("_fine >= _low AND _fine < _high")
         sums: dict[str, dict[int, int]] = {}
         for r in inside.groupBy("_source", F.expr(f"shiftright(_fine - _low, {shift})").cast("int").alias("bin")).agg(F.sum("size").alias("words")).collect():
