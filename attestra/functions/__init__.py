@@ -1 +1 @@
-"""Package part."""
+"""Scalar functions as Spark columns."""

@@ -1 +1 @@
-"""Package part."""
+"""Operators: DataFrames in, DataFrames out."""

@@ -1 +1 @@
-"""Package part."""
+"""Scans and sinks."""

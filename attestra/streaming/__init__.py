@@ -1 +1 @@
-"""Package part."""
+"""Structured Streaming forms of the work queue."""
