@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import bpe, exact_dedup, html_content, jaccard_join, language_id, mixing, sharding, substring_dedup, token_counts
+from attestra.llm import bpe, exact_dedup, html_content, jaccard_join, language_id, mixing, sharding, substring_dedup, token_counts, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op5_bpe_encode_decode": bpe.op5_bpe_encode_decode,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_topk_search": topk_search.op7_topk_search,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_kd_tree_shards": sharding.op9_kd_tree_shards,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
@@ -23,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": jaccard_join.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_topk_search": topk_search.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
 }
