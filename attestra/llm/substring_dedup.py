@@ -78,7 +78,7 @@ BYTE_VALUES = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
 class Slots:
-    """Hashes of the words of some texts in one row of slots, a separator after each text."""
+    """Hashes of the words of some texts in one row of slots, a separator before each text and after the last."""
 
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -96,13 +96,13 @@ class Slots:
         self.text_of = np.searchsorted(ends, first, side="right")
         with np.errstate(over="ignore"):
             words = stretch_hash(BYTE_VALUES[data], BASES[0])(first, last)
-        n = len(words) + len(texts)
+        n = len(words) + len(texts) + 1
         self.separator = np.ones(n, bool)
-        at = np.arange(len(words)) + self.text_of
+        at = np.arange(len(words)) + self.text_of + 1
         self.separator[at] = False
         self.hash = mixed(np.arange(n, dtype=U))
         self.hash[at] = words
-        self.begin = np.searchsorted(self.text_of, np.arange(len(texts))) + np.arange(len(texts))  # first slot of each text
+        self.begin = np.searchsorted(self.text_of, np.arange(len(texts))) + np.arange(len(texts)) + 1  # first slot of each text
 
 
 def parse(slots: Slots) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -196,6 +196,7 @@ def window_prints(text: bytes, first: np.ndarray, count: np.ndarray, window: int
     """Of each wanted window the row it is of and its fingerprint in two halves."""
     slots = Slots([text])
     row = np.repeat(np.arange(len(first)), count)
+    first = first + slots.begin[0]
     p = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
     return row, stretch_hash(slots.hash, BASES[0])(p, p + window), stretch_hash(mixed(slots.hash + U(17)), BASES[1])(p, p + window)
 
