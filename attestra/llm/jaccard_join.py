@@ -195,6 +195,8 @@ def unpack(data: bytes) -> tuple:
 
 
 def _packed(sign: np.ndarray, node: np.ndarray, flags: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    if not len(sign):
+        return
     part = ((sign & U(0xFFFF)) * U(parts) >> U(16) if parts <= 0xFFFF else mixed(sign) % U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     part, sign, node, flags = part[order], sign[order], node[order], flags[order]
