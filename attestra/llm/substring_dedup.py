@@ -14,8 +14,8 @@ with the least name. Windows side by side with one anchor are one row: about one
 2. Of the others, rows of equal name and equal stretch of words (128 bits together) are
    repeats in all their windows.
 3. Names that come with different stretches are verified window by window: one row of each
-   stretch is read again and its windows' 128-bit fingerprints counted, with the number of
-   rows they stand for. This decides which windows of a stretch repeat.
+   stretch is read again and its windows' fingerprints counted under the name (128 bits
+   together), with the number of rows they stand for. This decides which windows repeat.
 4. Each document drops the words that its repeated windows cover.
 
 All steps are keyed joins and pre-aggregated counts, so that a passage in a third of all
@@ -32,11 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from attestra.llm.common import drop_written, table, written
 
 ROUNDS = 4
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 600_000
+BROADCAST_ROWS = 400_000
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have inverses modulo 2^64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -158,6 +160,7 @@ def anchored_rows(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     valid = seps[at + window] == seps[at]
     open_ = valid.copy()
     name_of, occurrence, base = np.zeros(len(at), U), np.full(len(at), -1), 0
+    stretch_of = stretch_hash(slots.hash, BASES[1])
     for level, (name, low, high) in reversed(list(enumerate(parse(slots)))):
         if not open_.any():
             break
@@ -173,8 +176,13 @@ def anchored_rows(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
         least = np.full(len(at), np.iinfo(U).max, U)
         np.minimum.at(least, where, names)
         chosen = names == least[where]
-        symbol, where, names = symbol[chosen][::-1], where[chosen][::-1], names[chosen][::-1]
-        name_of[where], occurrence[where] = names, base + symbol  # the leftmost is written last
+        symbol, where = symbol[chosen][::-1], where[chosen][::-1]
+        # Named by all words that the symbol depends on: they are in the window, and rare where they don't repeat.
+        with np.errstate(over="ignore"):
+            full = mixed(stretch_of(low[some], high[some]) + mixed(name[some] + U(level)))
+        place = np.zeros(len(name), np.int64)
+        place[some] = np.arange(len(some))
+        name_of[where], occurrence[where] = full[place[symbol]], base + symbol  # the leftmost is written last
         open_[where] = False
         base += len(name)
     new = valid.copy()
@@ -187,18 +195,21 @@ def anchored_rows(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     last = np.flatnonzero(gone)
     changes = np.concatenate([[0, 0], np.cumsum(occurrence[1:] != occurrence[:-1])])[: len(at) + 1]
     several = changes[last + 1] != changes[first + 1]
-    stretch = stretch_hash(slots.hash, BASES[1])(first, last + window)
+    with np.errstate(over="ignore"):
+        other = mixed(slots.hash + U(29))
+    stretch = stretch_hash(other, BASES[0])(first, last + window)
     text = np.searchsorted(slots.begin, first, side="right") - 1
     return text, first - slots.begin[text], last - first + 1, name_of[first], stretch, several
 
 
-def window_prints(text: bytes, first: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each wanted window the row it is of and its fingerprint in two halves."""
+def window_prints(text: bytes, first: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each wanted window the row it is of and its fingerprint."""
     slots = Slots([text])
     row = np.repeat(np.arange(len(first)), count)
     first = first + slots.begin[0]
     p = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    return row, stretch_hash(slots.hash, BASES[0])(p, p + window), stretch_hash(mixed(slots.hash + U(17)), BASES[1])(p, p + window)
+    with np.errstate(over="ignore"):
+        return row, stretch_hash(mixed(slots.hash + U(17)), BASES[1])(p, p + window)
 
 
 def _encoded(values: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -218,6 +229,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows with (``left_semi``) or without (``left_anti``) their id in ``ids``: without a shuffle of texts while ids are few."""
+    few = ids.count() <= BROADCAST_ROWS
+    ids = ids.toDF("o_id", "o_tag")
+    return rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("tag") == F.col("o_tag")), how)
+
+
 def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     """Intervals of repeated windows of ``rows`` (``doc_id, tag, text``): ``doc_id, tag, first, last``."""
 
@@ -236,42 +254,43 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     names = found.groupBy("name").agg(F.count(F.lit(1)).alias("uses"), F.max("several").alias("any")).where("uses > 1 OR any").select("name")
     shared = written(found.join(names, "name", "left_semi"), "shared-anchors")
     drop_written(found)
-    stretches = shared.groupBy("name", "stretch").agg(
-        F.count(F.lit(1)).alias("uses"), F.min(F.struct("doc_id", "tag", "first", "n")).alias("one"), F.max("several").alias("several")
-    )
-    kinds = stretches.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("differ"), F.max("several").alias("several")).select("name", (F.col("differ") | F.col("several")).alias("open"))
-    kinds = written(stretches.join(kinds, "name").select("name", "stretch", "uses", "one", "open"), "stretches")
-    whole = shared.join(kinds.where("NOT open").select("name", "stretch"), ["name", "stretch"], "left_semi")
-    whole = whole.select("doc_id", "tag", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    kinds = shared.groupBy("name").agg(((F.min("stretch") != F.max("stretch")) | F.max("several")).alias("open"))
+    known = written(shared.join(kinds, "name").select("name", "stretch", "doc_id", "tag", "first", "n", "open"), "known-anchors")
+    drop_written(shared)
+    whole = known.where("NOT open").select("doc_id", "tag", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    some = known.where("open")
 
     # Windows of one row of each stretch that needs a closer look.
-    asked = kinds.where("open").select(F.col("one.doc_id").alias("a_id"), F.col("one.tag").alias("a_tag"), F.struct("name", "stretch", F.col("one.first").alias("first"), F.col("one.n").alias("n"), "uses").alias("ask"))
-    asked = asked.groupBy("a_id", "a_tag").agg(F.collect_list("ask").alias("asks"))  # within one document
-    joined = rows.join(asked, rows["doc_id"].eqNullSafe(asked["a_id"]) & (rows["tag"] == asked["a_tag"])).select("text", "asks")
+    stretches = some.groupBy("name", "stretch").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct("doc_id", "tag", "first", "n")).alias("one"))
+    asked = stretches.groupBy(F.col("one.doc_id").alias("a_id"), F.col("one.tag").alias("a_tag")).agg(F.collect_list(F.struct("name", "stretch", F.col("one.first").alias("first"), F.col("one.n").alias("n"), "uses")).alias("asks"))  # within one document
+    asked = written(asked, "asked")
+    joined = _only(rows, asked.select("a_id", "a_tag"), "left_semi").join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("tag") == F.col("a_tag"))).select("text", "asks")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in range(4)]
             asks = batch.column(1)
             flat, cuts = asks.flatten(), np.concatenate([[0], np.cumsum(asks.value_lengths().to_numpy(zero_copy_only=False))])
             name, stretch, first, n, uses = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             for i, text in enumerate(batch.column(0).to_pylist()):
                 own = slice(cuts[i], cuts[i + 1])
-                row, one, two = window_prints(text.encode(), first[own].astype(np.int64), n[own].astype(np.int64), window)
+                row, print_ = window_prints(text.encode(), first[own].astype(np.int64), n[own].astype(np.int64), window)
                 place = np.arange(len(row)) - np.searchsorted(row, row)
-                for k, x in enumerate((one.view(np.int64), two.view(np.int64), name[own][row], stretch[own][row], place.astype(np.int32), uses[own][row])):
+                for k, x in enumerate((name[own][row], print_.view(np.int64), stretch[own][row], place << 32 | np.minimum(uses[own][row], 2))):
                     out[k].append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["one", "two", "name", "stretch", "place", "uses"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["name", "print", "stretch", "at"])
 
-    prints_ = written(joined.mapInArrow(prints, "one long, two long, name long, stretch long, place int, uses long"), "window-prints")
-    again = prints_.groupBy("one", "two").agg(F.sum("uses").alias("uses")).where("uses > 1").select("one", "two")
-    places = prints_.join(again, ["one", "two"], "left_semi").groupBy("name", "stretch").agg(F.sort_array(F.collect_set("place")).alias("places"))  # within one row
+    # Equal windows have one anchor name, so that name and fingerprint together are 128 bits.
+    prints_ = joined.mapInArrow(prints, "name long, print long, stretch long, at long")
+    uses = F.sum(F.col("at").bitwiseAND(3)).over(Window.partitionBy("name", "print"))
+    again = prints_.withColumn("uses", uses).where("uses > 1").select("name", "stretch", F.shiftright("at", 32).cast("int").alias("place"))
+    places = again.groupBy("name", "stretch").agg(F.sort_array(F.collect_set("place")).alias("places"))  # within one row
     # Places side by side as intervals.
     begins = F.filter(F.col("places"), lambda p: ~F.array_contains("places", p - 1))
     ends = F.filter(F.col("places"), lambda p: ~F.array_contains("places", p + 1))
     spans = places.select("name", "stretch", F.explode(F.arrays_zip(begins.alias("b"), ends.alias("e"))).alias("s")).select("name", "stretch", F.col("s.b").alias("b"), F.col("s.e").alias("e"))
-    partly = shared.join(spans, ["name", "stretch"]).select("doc_id", "tag", (F.col("first") + F.col("b")).alias("first"), (F.col("first") + F.col("e")).alias("last"))
+    partly = some.join(spans, ["name", "stretch"]).select("doc_id", "tag", (F.col("first") + F.col("b")).alias("first"), (F.col("first") + F.col("e")).alias("last"))
     return whole.unionByName(partly)
 
 
@@ -285,8 +304,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     window keep all. Rows that repeat an id are texts of their own, so that two equal rows
     repeat each other. An empty table gives an empty result. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    tag = F.hash(F.col(text_col)) if ids.where("n > 1").take(1) else F.lit(0)  # tells rows of one id apart
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = repeated_windows(rows, window).groupBy(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag")).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = written(spans, "spans")
     kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), "kept_sha256": pa.string(), "spans": pa.list_(pa.list_(pa.int32()))}
     names = {"n_words": "long", "n_removed": "long", "kept_text": "string", "kept_sha256": "string", "spans": "array<array<int>>"}
 
@@ -315,8 +337,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out[o].append(values[o])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[o], kinds[o]) for o in outputs)], names=["doc_id", *outputs])
 
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["s_id"]) & (rows["tag"] == spans["s_tag"]), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, ", ".join(["doc_id long", *(f"{o} {names[o]}" for o in outputs)]))
+    ids = spans.select("s_id", "s_tag")
+    touched = _only(rows, ids, "left_semi").join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("tag") == F.col("s_tag"))).select("doc_id", "text", "spans")
+    others = _only(rows, ids, "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    schema = ", ".join(["doc_id long", *(f"{o} {names[o]}" for o in outputs)])
+    return touched.mapInArrow(cut, schema).unionByName(others.mapInArrow(cut, schema))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
