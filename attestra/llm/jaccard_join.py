@@ -10,14 +10,17 @@ one has. So hash the tokens into more segments than that: some segment of both m
   is worth two units, for it finds partners that differ there in one token.
 * Cost-based allocation. A set needs ``H + 1`` units, ``H`` being the difference its size
   allows. Segments that no other set shares cost nothing and are allocated first; a set
-  that meets its need by them has no partner and leaves. Only sets that must also spend
-  units on shared segments, nearly all of them near copies, stay.
+  that meets its need by them has no partner and leaves. The others, nearly all of them
+  near copies, allocate their cheapest shared segments next, and leave the dearest (a
+  common passage, say) out as far as their spare units reach.
 * Sets whose tokens leave too many segments empty (rare) are found by their least tokens:
   partners share one of the ``n / 4 + 1`` least.
-* Verification counts the common shingles of whole sets. Members of a bucket are compared
-  with its leader; links give components; then every pair that shared a leader and still
-  lies in different components is compared, until none is left. So all pairs that could
-  join components are decided, without listing the pairs inside a group of copies.
+* Verification counts the common shingles of whole sets. Sets that stay and share a
+  signature form candidate groups, by connected components over bucket members and leaders.
+  A group is cut into blocks of bounded size; each pair of blocks is one task, which counts
+  common shingles through an inverted index and returns links that join what was apart, a
+  spanning forest, never the pairs inside a group of copies. Every linked pair is in one
+  group, so none is lost.
 
 Equal sets are one node. Signatures travel as packed arrays, some 10 bytes each; a segment
 that very many sets of one batch share is reduced to the batch's leader before the shuffle.
@@ -31,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from attestra.llm.common import drop_written, table, written
 from attestra.llm.components import components
@@ -40,9 +44,10 @@ U = np.uint64
 SHINGLE = 5
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 TINY = 5  # sets up to this size differ from partners in one token at most: one segment will do
-BATCH_BYTES, BATCH_TEXTS = 2_000_000, 4096
+BATCH_BYTES, BATCH_TEXTS = 600_000, 4096
 HOT = 256  # sets of one batch in one bucket
-PER_PART = 1_000_000  # signatures
+PER_PART, PER_SORT, LEAST_PARTS = 4_000_000, 600_000, 64  # signatures
+BLOCK_TOKENS = 1_000_000
 BROADCAST_ROWS = 400_000
 OWN, BELOW, FAILS = 0, 1, 2
 
@@ -167,7 +172,8 @@ def least_tokens(sets: Sets, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 ROWS = "part int, packed binary"
-FOUND = "node long, leader long, role int, weight int, alias boolean"
+FOUND = "node long, hub long, cost int, role int, weight int"
+ALWAYS = 63  # cost of a bucket that was reduced to leaders of batches
 
 
 def pack(part: int, sign: np.ndarray, node: np.ndarray, flags: np.ndarray) -> tuple[int, bytes]:
@@ -177,9 +183,15 @@ def pack(part: int, sign: np.ndarray, node: np.ndarray, flags: np.ndarray) -> tu
     return part, b"".join([head, (sign >> U(32)).astype(np.uint32).tobytes(), ((sign >> U(16)) & U(0xFFFF)).astype(np.uint16).tobytes(), (at.astype(np.uint16) | (flags << 12).astype(np.uint16)).tobytes(), nodes.tobytes()])
 
 
-def pack_found(part: int, node: np.ndarray, leader: np.ndarray, role: np.ndarray, weight: np.ndarray) -> tuple[int, bytes]:
+def hub_of(leader: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Buckets with one leader and about one size hang together."""
+    with np.errstate(over="ignore"):
+        return mixed(leader.view(U) + mixed(cost.astype(U) + U(5))).view(np.int64)
+
+
+def pack_found(part: int, node: np.ndarray, hub: np.ndarray, role: np.ndarray, weight: np.ndarray) -> tuple[int, bytes]:
     head = np.array([1, len(node), 0], np.uint32).tobytes()
-    return part, b"".join([head, node.tobytes(), leader.tobytes(), role.astype(np.int32).tobytes(), weight.astype(np.int32).tobytes()])
+    return part, b"".join([head, node.tobytes(), hub.tobytes(), role.astype(np.int32).tobytes(), weight.astype(np.int32).tobytes()])
 
 
 def unpack(data: bytes) -> tuple:
@@ -205,37 +217,41 @@ def _packed(sign: np.ndarray, node: np.ndarray, flags: np.ndarray, parts: int) -
         yield pack(int(part[a]), sign[a:b], node[a:b], flags[a:b])
 
 
-def _batch_rows(sets: Sets, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Packed signatures of a batch by part; what a hot bucket of the batch already tells goes along as found."""
+def _gathered(sets: Sets) -> tuple[np.ndarray, ...]:
+    """Signatures of a batch with node and flags, and its sets' spare units as debts, with node and kind."""
     sign, text, role, weight, spare = signatures(sets)
-    node = sets.node[text]
-    flags = role | (weight - 1) << 1
+    named, at = np.unique(sets.node, return_index=True)
+    at = at[sets.size[at] > 0]
+    named = sets.node[at]
+    fails = spare[at, OWN] < 0
+    who = np.concatenate([named, named, named[fails]])
+    kinds = np.concatenate([np.full(len(named), OWN), np.full(len(named), BELOW), np.full(int(fails.sum()), FAILS)])
+    debts = np.concatenate([-spare[at, OWN], -spare[at, BELOW], sets.size[at][fails]])
+    return sign, sets.node[text], role | (weight - 1) << 1, who, kinds, debts
+
+
+def _batch_rows(gathered: list[tuple[np.ndarray, ...]], parts: int) -> Iterator[tuple[int, bytes]]:
+    """Packed signatures of some batches by part; what a hot bucket among them already tells goes along as found."""
+    sign, node, flags, who, kinds, debts = (np.concatenate(x) for x in zip(*gathered, strict=True))
     order = np.lexsort((node, sign))
-    sign, node, flags, role, weight = sign[order], node[order], flags[order], role[order], weight[order]
+    sign, node, flags = sign[order], node[order], flags[order]
     once = np.ones(len(sign), bool)
     once[1:] = (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])
-    sign, node, flags, role, weight = sign[once], node[once], flags[once], role[once], weight[once]
-    start = np.flatnonzero(np.diff(sign, prepend=sign[:1] + U(1))) if len(sign) else np.zeros(0, np.int64)
+    sign, node, flags = sign[once], node[once], flags[once]
+    start = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]])) if len(sign) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(sign)))
     hot = np.repeat(size > HOT, size)
     if hot.any():
         leader = np.repeat(node[start], size)
         spread = int(mixed(node[:1].view(U))[0] % U(parts))
-        yield pack_found(spread, node[hot], leader[hot], role[hot], weight[hot])
+        yield pack_found(spread, node[hot], hub_of(leader[hot], np.full(int(hot.sum()), ALWAYS)), flags[hot] & 1, (flags[hot] >> 1) + 1)
         first = np.zeros(len(sign), bool)
         first[start] = True
         flags = flags | np.where(hot, 4, 0)
         keep = ~hot | first
         sign, node, flags = sign[keep], node[keep], flags[keep]
     yield from _packed(sign, node, flags, parts)
-    # Spare units as a debt, once for each node: by node, so that copies meet and count once.
-    named, at = np.unique(sets.node, return_index=True)
-    at = at[sets.size[at] > 0]
-    named = sets.node[at]
-    fails = spare[at, OWN] < 0
-    who = np.concatenate([named, named, named[fails]])
-    kinds = np.concatenate([np.full(len(named), OWN), np.full(len(named), BELOW), np.full(int(fails.sum()), FAILS)])
-    debts = np.concatenate([-spare[at, OWN], -spare[at, BELOW], sets.size[at][fails]])
+    # Debts go by node, so that copies meet and count once.
     part = (mixed(who.view(U)) % U(parts)).astype(np.int64)
     for p in np.unique(part).tolist():
         own = part == p
@@ -243,21 +259,31 @@ def _batch_rows(sets: Sets, parts: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _close(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """What the signatures of one part tell: members of each bucket with its leader, and debts."""
-    sign, node, flags, out = [], [], [], []
-    debts: list[np.ndarray] = []
+    """What the signatures of one part tell: members of each bucket with its hub, and debts. Signatures are
+    taken in ranges of about ``PER_SORT``, so that sorting them takes bounded memory."""
+    total, debts, packed = 0, [], []
     for data in blobs:
-        if data[0] == 2:
-            n = int(np.frombuffer(data, np.uint32, 2)[1])
+        kind, n = np.frombuffer(data, np.uint32, 2).tolist()
+        if kind == 2:
             debts.append(np.stack([np.frombuffer(data, np.int64, n, 12), np.frombuffer(data, np.int32, n, 12 + 8 * n), np.frombuffer(data, np.int32, n, 12 + 12 * n)]))
-            continue
-        kind, *x = unpack(data)
-        if kind:
-            out.append((x[0], x[1], x[2], x[3], np.zeros(len(x[0]), bool)))
+        elif kind == 1:
+            _, node, hub, role, weight = unpack(data)
+            yield _found(node, hub, np.full(n, ALWAYS), role, weight)
         else:
-            sign.append(x[0]), node.append(x[1]), flags.append(x[2])
-    if sign:
+            total += n
+            packed.append(data)
+    ranges = -(-total // PER_SORT)
+    for q in range(ranges):
+        sign, node, flags = [], [], []
+        for data in packed:
+            _, s, v, f, _ = unpack(data)
+            if ranges > 1:
+                mine = (s >> U(20)) % U(ranges) == U(q)
+                s, v, f = s[mine], v[mine], f[mine]
+            sign.append(s), node.append(v), flags.append(f)
         s, v, f = np.concatenate(sign), np.concatenate(node), np.concatenate(flags)
+        if not len(s):
+            continue
         order = np.lexsort((v, s))
         s, v, f = s[order], v[order], f[order]
         once = np.ones(len(s), bool)
@@ -265,16 +291,18 @@ def _close(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         s, v, f = s[once], v[once], f[once]
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         size = np.diff(np.append(start, len(s)))
+        cost = np.where(np.maximum.reduceat(f & 4, start) > 0, ALWAYS, np.log2(size).astype(np.int64))
         shared = np.repeat(size > 1, size)
-        leader = np.repeat(v[start], size)
-        role = np.where(f & 8, FAILS, f & 1)
-        out.append((v[shared], leader[shared], role[shared], ((f >> 1) & 1)[shared] + 1, (f[shared] & 4) > 0))
+        hub = hub_of(np.repeat(v[start], size)[shared], np.repeat(cost, size)[shared])
+        f = f[shared]
+        yield _found(v[shared], hub, np.repeat(cost, size)[shared], np.where(f & 8, FAILS, f & 1), ((f >> 1) & 1) + 1)
     if debts:
         d = np.unique(np.concatenate(debts, axis=1), axis=1)
-        out.append((d[0], d[0], np.where(d[1] == FAILS, 3, d[1]), d[2], np.zeros(d.shape[1], bool)))
-    for v, leader, role, weight, alias in out:
-        if len(v):
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(leader), pa.array(role.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(alias)], names=["node", "leader", "role", "weight", "alias"])
+        yield _found(d[0], d[0], np.full(d.shape[1], -1), np.where(d[1] == FAILS, 3, d[1]), d[2])
+
+
+def _found(node: np.ndarray, hub: np.ndarray, cost: np.ndarray, role: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(hub), *(pa.array(x.astype(np.int32)) for x in (cost, role, weight))], names=["node", "hub", "cost", "role", "weight"])
 
 
 def _meet(rows: DataFrame, parts: int) -> DataFrame:
@@ -296,15 +324,24 @@ def _meet(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def candidates(texts: DataFrame, parts: int, seed: int) -> DataFrame:
-    """``node, leader, role, weight, alias``: bucket members with leaders; rows with ``node = leader`` and a
-    weight below 1 are spare units; role 3 names a set whose own units don't suffice, its size as weight."""
+    """``node, hub, cost, role, weight``: members of buckets with more than one, by hub and size of bucket; rows of
+    cost -1 are spare units as debts; role 3 names a set whose own units don't suffice, its size as weight."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for p, data in _batch_rows(gathered, parts) if gathered else ():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([data], pa.binary())], names=["part", "packed"])
+
         for batch in batches:
             for _, part in _parts(batch.column(0)):
-                rows = list(_batch_rows(Sets(part, seed), parts))
-                for i in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 64]], pa.int32()), pa.array([r[1] for r in rows[i : i + 64]], pa.binary())], names=["part", "packed"])
+                if n + len(part) > BATCH_TEXTS:  # places in a list of nodes have 12 bits
+                    yield from flush()
+                    gathered, n = [], 0
+                gathered.append(_gathered(Sets(part, seed)))
+                n += len(part)
+        yield from flush()
 
     return _meet(texts.select("text").mapInArrow(emit, ROWS), parts)
 
@@ -351,22 +388,62 @@ def _whole_sets(texts: DataFrame, seed: int) -> DataFrame:
     return texts.select("text").mapInArrow(read, "node long, tokens array<long>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link, by whole sets."""
-    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    sized = pairs.join(one, "a").join(two, "b")
-    return sized.where(100 * both >= 75 * (F.size("ta") + F.size("tb") - both)).select("a", "b")
-
-
-def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    if roots is None:
-        return pairs
-    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+def forest(nodes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the sets ``left`` and ``right`` (places in ``nodes``) that join what other links here don't."""
+    root = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    _, name = np.unique(tokens, return_inverse=True)
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    start = np.cumsum(sizes) - sizes
+    listed = np.zeros(len(nodes), bool)
+    listed[right] = True
+    mine = listed[owner]
+    order = np.argsort(name[mine], kind="stable")
+    posting, of = owner[mine][order], name[mine][order]
+    cuts = np.searchsorted(of, np.arange(int(name.max()) + 2)) if len(name) else np.zeros(1, np.int64)
+    links = []
+    for x in left.tolist():
+        own = name[start[x] : start[x] + sizes[x]]
+        a, b = cuts[own], cuts[own + 1]
+        size = b - a
+        at = np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)
+        common = np.bincount(posting[at], minlength=len(nodes))
+        for y in np.flatnonzero((common > 0) & (100 * common >= 75 * (sizes[x] + sizes - common))).tolist():
+            p, q = find(x), find(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                links.append((int(nodes[x]), int(nodes[y])))
+    return links
+
+
+def _cell_links(cell: pa.Table) -> pa.Table:
+    """Links of one pair of blocks."""
+    cell = cell.combine_chunks()
+    node, block = cell.column("node").to_numpy(), cell.column("block").to_numpy()
+    lists = cell.column("tokens").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    tokens = lists.flatten().to_numpy(zero_copy_only=False)
+    i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+    found = forest(node, sizes, tokens, np.flatnonzero(block == i), np.flatnonzero(block == j))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links inside candidate groups, by pairs of blocks of bounded size."""
+    sized = groups.join(sets.select("node", F.size("tokens").alias("n")), "node")
+    blocks = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    placed = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = sets.join(placed, "node").select("root", "node", "tokens", "block", other.alias("o"))
+    cells = cells.select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "tokens")
+    return cells.groupBy("root", "i", "j").applyInArrow(_cell_links, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,11 +464,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         drop_written(named)
     else:
         raise RuntimeError("sets of different shingles share a 64-bit name under every seed")
-    parts = max(8, int((named.agg(F.sum("n")).first()[0] or 0) * 0.8 / PER_PART) + 1)
-    found = written(candidates(texts, parts, seed).groupBy("node", "leader", "role").agg(F.sum("weight").alias("weight"), F.max("alias").alias("alias")), "found")
+    parts = max(LEAST_PARTS, int((named.agg(F.sum("n")).first()[0] or 0) * 0.8 / PER_PART) + 1)
+    found = written(candidates(texts, parts, seed).groupBy("node", "hub", "cost", "role").agg(F.sum("weight").alias("weight")), "found")
     sizes = [r["weight"] for r in found.where("role = 3").select("weight").distinct().collect()]  # of sets cut too unevenly: a few sizes
     if sizes:
-        more = fallback_candidates(texts, sizes, parts, seed).groupBy("node", "leader", "role").agg(F.sum("weight").alias("weight"), F.max("alias").alias("alias"))
+        more = fallback_candidates(texts, sizes, parts, seed).groupBy("node", "hub", "cost", "role").agg(F.sum("weight").alias("weight"))
         found = written(found.where("role < 3").unionByName(more), "found")
     roots = _component_roots(texts, named, found, seed)
     rooted = named.join(roots, "node", "left").withColumn("key", F.when(F.col("n") > 0, F.coalesce("root", "node")))
@@ -405,40 +482,25 @@ def _component_roots(texts: DataFrame, named: DataFrame, found: DataFrame, seed:
     """``node, root`` of every node that links."""
     # A node stays if the units of its shared segments outweigh its spare ones, in either role.
     active = written(found.groupBy("node", "role").agg(F.sum("weight").alias("w")).where("w > 0").select("node").distinct(), "active")
-    members = found.where("node <> leader").groupBy("node", "leader").agg(F.sum("weight").alias("weight"), F.max("alias").alias("alias"))
-    members = members.join(active, "node", "left_semi").join(active.withColumnRenamed("node", "leader"), "leader", "left_semi")
-    bucket_of = found.where("node <> leader").select("node", "leader", "alias").distinct().join(active, "node", "left_semi")
-    members, bucket_of = written(members, "members"), written(bucket_of, "buckets")
-    ids = named.join(active, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id", "tag"), "doc_id").alias("x")).select(F.col("x.doc_id").alias("x_id"), F.col("x.tag").alias("x_tag"))
-    ids = written(ids, "active-texts")
-    small = ids.count() <= BROADCAST_ROWS  # beyond it the texts are shuffled
-    chosen = texts.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("tag") == F.col("x_tag")))
+    shared = found.where("cost >= 0").join(active, "node", "left_semi")
+    # A set leaves its dearest buckets as far as its spare units reach. A pair meets in a bucket that the smaller set
+    # keeps; the larger one is a member there in any case. Buckets that nobody keeps are dropped.
+    spare = found.where(f"cost < 0 AND role = {OWN}").select("node", (-F.col("weight")).alias("spare"))
+    dearest = Window.partitionBy("node").orderBy(F.desc("cost"), "hub")
+    probes = shared.where(f"role = {OWN}").join(spare, "node").withColumn("left", F.sum("weight").over(dearest))
+    kept = probes.where(f"left > spare OR cost = {ALWAYS}").select("hub").unionByName(shared.where(f"role = {FAILS} OR cost = {ALWAYS}").select("hub")).distinct()
+    members = shared.join(kept, "hub", "left_semi").select("node", "hub").distinct()
+    groups = components(members.select(F.col("node").alias("a"), F.col("hub").alias("b"))).join(active, "node", "left_semi")
+    groups = written(groups, "groups")
+    drop_written(found)
+    several = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    groups = written(groups.join(several, "root", "left_semi"), "groups")
+    ids = named.join(groups.select("node"), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id", "tag"), "doc_id").alias("x")).select(F.col("x.doc_id").alias("x_id"), F.col("x.tag").alias("x_tag"))
+    ids = written(ids, "group-texts")
+    few = ids.count() <= BROADCAST_ROWS  # beyond it the texts are shuffled
+    chosen = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("tag") == F.col("x_tag")))
     sets = written(_whole_sets(chosen, seed), "sets")
-    pair = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-
-    # First each node with the leader of most of its segments, then with its other leaders.
-    best = members.groupBy("node").agg(F.max(F.struct("weight", "leader")).alias("m")).select(*pair("node", "m.leader")).distinct()
-    links = written(_links(best, sets), "links")
-    roots = written(components(links), "roots")
-    rest = _apart(members.select(*pair("node", "leader")).distinct(), roots)
-    links = written(links.unionByName(_links(rest, sets)), "links")
-    roots = written(components(links), "roots")
-    # Last all pairs that met in a bucket and are still apart. Leaders of hot batches count as one bucket.
-    buckets = bucket_of.unionByName(bucket_of.select(F.col("leader").alias("node"), "leader", F.lit(False).alias("alias"))).join(active, "node", "left_semi").select("node", "leader").distinct()
-    if bucket_of.where("alias").take(1):
-        merged = components(bucket_of.where("alias").select(F.col("node").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("leader"), "root")
-        buckets = buckets.join(merged, "leader", "left").select("node", F.coalesce("root", "leader").alias("leader")).distinct()
-    sized = sets.select("node", F.size("tokens").alias("n"))
-    placed = buckets.join(sized, "node").join(roots, "node", "left").select("leader", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed_ = placed.groupBy("leader").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("leader")
-    open_ = written(placed.join(mixed_, "leader", "left_semi"), "open")
-    x = open_.select("leader", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_.select("leader", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    left = x.join(y, "leader").where("a > b AND ra <> rb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
-    done = members.select(*pair("node", "leader")).distinct()
-    left = written(left.join(done, ["a", "b"], "left_anti"), "left-pairs")
-    links = links.unionByName(_links(left, sets))
-    return components(links)
+    return components(_links(sets, groups))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
