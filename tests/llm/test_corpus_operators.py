@@ -129,8 +129,8 @@ def test_jaccard_in_hot_batches(docs, mixed_rows, monkeypatch):
     base = sentence(r, 120, 5000).split()
     texts = [" ".join(base[:k] + [f"q{k}"] + base[k + 1 :]).encode() for k in range(0, 120, 4)]
     sets = jaccard_join.Sets(texts, 0)
-    rows = [x for x in jaccard_join._batch_rows(sets, 4)]
-    pairs = {(int(a), int(b)) for p in range(4) for rb in jaccard_join._close([d for q, d in rows if q == p]) for a, b in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True)}
+    rows = list(jaccard_join._batch_rows([jaccard_join._gathered(sets)], 4))
+    pairs = {(int(a), int(b)) for p in range(4) for rb in jaccard_join._close([d for q, d in rows if q == p]) for a, b, c in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True) if c == jaccard_join.ALWAYS}
     near = collections.defaultdict(set)
     for a, b in pairs:
         near[a].add(b), near[b].add(a)
