@@ -1,7 +1,7 @@
 """Language identification by rank-order profiles.
 
-A profile is the ranking of a text's ``PROFILE`` most frequent n-grams (1 to 4 letters of
-each lower-cased word, padded by ``_``; ties in code point order). A document goes to the
+A profile is the ranking of the ``PROFILE`` most frequent n-grams (1 to 4 letters of each
+lower-cased word, padded by ``_``; ties in code point order). A document goes to the
 language whose profile is nearest in out-of-place distance: the sum of rank differences,
 ``PROFILE`` for an n-gram that the language's profile lacks. Languages are learned from
 labelled documents, about ``sample_per_lang`` whole texts of each, drawn by a hash of the
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,6 @@ from attestra.llm.common import table
 PROFILE, LONGEST = 300, 4
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
-GRAM_CACHE = 100_000
 Profiles = dict[str, dict[str, int]]
 
 
@@ -34,42 +34,61 @@ def grams_of(word: str) -> list[str]:
     return [padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1) if n > 1 or padded[i] != "_"]
 
 
-class GramCounter:
-    """Counts of a text's n-grams; the n-grams of words met before are kept, up to ``GRAM_CACHE`` words."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, list[str]] = {}
-
-    def __call__(self, text: str) -> dict[str, int]:
-        known, counts = self.known, defaultdict(int)
-        for word, n in Counter(WORDS.findall(text.lower())).items():
-            grams = known.get(word)
-            if grams is None:
-                grams = grams_of(word)
-                if len(word) <= 32:
-                    if len(known) >= GRAM_CACHE:
-                        known.clear()
-                    known[word] = grams
-            for g in grams:
-                counts[g] += n
-        return counts
-
-
-def ranking(counts: dict[str, int]) -> list[str]:
-    """The most frequent n-grams in order."""
-    if len(counts) > PROFILE:
-        least = sorted(counts.values(), reverse=True)[PROFILE - 1]
-        counts = {g: n for g, n in counts.items() if n >= least}
-    return sorted(counts, key=lambda g: (-counts[g], g))[:PROFILE]
-
-
-def nearest(order: list[str], profiles: Profiles) -> tuple[str, float]:
-    """The nearest language, ties by name, and 1 less its distance as a part of the greatest possible."""
-    best = min((sum(abs(i - ranks[g]) if g in ranks else PROFILE for i, g in enumerate(order)), lang) for lang, ranks in profiles.items())
-    return best[1], 1.0 - best[0] / (PROFILE * len(order))
+class Ranker:
+    """Languages' profiles over the union of their n-grams, and the nearest one to a text.
 
+    A document is ranked by the n-grams that some profile has: the others cost every language
+    the same. They are counted by a trie over the text's words, joined by ``_``: an n-gram of
+    two words has that mark inside, which no profile's n-gram has.
+    """
 
-def learn_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = 3000) -> Profiles:
+    def __init__(self, profiles: Profiles):
+        self.langs = sorted(profiles)
+        grams = sorted(set().union(*profiles.values()))  # in code point order, for ties
+        place = {g: i for i, g in enumerate(grams)}
+        self.ranks = np.full((len(self.langs), len(grams)), -1, np.int64)
+        for k, lang in enumerate(self.langs):
+            for g, r in profiles[lang].items():
+                self.ranks[k, place[g]] = r
+        letters = sorted(set("".join(grams)) | {"_"})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        states = {"": 1}  # state 0 leads nowhere
+        for g in grams:
+            for i in range(1, len(g) + 1):
+                states.setdefault(g[:i], len(states) + 1)
+        self.step = np.zeros((len(states) + 1, len(letters) + 1), np.int32)
+        self.gram = np.full(len(states) + 1, len(grams), np.int64)  # the last place is no n-gram
+        for g, state in states.items():
+            if g:
+                self.step[states[g[:-1]], self.letter[ord(g[-1])]] = state
+                self.gram[state] = place.get(g, len(grams))
+        self.size = len(grams)
+
+    def ranking(self, text: str) -> np.ndarray:
+        """The most frequent n-grams in order, ties by name."""
+        joined = f"_{'_'.join(WORDS.findall(text.lower()))}_"
+        letters = self.letter[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        counts, state = np.zeros(self.size + 1, np.int64), np.ones(len(letters), np.int32)
+        for n in range(LONGEST):
+            state = self.step[state[: len(letters) - n], letters[n:]]
+            counts += np.bincount(self.gram[state], minlength=self.size + 1)
+        counts = counts[:-1]
+        order = np.argsort(-counts, kind="stable")[:PROFILE]
+        return order[counts[order] > 0]
+
+    def nearest(self, text: str) -> tuple[str, float]:
+        """The nearest language, ties by name, and 1 less its distance as a part of the greatest possible."""
+        order = self.ranking(text)
+        if not len(order):
+            return self.langs[0], 0.0
+        ranks = self.ranks[:, order]
+        away = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(order)))).sum(axis=1)
+        best = int(np.argmin(away))
+        return self.langs[best], 1.0 - float(away[best]) / (PROFILE * len(order))
+
+
+def learn_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = 1000) -> Profiles:
     """Profiles of the languages of ``labelled``; rows with a null label or text are left out."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -81,10 +100,12 @@ def learn_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of = defaultdict(Counter), GramCounter()
+        own: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own[lang].update(of(text))
+                for word, n in Counter(WORDS.findall(text.lower())).items():
+                    for g in grams_of(word):
+                        own[lang][g] += n
         for lang, counts in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
 
@@ -104,14 +125,14 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = GramCounter()
+        ranker = Ranker(profiles) if profiles else None
         for batch in batches:
             found = []
             for text in batch.column(1).to_pylist():
-                if not text or not profiles or not LETTER.search(text):
+                if not text or not ranker or not LETTER.search(text):
                     found.append(("und", 0.0))
                 else:
-                    found.append(nearest(ranking(of(text)), profiles))
+                    found.append(ranker.nearest(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *batch.columns[2:]], names=["doc_id", "lang_pred", "score", *(f"k_{c}" for c in keep)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k_{c}") for c in keep))
