@@ -37,20 +37,21 @@ def grams_of(word: str) -> list[str]:
 class Ranker:
     """Languages' profiles over the union of their n-grams, and the nearest one to a text.
 
-    A document is ranked by the n-grams that some profile has: the others cost every language
-    the same. They are counted by a trie over the text's words, joined by ``_``: an n-gram of
-    two words has that mark inside, which no profile's n-gram has.
+    A text is ranked by all its n-grams; those that no profile has keep their places in the
+    ranking. They are counted over the text's words, joined by ``_``, as numbers of four digits,
+    one a letter in code point order and 0 for none, so that order of numbers is order of names.
+    The most frequent ones are then found in the profiles by a trie.
     """
 
     def __init__(self, profiles: Profiles):
         self.langs = sorted(profiles)
-        grams = sorted(set().union(*profiles.values()))  # in code point order, for ties
+        grams = sorted(set().union(*profiles.values()))
         place = {g: i for i, g in enumerate(grams)}
-        self.ranks = np.full((len(self.langs), len(grams)), -1, np.int64)
+        self.ranks = np.full((len(self.langs), len(grams) + 1), -1, np.int64)  # the last place is no profile's n-gram
         for k, lang in enumerate(self.langs):
             for g, r in profiles[lang].items():
                 self.ranks[k, place[g]] = r
-        letters = sorted(set("".join(grams)) | {"_"})
+        letters = sorted(set("".join(grams)))
         self.letter = np.zeros(0x110000, np.int32)
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         states = {"": 1}  # state 0 leads nowhere
@@ -58,24 +59,50 @@ class Ranker:
             for i in range(1, len(g) + 1):
                 states.setdefault(g[:i], len(states) + 1)
         self.step = np.zeros((len(states) + 1, len(letters) + 1), np.int32)
-        self.gram = np.full(len(states) + 1, len(grams), np.int64)  # the last place is no n-gram
+        self.gram = np.full(len(states) + 1, len(grams), np.int64)
         for g, state in states.items():
             if g:
                 self.step[states[g[:-1]], self.letter[ord(g[-1])]] = state
                 self.gram[state] = place.get(g, len(grams))
-        self.size = len(grams)
 
     def ranking(self, text: str) -> np.ndarray:
-        """The most frequent n-grams in order, ties by name."""
+        """The most frequent n-grams in order, ties by name: their places in the profiles' union."""
         joined = f"_{'_'.join(WORDS.findall(text.lower()))}_"
-        letters = self.letter[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        counts, state = np.zeros(self.size + 1, np.int64), np.ones(len(letters), np.int32)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        present = np.bincount(points) > 0
+        letters = np.flatnonzero(present)
+        digits = np.cumsum(present)[points].astype(np.uint64)
+        width = np.uint64(int(len(letters)).bit_length())
+        if width * np.uint64(LONGEST) > 64:  # more than 65,535 different letters
+            return self._plain_ranking(text)
+        mark = points == ord("_")
+        # an n-gram has no mark inside; one letter alone is no mark
+        found, key, whole = [], np.zeros(len(digits), np.uint64), np.ones(len(digits), bool)
         for n in range(LONGEST):
-            state = self.step[state[: len(letters) - n], letters[n:]]
-            counts += np.bincount(self.gram[state], minlength=self.size + 1)
-        counts = counts[:-1]
-        order = np.argsort(-counts, kind="stable")[:PROFILE]
-        return order[counts[order] > 0]
+            size = max(len(digits) - n, 0)
+            key = (key[:size] << width) | digits[n:]
+            whole = whole[:size] if n < 2 else whole[:size] & ~mark[n - 1 : n - 1 + size]
+            found.append(key[whole & ~mark if n == 0 else whole] << width * np.uint64(LONGEST - 1 - n))
+        names, counts = np.unique(np.concatenate(found), return_counts=True)
+        names = names[np.argsort(-counts, kind="stable")[:PROFILE]]
+        state = np.ones(len(names), np.int32)
+        for n in range(LONGEST):
+            digit = ((names >> width * np.uint64(LONGEST - 1 - n)) & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
+            state = np.where(digit > 0, self.step[state, self.letter[letters[digit - 1]]], state)
+        return self.gram[state]
+
+    def _plain_ranking(self, text: str) -> np.ndarray:
+        counts: Counter = Counter()
+        for word, n in Counter(WORDS.findall(text.lower())).items():
+            for g in grams_of(word):
+                counts[g] += n
+        found = []
+        for g in sorted(counts, key=lambda g: (-counts[g], g))[:PROFILE]:
+            state = 1
+            for c in g:
+                state = self.step[state, self.letter[ord(c)]]
+            found.append(self.gram[state])
+        return np.array(found, np.int64)
 
     def nearest(self, text: str) -> tuple[str, float]:
         """The nearest language, ties by name, and 1 less its distance as a part of the greatest possible."""

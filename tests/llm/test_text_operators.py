@@ -149,6 +149,19 @@ def test_language_of_odd_texts(spark):
     assert got[(None, "f")] == ("de", 0.0) and got[(6, "g")] == ("de", 0.0)
 
 
+def test_unknown_ngrams_keep_their_ranks(spark):
+    profiles = {"en": {g: i for i, g in enumerate(["e", "th", "t", "he", "_t", "the"])}, "de": {g: i for i, g in enumerate(["e", "ch", "d", "_d", "die"])}}
+    han = "".join(chr(c) for c in range(0x4E00, 0x9FF0))  # more letters than 16 bits can name, with the next two
+    texts = ["Привет мир, как дела the", "the thin", "日本語 the A_b __c", "a b c", "İstanbul ΣΑΣ ß ﬁ", "e" * 3000, f"{han} the {''.join(chr(c) for c in range(0x20000, 0x2A6D0))} {''.join(chr(c) for c in range(0xAC00, 0xD7A3))}"]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), profiles).collect()}
+    for i, text in enumerate(texts):
+        order = plain_profile([text])  # every n-gram of the text, in a profile or not
+        away = {lang: sum(abs(r - p[g]) if g in p else language_id.PROFILE for g, r in order.items()) for lang, p in profiles.items()}
+        best = min(away, key=lambda lang: (away[lang], lang))
+        assert got[i].lang_pred == best
+        assert got[i].score == pytest.approx(1 - away[best] / (language_id.PROFILE * len(order)))
+
+
 def test_pages_not_seen_in_training():
     model = html_content.trained()
     pages = html_pages.labelled_pages(200, 4711)
