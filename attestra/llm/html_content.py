@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from attestra.llm.common import table
 from attestra.llm.html_pages import labelled_pages
 
-#: A tag with quoted values; quotes are bounded, so that a stray one costs no more than that.
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,65536}"|'[^']{0,65536}')*+)>""")
-LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
-NAMED = re.compile(r"""(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: A tag with its attributes as HTML reads them: a quote opens a value only right after the equals sign, and a value without quotes ends
+#: at white space or ``>``. A quote that nothing closes opens none. Nothing is tried twice, so the time is linear.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\t\n\f\r />]*+)((?:[\t\n\f\r /]++|[^\t\n\f\r />][^\t\n\f\r />=]*+(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:"[^"]*+"|'[^']*+'|[^\t\n\f\r >]*+))?+)*+)(?:>|\Z)""")
+ATTRIBUTE = re.compile(r"""([^\t\n\f\r />][^\t\n\f\r />=]*+)(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:"([^"]*+)"|'([^']*+)'|([^\t\n\f\r >]*+)))?+""")
+NAMED = {"class", "id", "role", "data-y"}
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "svg", "math", "object", "select"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -55,6 +56,20 @@ FEATURES = 1 + len(GROUPS) + len(NAMES) + 12
 EDGE_KINDS = 3
 
 
+def named(attributes: str) -> dict[str, str]:
+    """The values of the attributes that name an element, of repeated ones the first."""
+    values: dict[str, str] = {}
+    for k, a, b, c in ATTRIBUTE.findall(attributes):
+        if k.lower() in NAMED:
+            values.setdefault(k.lower(), a or b or c)
+    return values
+
+
+def closed_at_once(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is not the end of a value."""
+    return attributes.endswith("/") and max((m.end() for m in ATTRIBUTE.finditer(attributes)), default=0) < len(attributes)
+
+
 class Page:
     """The elements of a page in order, its runs of text, and where blocks end."""
 
@@ -65,11 +80,11 @@ class Page:
 
     def _open(self, tag: str, parent: int, attributes: str) -> int:
         names, label = "", 0
-        for k, a, b, c in NAMED.findall(attributes) if attributes else ():
-            if k.lower() == "data-y":
-                label = int((a or b or c) == "1")
+        for k, value in named(attributes).items():
+            if k == "data-y":
+                label = int(value == "1")
             else:
-                names += " " + (a or b or c)
+                names += " " + value
         self.tag.append(tag), self.parent.append(parent), self.names.append(names), self.label.append(label)
         return len(self.tag) - 1
 
@@ -92,7 +107,7 @@ class Page:
                 end = html.find(">", lt)
                 at = n if end < 0 else end + 1
                 continue
-            m = TAG.match(html, lt) or LOOSE_TAG.match(html, lt)
+            m = TAG.match(html, lt)
             if not m:
                 runs.append((stack[-1][1], "<", links > 0))
                 at = lt + 1
@@ -102,7 +117,7 @@ class Page:
                 links -= self._close(tag, stack)
                 continue
             if tag in RAW:
-                if not attributes.endswith("/"):
+                if not closed_at_once(attributes):
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(html, at)
                     at = end.end() if end else n
                 runs.append(None) if tag not in ("noscript", "template", "script", "style") else None
@@ -128,7 +143,7 @@ class Page:
                         break
             if tag == "a":
                 links += 1
-            if tag in INLINE and not NAMED.search(attributes):
+            if tag in INLINE and not named(attributes):
                 stack.append((tag, stack[-1][1]))
                 if tag == "button":
                     stack[-1] = (tag, self._open(tag, stack[-1][1], attributes))

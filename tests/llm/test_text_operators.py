@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -199,6 +200,28 @@ def test_content_of_pages(spark):
     assert got[(2, None)].text == "" and got[(3, "u")].text == "" and got[(2, None)].n_chars == 0
 
 
+def page_text(html: str) -> str:
+    page = html_content.Page(html)
+    return page.text(np.ones(len(page.tag)))
+
+
+def test_attributes_by_position():
+    for n in (10, 60_000, 66_000, 1_000_000):
+        assert page_text(f"<div data-props='<p>secret json</p>{'y' * n}'>real text</div>") == "real text"
+    assert page_text("<a title=Bob's>first words</a><p>It is a long way.</p><p>He said it's far.</p><p>End</p>") == "first words\nIt is a long way.\nHe said it's far.\nEnd"
+    assert page_text("<p 'x>one</p><p title='x>two</p>") == "one\ntwo"
+    assert page_text("<p a = \"b>c\"d='e>f' / g=h'>one</p><script src=/js/>x</script><p class=x>two") == "one\ntwo"
+    page = html_content.Page("<div data-id='x' data-props=\"class='ad'\" CLASS = story id=k class=ad>text</div>")
+    assert page.names == ["", " story k"]
+
+
+def test_tags_take_linear_time():
+    start = time.process_time()
+    for part in ("<a x='>'", "<a x=\"'", "<a =\"><", "<a x=' <", "<a ", "<a x='"):
+        html_content.Page(part * 50_000 + "'")
+    assert time.process_time() - start < 20
+
+
 def test_content_of_given_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = html_content.extract_content(pages).toPandas().set_index("page_id")
