@@ -29,15 +29,17 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\t\n\f\r />]*+)((?:[\t\n\f\r /]++|[^\t\n\f\
 ATTRIBUTE = re.compile(r"""([^\t\n\f\r />][^\t\n\f\r />=]*+)(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:"([^"]*+)"|'([^']*+)'|([^\t\n\f\r >]*+)))?+""")
 NAMED = {"class", "id", "role", "data-y"}
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "svg", "math", "object", "select"}
+RAW = {"script", "style", "title", "textarea", "iframe", "xmp"}  # no tags inside; but for xmp the text is none of the page's
+FOREIGN = {"svg", "math"}
+HTML_IN_FOREIGN = {"~foreignobject", "~desc", "~annotation-xml", "~mi", "~mo", "~mn", "~ms", "~mtext"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-INLINE = {"a", "b", "i", "em", "strong", "u", "s", "small", "sub", "sup", "code", "mark", "span", "font", "abbr", "cite", "q", "kbd", "samp", "var", "time", "del", "ins", "big", "tt", "bdi", "bdo", "dfn", "label", "button"}
-CLOSES_P = {"p", "div", "article", "section", "aside", "nav", "header", "footer", "main", "ul", "ol", "dl", "table", "form", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "hr", "fieldset", "address", "details", "dialog"}
+INLINE = {"a", "b", "i", "em", "strong", "u", "s", "small", "sub", "sup", "code", "mark", "span", "font", "abbr", "cite", "q", "kbd", "samp", "var", "time", "del", "ins", "big", "tt", "bdi", "bdo", "dfn", "label", "button", "svg", "math", "object"}
+CLOSES_P = {"p", "div", "article", "section", "aside", "nav", "header", "footer", "main", "ul", "ol", "dl", "table", "form", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "hr", "fieldset", "address", "details", "dialog", "xmp"}
 SIBLING = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 GROUPS = [
     {"p"}, {"article"}, {"main"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"li", "dt", "dd"}, {"ul", "ol", "dl"}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "legend"},
-    {"div"}, {"section"}, {"table", "tr", "td", "th", "tbody", "thead", "caption"}, {"blockquote", "pre", "figure", "figcaption"}, {"dialog", "button", "label"}, {"html", "body"}, INLINE,
+    {"div"}, {"section"}, {"table", "tr", "td", "th", "tbody", "thead", "caption"}, {"blockquote", "pre", "figure", "figcaption", "xmp"}, {"dialog", "button", "label"}, {"html", "body"}, INLINE,
 ]
 NAMES = [
     {"article", "content", "post", "entry", "story", "main", "body", "text"},
@@ -54,6 +56,8 @@ NAMES = [
 ]
 FEATURES = 1 + len(GROUPS) + len(NAMES) + 12
 EDGE_KINDS = 3
+INSIDE_BLOCKS = INLINE | {"td", "th", "noscript", "template", "select"}
+NEXT_TAG = re.compile(r"</?[a-zA-Z]|<!--")
 
 
 def named(attributes: str) -> dict[str, str]:
@@ -65,6 +69,11 @@ def named(attributes: str) -> dict[str, str]:
     return values
 
 
+def inside_block(tag: str) -> bool:
+    """Whether an element ends no block: also any element of a formula or drawing, which has ``~`` before its name."""
+    return tag in INSIDE_BLOCKS or tag[0] == "~"
+
+
 def closed_at_once(attributes: str) -> bool:
     """Whether a tag ends in a slash that is not the end of a value."""
     return attributes.endswith("/") and max((m.end() for m in ATTRIBUTE.finditer(attributes)), default=0) < len(attributes)
@@ -91,6 +100,7 @@ class Page:
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("#page", 0)]  # plain inline elements share their parent's node
         at, n, links, runs = 0, len(html), 0, self.runs
+        endless: set[str] = set()
         while at < n:
             lt = html.find("<", at)
             if lt < 0:
@@ -116,11 +126,21 @@ class Page:
             if closing:
                 links -= self._close(tag, stack)
                 continue
+            foreign = stack[-1][0] in FOREIGN or stack[-1][0][0] == "~"
             if tag in RAW:
+                begin = stop = at
                 if not closed_at_once(attributes):
-                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(html, at)
-                    at = end.end() if end else n
-                runs.append(None) if tag not in ("noscript", "template", "script", "style") else None
+                    end = None if tag in endless else re.compile(rf"</{tag}(?=[\t\n\f\r />])[^>]*(?:>|$)", re.I).search(html, at)
+                    if end:
+                        stop, at = end.start(), end.end()
+                    else:  # never closed: the page goes on at the next tag
+                        endless.add(tag)
+                        end = NEXT_TAG.search(html, at)
+                        stop = at = end.start() if end else n
+                if tag == "xmp":
+                    links -= self._close("p", stack) if any(t == "p" for t, _ in stack) else 0
+                    runs += [None, (self._open(tag, stack[-1][1], attributes), entities.escape(html[begin:stop], False), links > 0)]
+                runs.append(None) if tag not in ("script", "style") and not foreign else None
                 continue
             if tag in VOID:
                 runs.append((stack[-1][1], " ", False) if tag != "hr" else None)
@@ -129,6 +149,16 @@ class Page:
                 if tag == "body" and stack[-1][0] == "#page":
                     stack.append((tag, self._open(tag, 0, attributes)))
                 continue
+            if foreign and stack[-1][0] not in HTML_IN_FOREIGN:
+                if tag not in CLOSES_P:
+                    if not closed_at_once(attributes):
+                        stack.append((f"~{tag}", stack[-1][1]))
+                    runs.append((stack[-1][1], " ", False))
+                    continue
+                while stack[-1][0] in FOREIGN or stack[-1][0][0] == "~":  # a block ends a formula or drawing
+                    stack.pop()
+            if tag in FOREIGN and closed_at_once(attributes):
+                continue
             if tag in CLOSES_P and any(t == "p" for t, _ in stack):
                 links -= self._close("p", stack)
             if tag in SIBLING:
@@ -149,18 +179,21 @@ class Page:
                     stack[-1] = (tag, self._open(tag, stack[-1][1], attributes))
             else:
                 stack.append((tag, self._open(tag, stack[-1][1], attributes)))
-                if tag not in INLINE:
-                    runs.append((stack[-1][1], " ", False) if tag in ("td", "th") else None)
+                if tag in ("td", "th"):
+                    runs.append((stack[-1][1], " ", False))
+                elif not inside_block(tag):
+                    runs.append(None)
 
     def _close(self, tag: str, stack: list[tuple[str, int]]) -> int:
         """End the innermost element of a name; how many links that ends."""
+        same = (tag, f"~{tag}")
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
+            if stack[i][0] in same:
                 gone = stack[i:]
-                if tag in INLINE and any(t not in INLINE for t, _ in gone[1:]):
+                if tag in INLINE and any(t not in INLINE and t[0] != "~" for t, _ in gone[1:]):
                     return 0  # a stray inline end doesn't end blocks
                 del stack[i:]
-                if any(t not in INLINE and t not in ("td", "th") for t, _ in gone):
+                if not all(inside_block(t) for t, _ in gone):
                     self.runs.append(None)
                 return sum(t == "a" for t, _ in gone)
         if tag in ("p", "br"):

@@ -222,6 +222,15 @@ def test_tags_take_linear_time():
     assert time.process_time() - start < 20
 
 
+def test_only_raw_elements_go():
+    assert page_text("<p>The sum <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, <svg><title>t</title><path d='M0'/><path><text>a drawing</text></svg> as <object data=x>told</object> here.</p><p>End</p>") == "The sum x = 2 holds, a drawing as told here.\nEnd"
+    assert page_text("<p>one<noscript> two</noscript> three<template> four</template></p><select><option>A<option>B</select><xmp>a <b>c</b> &amp; d</xmp>e") == "one two three four\nA\nB\na <b>c</b> &amp; d\ne"
+    assert page_text("<p>a<svg/>b<math/>c</p><a href=x><svg><path/></svg>link</a> <math><mtext>if <b>so</b></mtext></math><svg><path><p>out</p>") == "abc\nlink if so\nout"
+    assert page_text("<title>t</title><p>one</p><script>var a = 1 <p>two</p><textarea>x<p>three</p><svg><text>four<p>five") == "one\ntwo\nthree\nfour\nfive"
+    article = "<article><h1>A title</h1><p>First of the words, many of them, with <math><mi>x</mi></math> among them.</p><p>More of the words, many of them.</p></article>"
+    assert html_content.extract_texts([article], html_content.trained()) == ["A title\nFirst of the words, many of them, with x among them.\nMore of the words, many of them."]
+
+
 def test_content_of_given_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = html_content.extract_content(pages).toPandas().set_index("page_id")
