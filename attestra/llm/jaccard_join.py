@@ -495,11 +495,13 @@ def _component_roots(texts: DataFrame, named: DataFrame, found: DataFrame, seed:
     drop_written(found)
     several = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
     groups = written(groups.join(several, "root", "left_semi"), "groups")
-    ids = named.join(groups.select("node"), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id", "tag"), "doc_id").alias("x")).select(F.col("x.doc_id").alias("x_id"), F.col("x.tag").alias("x_tag"))
+    ids = named.join(groups.select("node"), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id", "tag"), F.struct(F.isnull("doc_id"), "doc_id", "tag")).alias("x")).select(F.col("x.doc_id").alias("x_id"), F.col("x.tag").alias("x_tag"))
     ids = written(ids, "group-texts")
     few = ids.count() <= BROADCAST_ROWS  # beyond it the texts are shuffled
     chosen = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("tag") == F.col("x_tag")))
     sets = written(_whole_sets(chosen, seed), "sets")
+    if sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):  # equal rows without an id, or with one
+        sets = written(sets.dropDuplicates(["node"]), "sets")
     return components(_links(sets, groups))
 
 

@@ -174,6 +174,15 @@ def test_jaccard_of_odd_rows(spark, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_jaccard_links_null_ids(spark):
+    text = lambda word, n: " ".join(f"{word}{i}" for i in range(n))
+    rows = [(1, text("a", 40)), (None, text("a", 46)), (2, text("a", 54))]  # 36, 42 and 50 shingles: the ends link by the middle only
+    rows += [(9, text("b", 40)), (None, text("b", 42)), (None, text("b", 42)), (None, text("c", 40)), (None, text("c", 41))]
+    got = sorted(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(1, 36, 1), (None, 42, 1), (2, 50, 1), (9, 36, 9), (None, 38, 9), (None, 38, 9), (None, 36, None), (None, 37, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
