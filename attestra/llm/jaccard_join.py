@@ -363,7 +363,8 @@ def fallback_candidates(texts: DataFrame, sizes: list[int], parts: int, seed: in
 
 
 def _named(texts: DataFrame, seed: int) -> DataFrame:
-    """``doc_id, tag, n, node, check`` of each text."""
+    """``doc_id, tag, n, node, check`` of each text, and its ``text_sha256`` if it is there."""
+    more = texts.columns[3:]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,9 +373,9 @@ def _named(texts: DataFrame, seed: int) -> DataFrame:
                 sets = Sets(part, seed)
                 size.append(sets.size), node.append(sets.node), check.append(sets.check)
             columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (size, node, check)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.astype(np.int64)) for c in columns)], names=["doc_id", "tag", "n", "node", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.astype(np.int64)) for c in columns), *batch.columns[3:]], names=["doc_id", "tag", "n", "node", "check", *more])
 
-    return texts.mapInArrow(name, "doc_id long, tag int, n long, node long, check long")
+    return texts.mapInArrow(name, ", ".join(["doc_id long, tag int, n long, node long, check long", *(f"{c} string" for c in more)]))
 
 
 def _whole_sets(texts: DataFrame, seed: int) -> DataFrame:
@@ -446,8 +447,8 @@ def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     return cells.groupBy("root", "i", "j").applyInArrow(_cell_links, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id``.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", choose: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id``; with ``choose`` also ``kept, text_sha256``.
 
     Shingles are of five words, A-Z lower-cased; texts of one to four words have their whole
     sequence as one. Texts without words, or null, have none and link with nothing. Texts
@@ -455,8 +456,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by links, the document's own included. Rows that repeat an id are nodes of their own.
     Null ids link like others and are never the smallest; a component of null ids only has
     a null ``component_id``. An empty table gives an empty result. Other columns are not read.
+    Of each component the text with the smallest id is kept, of several under that id, or
+    under none, the one with the smallest digest; ``kept`` is true for all rows of that id and text.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    if choose:
+        texts = texts.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
     for seed in range(8):
         named = written(_named(texts, seed), "named")
         if not named.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").take(1):
@@ -472,10 +477,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = written(found.where("role < 3").unionByName(more), "found")
     roots = _component_roots(texts, named, found, seed)
     rooted = named.join(roots, "node", "left").withColumn("key", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-    rooted = written(rooted.select("doc_id", F.col("n").alias("n_shingles"), "key"), "rooted")
-    least = rooted.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
-    joined = rooted.where("key IS NOT NULL").join(least, "key").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    return joined.unionByName(rooted.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    rooted = written(rooted.select("doc_id", F.col("n").alias("n_shingles"), "key", *texts.columns[3:]), "rooted")
+    linked, alone = rooted.where("key IS NOT NULL"), rooted.where("key IS NULL")
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_sha256") if choose else None
+    least = linked.groupBy("key").agg(F.min("doc_id").alias("least"), *([F.min(order).alias("first")] if choose else []))
+    joined = linked.join(least, "key").select("doc_id", "n_shingles", F.col("least").alias("component_id"), *([order.eqNullSafe(F.col("first")).alias("kept"), "text_sha256"] if choose else []))
+    return joined.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([F.lit(True).alias("kept"), "text_sha256"] if choose else [])))
 
 
 def _component_roots(texts: DataFrame, named: DataFrame, found: DataFrame, seed: int) -> DataFrame:

@@ -40,15 +40,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    gone = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_key"))
-    return _without(docs, gone, "_sha", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    """Of equal texts the document with the largest id, of several rows of that id, or of none, the first by their values."""
+    sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
+    found = written(exact_dedup(docs), "exact")
+    rows = _without(docs, found.where("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_key")), "_sha", sha)
+    again = found.where("kept").groupBy(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = written(again, "again")
+    if not again.take(1):
+        return rows
+    values = F.struct(*docs.columns)
+    repeated = rows.withColumn("_sha", sha).join(again, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_sha") == F.col("g_key")), "left_semi")
+    one = repeated.groupBy("doc_id", "_sha").agg(F.min(values).alias("row")).select("row.*")
+    return _without(rows, again, "_sha", sha).unionByName(one)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    gone = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("g_id"), F.lit(1).alias("g_key"))
-    return _without(docs, gone, "_one", F.lit(1))
+    """Of each group of near copies the document with the smallest id; the others go by id and text."""
+    gone = jaccard_components(docs, choose=True).where("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_key"))
+    return _without(docs, gone, "_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

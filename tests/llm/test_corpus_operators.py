@@ -342,3 +342,17 @@ def test_pipeline(spark, data):
         if name != "bpe_encode":
             assert after.columns == given.columns
             now = spark.createDataFrame(kept[name], given.schema)
+
+
+def test_pipeline_of_repeated_and_null_ids(spark, data):
+    pipeline = importlib.import_module("corpus_pipeline")
+    text = lambda word, n: " ".join(f"{word}{i}" for i in range(n))
+    schema = "doc_id long, text string, source string"
+    rows = [(1, text("a", 40), "s"), (5, text("a", 42), "s"), (5, text("clean", 30), "s"), (None, text("a", 44), "s"), (None, text("b", 40), "s"), (None, text("b", 42), "s"), (7, text("d", 20), "s")]
+    rows += [(7, text("d", 20), "s"), (8, text("E", 20), "s"), (8, text("e", 20), "s"), (None, text("f", 20), "s"), (None, text("f", 20), "s"), (9, None, "s")]
+    kept = pipeline.exact(spark, spark.createDataFrame(rows, schema), data).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, lower(r.text)) for r in kept) == sorted({(i is None, i or 0, lower(t)) for i, t, _ in rows})
+    kept = [tuple(r) for r in pipeline.near(spark, spark.createDataFrame(kept, schema), data).collect()]
+    b = [r for r in kept if r[1] and r[1].startswith("b0")]
+    assert len(b) == 1
+    assert sorted((i or 0, lower(t)) for i, t, _ in kept if (i, t, "s") not in b) == sorted((i or 0, lower(t)) for i, t in [(1, text("a", 40)), (5, text("clean", 30)), (7, text("d", 20)), (8, text("e", 20)), (None, text("f", 20)), (9, None)])
