@@ -61,9 +61,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
-    mixed = mix_sources(docs, keep=tuple(docs.columns))
-    return _renamed(mixed.withColumn("draw", F.explode("draws")), docs.columns)
+    """Each document as often as the mix of sources takes it: its shards, each in one file's rows, ordered by a hash."""
+    drawn = mix_sources(docs, keep=tuple(docs.columns)).withColumn("draw", F.explode("draws"))
+    return _renamed(drawn.repartition("draw.shard").sortWithinPartitions("draw.shard", "draw.shuffle_key"), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -356,3 +356,21 @@ def test_pipeline_of_repeated_and_null_ids(spark, data):
     b = [r for r in kept if r[1] and r[1].startswith("b0")]
     assert len(b) == 1
     assert sorted((i or 0, lower(t)) for i, t, _ in kept if (i, t, "s") not in b) == sorted((i or 0, lower(t)) for i, t in [(1, text("a", 40)), (5, text("clean", 30)), (7, text("d", 20)), (8, text("e", 20)), (None, text("f", 20)), (9, None)])
+
+
+def test_pipeline_writes_shards_in_shuffled_order(spark, data):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.createDataFrame([(i, f"one two three {i}", f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
+    draws = {}
+    for r in mixing.mix_sources(docs).collect():
+        for d in r.draws:
+            draws.setdefault(d["shard"], []).append((d["shuffle_key"], r.doc_id))
+    want = {s: [i for _, i in sorted(part)] for s, part in draws.items()}
+    parts = [[r.doc_id for r in part] for part in pipeline.mix(spark, docs, data).rdd.glom().collect()]
+    assert sum(map(len, parts)) == sum(map(len, want.values()))
+    for part in parts:  # whole shards, one after another
+        at = 0
+        while at < len(part):
+            shard = next(s for s, ids in want.items() if part[at : at + len(ids)] == ids)
+            at += len(want.pop(shard))
+    assert not want
