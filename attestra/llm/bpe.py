@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,10 +28,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import table
+from attestra.llm.common import bounded, table
 
 NONE = np.iinfo(np.int64).max
-CACHE = 200_000
+CACHE = 100_000
 BATCH_CHARS = 1_000_000
 LONG = 256
 #: The white space of the pattern library that tokenizer files are written for.
@@ -40,6 +41,15 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 FAMILIAR = r"\x00-ʯΑ-Ωα-ωЀ-ҁҊ-ԯ‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-鿯"
 
 
+def located(path: str) -> str:
+    """A tokenizer's file on this machine: the path itself, else the package's file of that name."""
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(path))
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next free one from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -53,12 +63,13 @@ class Merger:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        path = located(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("unk_token") or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
             raise ValueError("only byte-level BPE without unknown token, dropout and prefixes")
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)  # for texts with unfamiliar characters
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.letters = byte_letters()
@@ -167,7 +178,7 @@ class Merger:
         while level:
             tree[:, level : 2 * level] = tree[:, 2 * level : 4 * level].reshape(n, level, 2).min(axis=2)
             level //= 2
-        row = every[tree[:, 1] != NONE] if width > 1 else every[tree[:, 1] != NONE]
+        row = every[tree[:, 1] != NONE]
         while len(row):
             rank, j = np.divmod(tree[row, 1], width)
             gone = after[row, j]
@@ -324,7 +335,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
         cache = PieceCache(make)
         schema = pa.schema([("doc_id", pa.int64()), *((o, OUTPUTS[o]) for o in outputs)])
-        for batch in batches:
+        for batch in batches:  # bounded by bytes
             got: dict[str, list] = {o: [] for o in outputs}
             for texts in text_batches(batch.column(1).to_pylist()):
                 split = [own.pieces(t) for t in texts]
@@ -347,7 +358,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[o], OUTPUTS[o]) for o in outputs)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, " + ", ".join(f"{o} {SQL_TYPES[o]}" for o in outputs))
+    return rows.mapInArrow(bounded(encode, 1), "doc_id long, " + ", ".join(f"{o} {SQL_TYPES[o]}" for o in outputs))
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

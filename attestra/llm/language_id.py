@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from attestra.llm.common import table
+from attestra.llm.common import bounded, table
 
 PROFILE, LONGEST = 300, 4
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
@@ -136,7 +136,7 @@ def learn_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
         for lang, counts in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    counts = rows.where(draw < rate).select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.where(draw < rate).select("lang", "text").mapInArrow(bounded(count, 1), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= PROFILE)
     profiles: Profiles = {}
     for r in ranked.collect():  # languages x PROFILE rows
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k_{c}") for c in keep))
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(predict, ", ".join(["doc_id long, lang_pred string, score double", *(f"k_{c} {kinds[f'k_{c}']}" for c in keep)]))
+    return rows.mapInArrow(bounded(predict, 1), ", ".join(["doc_id long, lang_pred string, score double", *(f"k_{c} {kinds[f'k_{c}']}" for c in keep)]))
 
 
 def fold(id_col: str = "doc_id") -> Column:

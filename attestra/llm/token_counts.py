@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.bpe import PieceCache, default_path, merger, text_batches
-from attestra.llm.common import table
+from attestra.llm.bpe import PieceCache, default_path, located, merger, text_batches
+from attestra.llm.common import bounded, table
 
 
 @lru_cache(maxsize=4)
@@ -38,7 +38,7 @@ def whole_sentence_pieces(path: str) -> frozenset[str]:
     """The same for a sentencepiece model: strings that begin with the space mark and encode alone as one token."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=located(path))
     names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     words = [n[1:] for n in names if n.startswith("▁") and len(n) > 1 and "▁" not in n[1:]]
     return frozenset(w for w, ids in zip(words, model.encode(words), strict=True) if len(ids) == 1)
@@ -63,7 +63,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(bounded(count, 2), "doc_id long, n_bytes long, n_tokens long")
 
 
 def _bpe_counts(path: str, whole: frozenset[str]):
@@ -82,7 +82,7 @@ def _sentence_counts(path: str, whole: frozenset[str]):
     """Words between single spaces stand alone in a model none of whose pieces spans a space mark; other texts go to the library whole."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=located(path))
     apart = all("▁" not in model.id_to_piece(i)[1:] for i in range(model.get_piece_size()))
     cache = PieceCache(lambda words: [len(ids) for ids in model.encode(words)], dict.fromkeys(whole, 1))
 

@@ -238,9 +238,8 @@ def brute_search(rows: list[tuple], k: int) -> dict[int, list[tuple[int, float]]
 
 def test_search(docs, mixed_rows, monkeypatch):
     want = brute_search(mixed_rows, 10)
-    for shard_docs, queries in ((25_000, 8_000), (20, 15)):
-        monkeypatch.setattr(topk_search, "SHARD_DOCS", shard_docs)
-        monkeypatch.setattr(topk_search, "BLOCK_QUERIES", queries)
+    for block_bytes in (32_000_000, 20_000):  # one block of queries, and several
+        monkeypatch.setattr(topk_search, "BLOCK_BYTES", block_bytes)
         got = collections.defaultdict(list)
         for r in topk_search.search(docs, docs.where("doc_id % 20 = 0")).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.doc_id, r.score))
@@ -249,6 +248,37 @@ def test_search(docs, mixed_rows, monkeypatch):
             assert [i for i, _ in got[q]] == [i for i, _ in best]
 
 
+@pytest.mark.parametrize("k", [1, 10])
+def test_wand_with_thresholds(k):
+    """Shards of many blocks, with and without a threshold, give what plain sums give."""
+    r = np.random.default_rng(5)
+    n, terms = 9000, 300
+    df = np.sort(r.integers(1, 4000, terms))
+    doc = np.concatenate([np.sort(r.choice(n, x, replace=False)) for x in df])
+    term, count = np.repeat(np.arange(terms), df), r.integers(1, 6, df.sum())
+    by = np.argsort(doc, kind="stable")
+    lengths, ids = r.integers(50, 400, n), r.permutation(n) * 3
+    index = topk_search.Index(ids, lengths, doc[by], term[by], count[by], 200.0, terms)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    impact = count * 2.2 / (count + 1.2 * (0.25 + 0.75 * lengths[doc] / 200.0))
+    for size in (1, 3, 40, 250):
+        own = np.sort(r.choice(terms, size, replace=False))
+        score = np.round(np.bincount(doc, np.isin(term, own) * idf[term] * impact, minlength=n), 6)
+        want = np.lexsort((ids, -score))[: min(k, int((score > 0).sum()))]
+        for least in (-np.inf, score[want[-1]] * 0.7, score[want[-1]]):
+            found, got = index.top(own, idf[own], k, least)
+            assert found.tolist() == want.tolist() and got == pytest.approx(score[want], abs=2e-6)
+        assert not len(index.top(own, idf[own], k, score[want[0]] + 1)[0])
+
+
+def test_search_of_odd_rows(spark):
+    """Query rows of one id have results of their own; null ids are left out; other columns may have any name."""
+    docs = spark.createDataFrame([(1, "red green", 0), (2, "green blue", 1), (2, "green blue", 1), (None, "red", 2), (4, None, 3), (5, "", 4)], "doc_id long, text string, score int")
+    asked = spark.createDataFrame([(7, "red"), (7, "BLUE blue"), (None, "red"), (8, None), (9, "unknown")], "doc_id long, text string")
+    got = [(r.query_id, r["rank"], r.doc_id) for r in topk_search.search(docs, asked).collect()]
+    assert sorted(got) == [(7, 1, 1), (7, 1, 2), (7, 2, 2)]
+
+
 def test_search_of_nothing(none):
     assert topk_search.search(none, none).count() == 0
 
