@@ -19,6 +19,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 2_000_000
+HOT_KEYS, LEAST_HOT = 20_000, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,21 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def join_uses(rows: DataFrame, known: DataFrame, keys: list[str], uses: str) -> DataFrame:
+    """Inner join of ``rows`` with ``known``, one row for each key with ``uses``, its number of rows: no task gets all rows of a hot key.
+
+    Keys with more than a ``HOT_KEYS``-th of all rows are broadcast, so at most ``HOT_KEYS`` of them; the others are
+    shuffled. Both tables should be written ones: each is read twice. Keys are not null.
+    """
+    total, most = known.agg(F.sum(uses), F.max(uses)).first()
+    limit = max(LEAST_HOT, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return rows.join(known, keys)
+    hot = known.where(F.col(uses) > limit)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(known.where(F.col(uses) <= limit), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A small table from the driver's rows, sent as Arrow batches: no Python worker is started for it."""
     from pyspark.sql.pandas.types import to_arrow_schema

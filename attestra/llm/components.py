@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import drop_written, written
+from attestra.llm.common import drop_written, join_uses, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two long columns ``a, b``; direction, repeats and loops don't matter. No
     edges give no rows. Each round is two aggregations and two joins on a node, written to
-    the shared folder; a node with very many edges is pre-aggregated, and its join can be
-    split. The number of rounds grows with the logarithm of the longest path.
+    the shared folder; a node with very many edges is pre-aggregated, and its edges are joined
+    where they are. The number of rounds grows with the logarithm of the longest path.
     """
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     now = written(edges.where("a <> b").select(a, b).distinct(), "edges")
@@ -25,12 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = tuple(new)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("uses")), "least")
+        large = written(join_uses(both, least, ["a"], "uses").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        nearest = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("uses")), "least")
+        small = join_uses(large, nearest, ["a"], "uses").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         after = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
-        drop_written(now)
+        for gone in (now, least, large, nearest):
+            drop_written(gone)
         now = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

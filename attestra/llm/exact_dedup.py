@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import ascii_lower, table
+from attestra.llm.common import ascii_lower, join_uses, table, written
 
 
 def chunk_pattern(min_chunk: int, max_chunk: int) -> str:
@@ -52,10 +52,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact = bool(ambiguous_identifiers(texts, min_chunk, max_chunk, weak_digest).take(1))
     chunks = chunks_of(F.col("_text"), min_chunk, max_chunk)
     recipe = F.transform(chunks, lambda c: F.encode(c, "UTF-8")) if exact else F.transform(chunks, lambda c: identifier(c, weak_digest))
-    recipes = texts.select("_id", recipe.alias("_recipe"), F.sha2(F.col("_text"), 256).alias("text_sha256"))
-    groups = recipes.groupBy("_recipe").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # An ordinary shuffled join: a recipe that a third of all rows share is split by adaptive execution.
-    return recipes.join(groups, "_recipe").select(
+    recipes = written(texts.select("_id", recipe.alias("_recipe"), F.sha2(F.col("_text"), 256).alias("text_sha256")), "recipes")
+    groups = written(recipes.groupBy("_recipe").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "recipe-groups")
+    return join_uses(recipes, groups, ["_recipe"], "group_size").select(
         F.col("_id").alias("doc_id"),
         "keep_id",
         "group_size",

@@ -15,20 +15,22 @@ one has. So hash the tokens into more segments than that: some segment of both m
   common passage, say) out as far as their spare units reach.
 * Sets whose tokens leave too many segments empty (rare) are found by their least tokens:
   partners share one of the ``n / 4 + 1`` least.
-* Verification counts the common shingles of whole sets. Sets that stay and share a
-  signature form candidate groups, by connected components over bucket members and leaders.
-  A group is cut into blocks of bounded size; each pair of blocks is one task, which counts
-  common shingles through an inverted index and returns links that join what was apart, a
-  spanning forest, never the pairs inside a group of copies. Every linked pair is in one
-  group, so none is lost.
-
-Equal sets are one node. Signatures travel as packed arrays, some 10 bytes each; a segment
+* Verification counts the common shingles of whole sets, compared word by word as strings.
+  Sets that stay and share a signature form candidate groups, by connected components over
+  bucket members and leaders. A group is cut into blocks of bounded size; a cell counts the
+  common shingles of its blocks through an inverted index and returns links that join what
+  was apart, a spanning forest, never the pairs inside a group of copies. Every linked pair
+  is in one group, so none is lost.
+
+Equal sets are one node, named by two independent hashes of 64 bits; hashes choose candidates
+and name equal sets, and never decide a link. Signatures travel as packed arrays, some 10 bytes each; a segment
 that very many sets of one batch share is reduced to the batch's leader before the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from attestra.llm.common import drop_written, table, written
+from attestra.llm.common import bounded, drop_written, join_uses, release, table, written
 from attestra.llm.components import components
-from attestra.llm.substring_dedup import BASES, Slots, mixed, stretch_hash
+from attestra.llm.words import Slots, chained, mixed
 
 U = np.uint64
 SHINGLE = 5
@@ -49,6 +51,7 @@ HOT = 256  # sets of one batch in one bucket
 PER_PART, PER_SORT, LEAST_PARTS = 4_000_000, 600_000, 64  # signatures
 BLOCK_TOKENS = 1_000_000
 BROADCAST_ROWS = 400_000
+LEADERS = 4
 OWN, BELOW, FAILS = 0, 1, 2
 
 
@@ -75,35 +78,38 @@ SEGMENTS, ELASTIC = _schemes()
 
 
 class Sets:
-    """Distinct shingle sets of some texts, side by side: ``token`` and ``text`` of each element, sorted."""
+    """Distinct shingle sets of some texts, side by side: ``token``, a second name and ``text`` of each element, sorted."""
 
     def __init__(self, texts: list[bytes], seed: int):
         slots = Slots([t.translate(LOWER_TABLE) for t in texts])
         seps = np.concatenate([[0], np.cumsum(slots.separator)])
-        at = np.flatnonzero(seps[SHINGLE:] == seps[:-SHINGLE]) if len(slots.hash) >= SHINGLE else np.zeros(0, np.int64)
+        whole = np.flatnonzero(seps[SHINGLE:] == seps[:-SHINGLE]) if len(slots.hash) >= SHINGLE else np.zeros(0, np.int64)
         words = np.bincount(slots.text_of, minlength=len(texts))
-        short = np.flatnonzero((words > 0) & (words < SHINGLE))
-        first = np.concatenate([at, slots.begin[short]])
-        last = np.concatenate([at + SHINGLE, slots.begin[short] + words[short]])
-        text = np.concatenate([np.searchsorted(slots.begin, at, side="right") - 1, short])
-        token = stretch_hash(slots.hash, BASES[1])(first, last)
+        text, token, second = [np.searchsorted(slots.begin, whole, side="right") - 1], [chained(slots.hash, SHINGLE)[whole]], [chained(slots.other, SHINGLE)[whole]]
+        for n in range(1, SHINGLE):  # short texts have one shingle
+            short = np.flatnonzero(words == n)
+            if len(short):
+                text.append(short), token.append(chained(slots.hash, n)[slots.begin[short]]), second.append(chained(slots.other, n)[slots.begin[short]])
+        text, token, second = (np.concatenate(x) for x in (text, token, second))
         order = np.lexsort((token, text))
-        token, text = token[order], text[order]
+        token, second, text = token[order], second[order], text[order]
+        same = (token[1:] == token[:-1]) & (text[1:] == text[:-1])
+        if (same & (second[1:] != second[:-1])).any():  # two shingles of a text share a token
+            order = np.lexsort((second, token, text))
+            token, second, text = token[order], second[order], text[order]
+            same = (token[1:] == token[:-1]) & (text[1:] == text[:-1])
         new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (text[1:] != text[:-1])
-        self.token, self.text = token[new], text[new]
+        new[1:] = ~same | (second[1:] != second[:-1])
+        self.token, self.second, self.text = token[new], second[new], text[new]
         self.size = np.bincount(self.text, minlength=len(texts))
-        self.node, self.check = self._names(len(texts), seed)
+        self.node, self.check = (self._names(x, salt + 2 * seed) for x, salt in ((self.token, 1), (self.second, 2)))
 
-    def _names(self, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of each set, and a second one that tells sets with equal hashes apart."""
-        out = []
+    def _names(self, tokens: np.ndarray, salt: int) -> np.ndarray:
+        """A name of each set."""
         with np.errstate(over="ignore"):
-            for salt in (1 + 2 * seed, 2 + 2 * seed):
-                sums = np.zeros(n, U)
-                np.add.at(sums, self.text, mixed(self.token + mixed(np.full(1, salt, U))))
-                out.append(mixed(sums + mixed(self.size.astype(U))).view(np.int64))
-        return out[0], out[1]
+            sums = np.zeros(len(self.size), U)
+            np.add.at(sums, self.text, mixed(tokens + mixed(np.full(1, salt, U))))
+            return mixed(sums + mixed(self.size.astype(U))).view(np.int64)
 
 
 def _parts(values: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -343,7 +349,7 @@ def candidates(texts: DataFrame, parts: int, seed: int) -> DataFrame:
                 n += len(part)
         yield from flush()
 
-    return _meet(texts.select("text").mapInArrow(emit, ROWS), parts)
+    return _meet(texts.select("text").mapInArrow(bounded(emit, 0), ROWS), parts)
 
 
 def fallback_candidates(texts: DataFrame, sizes: list[int], parts: int, seed: int) -> DataFrame:
@@ -359,7 +365,7 @@ def fallback_candidates(texts: DataFrame, sizes: list[int], parts: int, seed: in
                     rows = list(_packed(sign, sets.node[text], np.full(len(sign), 8), parts))
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "packed"])
 
-    return _meet(texts.select("text").mapInArrow(emit, ROWS), parts)
+    return _meet(texts.select("text").mapInArrow(bounded(emit, 0), ROWS), parts)
 
 
 def _named(texts: DataFrame, seed: int) -> DataFrame:
@@ -375,22 +381,42 @@ def _named(texts: DataFrame, seed: int) -> DataFrame:
             columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (size, node, check)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.astype(np.int64)) for c in columns), *batch.columns[3:]], names=["doc_id", "tag", "n", "node", "check", *more])
 
-    return texts.mapInArrow(name, ", ".join(["doc_id long, tag int, n long, node long, check long", *(f"{c} string" for c in more)]))
+    return texts.mapInArrow(bounded(name, 2), ", ".join(["doc_id long, tag long, n long, node long, check long", *(f"{c} string" for c in more)]))
 
 
-def _whole_sets(texts: DataFrame, seed: int) -> DataFrame:
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, part in _parts(batch.column(0)):
-                sets = Sets(part, seed)
-                cuts = np.concatenate([[0], np.cumsum(sets.size)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.node), pa.ListArray.from_arrays(pa.array(cuts), pa.array(sets.token.view(np.int64)))], names=["node", "tokens"])
+class Places(dict):
+    """Numbers from 1 of the words of a cell, compared as they are."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
 
-    return texts.select("text").mapInArrow(read, "node long, tokens array<long>")
 
+def exact_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the shingle sets of some texts, and the numbers of their shingles, in order; equal numbers are equal words."""
+    words = [t.translate(LOWER_TABLE).split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    padded = np.where(counts, np.maximum(counts, SHINGLE), 0)  # short texts end in zeros
+    at = np.repeat(np.cumsum(padded) - padded - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    places = Places()
+    number = np.zeros(int(padded.sum()), np.int64)
+    number[at] = np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.int64, len(at))
+    shingles = np.where(counts, padded - SHINGLE + 1, 0)
+    text = np.repeat(np.arange(len(texts)), shingles)
+    start = np.repeat(np.cumsum(padded) - padded - (np.cumsum(shingles) - shingles), shingles) + np.arange(shingles.sum())
+    name = number[start]
+    for k in range(1, SHINGLE):
+        _, name = np.unique(name * (len(places) + 1) + number[start + k], return_inverse=True)
+    kinds = int(name.max()) + 1 if len(name) else 1
+    keys = np.unique(text * kinds + name)
+    return np.bincount(keys // kinds, minlength=len(texts)), keys % kinds
 
-def forest(nodes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links between the sets ``left`` and ``right`` (places in ``nodes``) that join what other links here don't."""
+
+def forest(nodes: np.ndarray, sizes: np.ndarray, names: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the sets ``left`` and ``right`` (places in ``nodes``) that join what other links here don't.
+
+    ``names`` are the numbers of the sets' elements, one set after another.
+    """
     root = list(range(len(nodes)))
 
     def find(i: int) -> int:
@@ -399,23 +425,22 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, left: np.nd
             i = root[i]
         return i
 
-    _, name = np.unique(tokens, return_inverse=True)
     owner = np.repeat(np.arange(len(nodes)), sizes)
     start = np.cumsum(sizes) - sizes
     listed = np.zeros(len(nodes), bool)
     listed[right] = True
     mine = listed[owner]
-    order = np.argsort(name[mine], kind="stable")
-    posting, of = owner[mine][order], name[mine][order]
-    cuts = np.searchsorted(of, np.arange(int(name.max()) + 2)) if len(name) else np.zeros(1, np.int64)
+    order = np.argsort(names[mine], kind="stable")
+    posting, of = owner[mine][order], names[mine][order]
+    cuts = np.searchsorted(of, np.arange(int(names.max()) + 2)) if len(names) else np.zeros(1, np.int64)
     links = []
     for x in left.tolist():
-        own = name[start[x] : start[x] + sizes[x]]
+        own = names[start[x] : start[x] + sizes[x]]
         a, b = cuts[own], cuts[own + 1]
         size = b - a
         at = np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)
-        common = np.bincount(posting[at], minlength=len(nodes))
-        for y in np.flatnonzero((common > 0) & (100 * common >= 75 * (sizes[x] + sizes - common))).tolist():
+        others, common = np.unique(posting[at], return_counts=True)
+        for y in others[100 * common >= 75 * (sizes[x] + sizes[others] - common)].tolist():
             p, q = find(x), find(y)
             if p != q:
                 root[max(p, q)] = min(p, q)
@@ -423,28 +448,54 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, left: np.nd
     return links
 
 
+LEFT, RIGHT = 1, 2
+
+
 def _cell_links(cell: pa.Table) -> pa.Table:
-    """Links of one pair of blocks."""
+    """Links between the left and the right sets of one cell, by their words."""
     cell = cell.combine_chunks()
-    node, block = cell.column("node").to_numpy(), cell.column("block").to_numpy()
-    lists = cell.column("tokens").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    tokens = lists.flatten().to_numpy(zero_copy_only=False)
-    i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-    found = forest(node, sizes, tokens, np.flatnonzero(block == i), np.flatnonzero(block == j))
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    node, side = cell.column("node").to_numpy(), cell.column("side").to_numpy()
+    sizes, names = exact_sets(cell.column("text").to_pylist())
+    found = forest(node, sizes, names, np.flatnonzero(side & LEFT), np.flatnonzero(side & RIGHT))
+    release()
+    return pa.table({"root": pa.array([cell.column("root")[0].as_py()] * len(found), pa.int64()), "a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.select("root", "i", "j", "side", "node", "text").groupBy("root", "i", "j").applyInArrow(_cell_links, "root long, a long, b long")
 
 
 def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links inside candidate groups, by pairs of blocks of bounded size."""
-    sized = groups.join(sets.select("node", F.size("tokens").alias("n")), "node")
-    blocks = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    placed = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = sets.join(placed, "node").select("root", "node", "tokens", "block", other.alias("o"))
-    cells = cells.select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "tokens")
-    return cells.groupBy("root", "i", "j").applyInArrow(_cell_links, "a long, b long")
+    """Links ``a, b`` inside candidate groups, by cells of bounded size.
+
+    A group of one block is one cell. In a larger one a few leaders are first compared with every block; the sets
+    that they join are one component, and only sets outside the largest such one are compared with the whole group:
+    a group of near copies of one text costs as much as it has rows.
+    """
+    leaders = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64(F.lit(s), "node")) for s in range(LEADERS))))
+    sized = groups.join(sets.select("node", "weight"), "node")
+    blocks = sized.groupBy("root").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"), leaders.alias("leaders")).where("members > 1")
+    blocks = written(blocks, "blocks")
+    placed = join_uses(groups, blocks.select("root", "blocks", "members"), ["root"], "members").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = sets.join(placed, "node").select("root", "node", "text", "weight", "blocks", "block")
+    if not blocks.where("blocks > 1").take(1):
+        return _cells(rows.select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(LEFT | RIGHT).alias("side"), "node", "text")).select("a", "b")
+    rows = written(rows, "grouped-sets")
+    single = rows.where("blocks = 1").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(LEFT | RIGHT).alias("side"), "node", "text")
+    large = rows.where("blocks > 1")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    leading = blocks.where("blocks > 1").select("root", F.explode("leaders").alias("node")).join(large, ["root", "node"])
+    leading = leading.select("root", every.alias("i"), F.lit(0).alias("j"), F.lit(LEFT).alias("side"), "node", "text")
+    led = written(_cells(large.select("root", F.col("block").alias("i"), F.lit(0).alias("j"), F.lit(RIGHT).alias("side"), "node", "text").unionByName(leading)), "led")
+    joined = components(led).withColumnRenamed("root", "part").join(large.select("root", "node"), "node")
+    largest = joined.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("part", "n").alias("part"))
+    inside = joined.join(F.broadcast(largest) if blocks.where("blocks > 1").count() <= BROADCAST_ROWS else largest, ["root", "part"], "left_semi").select("node")
+    outside = written(large.join(inside, "node", "left_anti"), "outside")
+    parts = outside.groupBy("root").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).cast("int").alias("parts"))
+    few = F.broadcast(parts) if blocks.where("blocks > 1").count() <= BROADCAST_ROWS else parts
+    left = outside.join(few, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("root", "i", every.alias("j"), F.lit(LEFT).alias("side"), "node", "text")
+    right = large.join(few, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(RIGHT).alias("side"), "node", "text")
+    return _cells(single).unionByName(_cells(left.unionByName(right))).unionByName(led).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", choose: bool = False) -> DataFrame:
@@ -459,7 +510,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Of each component the text with the smallest id is kept, of several under that id, or
     under none, the one with the smallest digest; ``kept`` is true for all rows of that id and text.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
     if choose:
         texts = texts.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
     for seed in range(8):
@@ -502,11 +553,12 @@ def _component_roots(texts: DataFrame, named: DataFrame, found: DataFrame, seed:
     drop_written(found)
     several = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
     groups = written(groups.join(several, "root", "left_semi"), "groups")
-    ids = named.join(groups.select("node"), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id", "tag"), F.struct(F.isnull("doc_id"), "doc_id", "tag")).alias("x")).select(F.col("x.doc_id").alias("x_id"), F.col("x.tag").alias("x_tag"))
+    ids = named.join(groups.select("node"), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id", "tag"), F.struct(F.isnull("doc_id"), "doc_id", "tag")).alias("x")).select("node", F.col("x.doc_id").alias("x_id"), F.col("x.tag").alias("x_tag"))
     ids = written(ids, "group-texts")
     few = ids.count() <= BROADCAST_ROWS  # beyond it the texts are shuffled
     chosen = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("tag") == F.col("x_tag")))
-    sets = written(_whole_sets(chosen, seed), "sets")
+    # A set weighs as many shingles as it has words, so that a long text of few shingles is no light one.
+    sets = written(chosen.select("node", F.encode("text", "UTF-8").alias("text"), F.greatest(F.lit(1), F.octet_length("text") / 5).alias("weight")), "sets")
     if sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):  # equal rows without an id, or with one
         sets = written(sets.dropDuplicates(["node"]), "sets")
     return components(_links(sets, groups))

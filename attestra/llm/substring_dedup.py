@@ -18,8 +18,10 @@ with the least name. Windows side by side with one anchor are one row: about one
    together), with the number of rows they stand for. This decides which windows repeat.
 4. Each document drops the words that its repeated windows cover.
 
-All steps are keyed joins and pre-aggregated counts, so that a passage in a third of all
-documents is counted by parts, and adaptive execution may split its join.
+All steps are keyed joins and pre-aggregated counts: a passage in a third of all documents is
+counted by parts, and its rows are joined with the count where they are. The names are made
+of two independent 64-bit names of each word (``words.py``); name and stretch, or name and
+fingerprint, use one of them each.
 """
 
 from __future__ import annotations
@@ -32,79 +34,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from attestra.llm.common import drop_written, table, written
+from attestra.llm.common import bounded, drop_written, join_uses, table, written
+from attestra.llm.words import BASES, Slots, chained, mixed, stretch_names
 
 ROUNDS = 4
 BATCH_BYTES = 600_000
 BROADCAST_ROWS = 400_000
 U = np.uint64
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have inverses modulo 2^64
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads their bits."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2^64, at least ``n`` of each."""
-    held = _powers.get(base)
-    if held is None or len(held[0]) < n:
-        n = max(n, BATCH_BYTES + 1)
-        with np.errstate(over="ignore"):
-            held = tuple(np.concatenate([np.ones(1, U), np.multiply.accumulate(np.full(n, b & (2**64 - 1), U))]) for b in (base, pow(base, -1, 2**64)))
-        _powers[base] = held
-    return held
-
-
-def stretch_hash(values: np.ndarray, base: int):
-    """A function of starts and ends: a hash of ``values[start:end]`` that depends on nothing else."""
-    up, down = powers(base, len(values) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(values * up[: len(values)], dtype=U)])
-
-    def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mixed((sums[end] - sums[start]) * down[start] + mixed((end - start).astype(U)))
-
-    return of
-
-
-BYTE_VALUES = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-
-
-class Slots:
-    """Hashes of the words of some texts in one row of slots, a separator before each text and after the last."""
-
-    def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        apart = np.ones(len(data) + 1, bool)
-        apart[1:] = np.append(space, True)[:-1] if len(data) else True
-        apart[starts] = True
-        first = np.flatnonzero(~space & apart[:-1])
-        apart = np.append(space, True)
-        apart[ends] = True
-        last = np.flatnonzero(~space & apart[1:]) + 1
-        self.text_of = np.searchsorted(ends, first, side="right")
-        with np.errstate(over="ignore"):
-            words = stretch_hash(BYTE_VALUES[data], BASES[0])(first, last)
-        n = len(words) + len(texts) + 1
-        self.separator = np.ones(n, bool)
-        at = np.arange(len(words)) + self.text_of + 1
-        self.separator[at] = False
-        self.hash = mixed(np.arange(n, dtype=U))
-        self.hash[at] = words
-        self.begin = np.searchsorted(self.text_of, np.arange(len(texts))) + np.arange(len(texts)) + 1  # first slot of each text
 
 
 def parse(slots: Slots) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -160,7 +97,7 @@ def anchored_rows(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     valid = seps[at + window] == seps[at]
     open_ = valid.copy()
     name_of, occurrence, base = np.zeros(len(at), U), np.full(len(at), -1), 0
-    stretch_of = stretch_hash(slots.hash, BASES[1])
+    stretch_of = stretch_names(slots.hash, BASES[0])
     for level, (name, low, high) in reversed(list(enumerate(parse(slots)))):
         if not open_.any():
             break
@@ -195,9 +132,7 @@ def anchored_rows(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     last = np.flatnonzero(gone)
     changes = np.concatenate([[0, 0], np.cumsum(occurrence[1:] != occurrence[:-1])])[: len(at) + 1]
     several = changes[last + 1] != changes[first + 1]
-    with np.errstate(over="ignore"):
-        other = mixed(slots.hash + U(29))
-    stretch = stretch_hash(other, BASES[0])(first, last + window)
+    stretch = stretch_names(slots.other, BASES[1])(first, last + window)
     text = np.searchsorted(slots.begin, first, side="right") - 1
     return text, first - slots.begin[text], last - first + 1, name_of[first], stretch, several
 
@@ -208,8 +143,7 @@ def window_prints(text: bytes, first: np.ndarray, count: np.ndarray, window: int
     row = np.repeat(np.arange(len(first)), count)
     first = first + slots.begin[0]
     p = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    with np.errstate(over="ignore"):
-        return row, stretch_hash(mixed(slots.hash + U(17)), BASES[1])(p, p + window)
+    return row, chained(slots.other, window)[p]
 
 
 def _encoded(values: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -250,7 +184,7 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
                     names=["name", "stretch", "doc_id", "tag", "first", "n", "several"],
                 )
 
-    found = written(rows.mapInArrow(anchors, "name long, stretch long, doc_id long, tag int, first int, n int, several boolean"), "anchors")
+    found = written(rows.mapInArrow(bounded(anchors, 2), "name long, stretch long, doc_id long, tag long, first int, n int, several boolean"), "anchors")
     names = found.groupBy("name").agg(F.count(F.lit(1)).alias("uses"), F.max("several").alias("any")).where("uses > 1 OR any").select("name")
     shared = written(found.join(names, "name", "left_semi"), "shared-anchors")
     drop_written(found)
@@ -282,9 +216,9 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["name", "print", "stretch", "at"])
 
     # Equal windows have one anchor name, so that name and fingerprint together are 128 bits.
-    prints_ = joined.mapInArrow(prints, "name long, print long, stretch long, at long")
-    uses = F.sum(F.col("at").bitwiseAND(3)).over(Window.partitionBy("name", "print"))
-    again = prints_.withColumn("uses", uses).where("uses > 1").select("name", "stretch", F.shiftright("at", 32).cast("int").alias("place"))
+    prints_ = written(joined.mapInArrow(bounded(prints, 0), "name long, print long, stretch long, at long"), "prints")
+    counts = prints_.groupBy("name", "print").agg(F.sum(F.col("at").bitwiseAND(3)).alias("uses"), F.count(F.lit(1)).alias("rows"))
+    again = join_uses(prints_, written(counts.where("uses > 1"), "counts"), ["name", "print"], "rows").select("name", "stretch", F.shiftright("at", 32).cast("int").alias("place"))
     places = again.groupBy("name", "stretch").agg(F.sort_array(F.collect_set("place")).alias("places"))  # within one row
     # Places side by side as intervals.
     begins = F.filter(F.col("places"), lambda p: ~F.array_contains("places", p - 1))
@@ -305,7 +239,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat each other. An empty table gives an empty result. Other columns are not read.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    tag = F.hash(F.col(text_col)) if ids.where("n > 1").take(1) else F.lit(0)  # tells rows of one id apart
+    tag = F.xxhash64(F.col(text_col)) if ids.where("n > 1").take(1) else F.lit(0).cast("long")  # tells rows of one id apart
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = repeated_windows(rows, window).groupBy(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag")).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = written(spans, "spans")
@@ -341,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     touched = _only(rows, ids, "left_semi").join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("tag") == F.col("s_tag"))).select("doc_id", "text", "spans")
     others = _only(rows, ids, "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     schema = ", ".join(["doc_id long", *(f"{o} {names[o]}" for o in outputs)])
-    return touched.mapInArrow(cut, schema).unionByName(others.mapInArrow(cut, schema))
+    return touched.mapInArrow(bounded(cut, 1), schema).unionByName(others.mapInArrow(bounded(cut, 1), schema))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

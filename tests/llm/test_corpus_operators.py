@@ -174,6 +174,54 @@ def test_jaccard_of_odd_rows(spark, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def pattern_words() -> tuple[str, str]:
+    """Two different words that polynomials modulo a power of two cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_patterns_of_letters_and_words(spark):
+    one, two = pattern_words()
+    text = lambda w: " ".join([*(f"t{i}" for i in range(17)), w, *(f"t{i}" for i in range(17, 34))])
+    spread = lambda w: " ".join(w)
+    rows = [(1, one), (2, two), (3, text(one)), (4, text(two)), (5, spread(one)), (6, spread(two))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()} == brute_components(rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, outputs=("n_words", "n_removed", "kept_sha256")).collect()}
+    assert got == brute_repeats(rows, 35)
+    assert got[3][1] == got[4][1] == 0
+
+
+def test_jaccard_in_blocks(spark, monkeypatch):
+    """A group of many blocks: near copies of one text, chains that only pass through others, and copies."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 500)
+    r = random.Random(9)
+    base = sentence(r, 60, 9000).split()
+    rows = [(i, " ".join(base[:k] + [f"q{i}"] + base[k + 1 :])) for i, k in enumerate([2, 3, 57, 58] * 12)]
+    rows += [(100 + i, " ".join(base[i : i + 60 - i] + [f"c{j}" for j in range(2 * i)])) for i in range(24)]
+    rows += [(300 + i, " ".join(f"c{j}" for j in range(i, i + 40))) for i in range(0, 30, 3)]
+    want = brute_components(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_exact_sets():
+    texts = ["a b c d e f", "A b c d e f", "x y", "", "x y", "a b c d e a b c d e"]
+    sizes, names = jaccard_join.exact_sets([t.encode() for t in texts])
+    parts = np.split(names, np.cumsum(sizes)[:-1])
+    assert sizes.tolist() == [len(shingles(t)) for t in texts]
+    assert parts[0].tolist() == parts[1].tolist() and parts[2].tolist() == parts[4].tolist() and len(np.intersect1d(parts[0], parts[5])) == 1
+
+
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    from attestra.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 1)) for i in range(n)], "key long, i long")
+    known = rows.groupBy("key").count().where("key < 3")
+    assert common.join_uses(rows, known, ["key"], "count").groupBy("key").count().orderBy("key").collect() == [(1, 50), (2, 3)]
+
+
 def test_jaccard_links_null_ids(spark):
     text = lambda word, n: " ".join(f"{word}{i}" for i in range(n))
     rows = [(1, text("a", 40)), (None, text("a", 46)), (2, text("a", 54))]  # 36, 42 and 50 shingles: the ends link by the middle only
