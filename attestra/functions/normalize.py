@@ -26,7 +26,7 @@ RECOGNISERS = {
 }
 DEFAULT_RECOGNISER = "eslav_PP-OCRv5_mobile_rec"
 
-#: Evaluated fields in their order, and what predictions call them.
+#: Evaluated fields in their order, and what predictions call them; the fields of each rule.
 FIELDS = {"pcpl_inn": "principal_inn", "bene_inn": "beneficiary_inn", "issue_date": "issue_date", "start_date": "start_date", "end_date": "end_date", "sum": "amount", "currency": "currency", "ikz": "ikz"}
 ID_FIELDS = ("pcpl_inn", "bene_inn", "bank_inn", "principal_inn", "beneficiary_inn", "ikz")
 DATE_FIELDS = ("issue_date", "start_date", "end_date")
@@ -48,19 +48,23 @@ def digits(c: Column) -> Column:
 
 
 def iso_date(c: Column) -> Column:
-    """ISO date of the first ten characters by the known formats, else those characters."""
-    s = text_or_null(c)
-    h = F.left(s, F.lit(10))
-    short = F.try_to_date(h, "d.M.yy")
-    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
-    shaped = lambda pattern, d: F.when(h.rlike(pattern), d)
-    parsed = F.coalesce(
-        shaped(r"^\d{4}-\d{1,2}-\d{1,2}$", F.try_to_date(h, "yyyy-M-d")),
-        shaped(r"^\d{1,2}\.\d{1,2}\.\d{4}$", F.try_to_date(h, "d.M.yyyy")),
-        shaped(r"^\d{1,2}/\d{1,2}/\d{4}$", F.try_to_date(h, "d/M/yyyy")),
-        shaped(r"^\d{1,2}\.\d{1,2}\.\d{2}$", short),
-    )
-    return F.when(F.lower(s).isin("nat", "nan", "none"), None).otherwise(F.coalesce(parsed.cast("string"), h))
+    """ISO date of the first ten characters by the known formats, else those characters.
+
+    Each format is rewritten to year-month-day by one replacement of the whole, so that the text
+    is named once and parsed once: the expression stays small enough for generated code.
+    """
+    head = F.left(text_or_null(c), F.lit(10))
+    ymd = head
+    for pattern, to in (
+        (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", "$3-$2-$1"),
+        (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
+        (r"^(\d{1,2})\.(\d{1,2})\.(69|[7-9]\d)$", "19$3-$2-$1"),
+        (r"^(\d{1,2})\.(\d{1,2})\.(\d{2})$", "20$3-$2-$1"),
+        (r"(?s)^(?!\d{4}-\d{1,2}-\d{1,2}$).*$", ""),
+    ):
+        ymd = F.regexp_replace(ymd, pattern, to)
+    none = F.regexp_replace(head, r"(?i)^(nat|nan|none)$", "")
+    return F.coalesce(F.try_to_date(ymd, "yyyy-M-d").cast("string"), F.nullif(none, F.lit("")))
 
 
 def number(c: Column) -> Column:
@@ -71,9 +75,8 @@ def number(c: Column) -> Column:
 
 def amount(c: Column) -> Column:
     """N4 of a text: with both marks commas group, a comma alone is the decimal mark; no number is null."""
-    k = F.regexp_replace(text_or_null(c), r"(?U)[^\d.,\-]", "")
-    k = F.when(k.contains(",") & k.contains("."), F.replace(k, F.lit(","), F.lit(""))).otherwise(F.replace(k, F.lit(","), F.lit(".")))
-    return F.bround(k.try_cast("double"), 2)
+    k = F.regexp_replace(c.cast("string"), r"(?U)[^\d.,\-]", "")
+    return F.bround(F.replace(k, F.lit(","), F.when(k.contains("."), "").otherwise(".")).try_cast("double"), 2)
 
 
 def currency(c: Column) -> Column:
@@ -85,7 +88,7 @@ def currency(c: Column) -> Column:
 def field(name: str, c: Column) -> Column:
     """The rule of a field."""
     if name in ID_FIELDS:
-        return digits(text_or_null(c))
+        return digits(c)
     if name in DATE_FIELDS:
         return iso_date(c)
     if name in AMOUNT_FIELDS:

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from attestra.functions.normalize import checked_date, loose_amount, lookup
 
-# The patterns, in Java's syntax; their flags are Unicode and, but for dates, any case.
+# The patterns, in Java's syntax; their flags are Unicode and, but for dates, any case. An amount is looked for
+# from the first digit of a run on, where it would be found in any case: without the look-behind a long run is tried at each digit.
 DATE = r"(?U)«?\s*(\d{1,2})\s*»?\s*[./]\s*(\d{1,2})\s*[./]\s*(\d{4})"
-AMOUNT = r"(?iU)(\d[\d\s]*[\d](?:[.,]\d{1,2})?)\s*(?:руб|рублей|₽|RUB|руб\.|рубль)"
+AMOUNT = r"(?iU)(?<!\d)(\d[\d\s]*[\d](?:[.,]\d{1,2})?)\s*(?:руб|рублей|₽|RUB|руб\.|рубль)"
 AMOUNT_AFTER_WORD = r"(?iU)(?:сумм[аыеой]|размер[еа]?|составляет)\s*[:.]?\s*(\d[\d\s]*[\d](?:[.,]\d{1,2})?)"
 IKZ = r"(?iU)(?:ИКЗ|икз|I[KК]З)\s*[:.]?\s*(\d{20,40})"
 CURRENCY = r"(?iU)(руб|рублей|рубль|руб\.|₽|RUB|USD|EUR|доллар|евро)"
@@ -91,12 +92,13 @@ def inn_roles(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([roles(mentions(t or "")) for t in text], columns=["principal_inn", "beneficiary_inn", "bank_inn"], dtype=object)
 
 
-def extract(text: Column) -> Column:
-    """All fields as one struct; those that patterns don't find are null."""
+def extract(text: Column, found: Column | None = None) -> Column:
+    """All fields as one struct; those that patterns don't find are null. ``found`` are the text's ``dates``, if a column has them."""
     who = inn_roles(text)
+    found = dates(text) if found is None else found
     none = lambda kind="string": F.lit(None).cast(kind)
     return F.struct(
-        none().alias("guarantee_number"), nth_date(text, 0).alias("issue_date"), nth_date(text, 1).alias("start_date"), nth_date(text, 2).alias("end_date"),
+        none().alias("guarantee_number"), F.get(found, F.lit(0)).alias("issue_date"), F.get(found, F.lit(1)).alias("start_date"), F.get(found, F.lit(2)).alias("end_date"),
         amount(text).alias("amount"), currency(text).alias("currency"), who["principal_inn"].alias("principal_inn"), who["beneficiary_inn"].alias("beneficiary_inn"),
         none().alias("contract_number"), none().alias("contract_date"), none().alias("contract_name"), ikz(text).alias("ikz"), none().alias("bank_name"),
         who["bank_inn"].alias("bank_inn"), none("int").alias("claim_period_days"), F.lit("v1").alias("schema_version"), none("double").alias("extraction_confidence"),
@@ -128,12 +130,22 @@ def template(version: str) -> str:
     return json.dumps({k: special.get(k) for k in RECORD_KEYS[version]}, indent=2)
 
 
+#: The system's instruction, and the wording of a question and of one asked again.
+SYSTEM_PROMPT = (
+    "Extract fields from OCR text of Russian bank guarantees.\nReturn exactly ONE valid JSON object, no markdown, no prose, no extra keys.\n"
+    "Use YYYY-MM-DD dates, decimal dot for amount, and null when unknown.\nDo not invent values.\nINN must be digits only (10 or 12 digits).\n"
+    "IKZ must be digits only (36 digits).\nIf start_date is not specified separately, it is equal to issue_date.\nCurrency should be a 3-letter code: RUB, USD, EUR, etc."
+)
+ASK = "Extract fields from OCR text.\nOutput ONE valid JSON object only.\n\n"
+ASK_AGAIN = "Previous response is invalid.\nFix all errors and return ONE valid JSON object only.\n\nValidation errors:\n"
+
+
 def prompt(text: Column, version: str = "v2", errors: Column | None = None) -> Column:
-    """What a model is asked, or asked again after ``errors`` (an array of texts)."""
+    """What a model is asked, or asked again after ``errors`` (an array of texts); ``SYSTEM_PROMPT`` goes before it."""
     tail = f"Schema template ({version}):\n```json\n{template(version)}\n```\n\nOCR text:\n---\n"
     if errors is None:
-        head = F.lit("Extract fields from OCR text.\nOutput ONE valid JSON object only.\n\n")
+        head = F.lit(ASK)
     else:
         bullets = F.array_join(F.transform(errors, lambda e: F.concat(F.lit("- "), e)), "\n")
-        head = F.concat(F.lit("Previous response is invalid.\nFix all errors and return ONE valid JSON object only.\n\nValidation errors:\n"), bullets, F.lit("\n\n"))
+        head = F.concat(F.lit(ASK_AGAIN), bullets, F.lit("\n\n"))
     return F.concat(head, F.lit(tail), text, F.lit("\n---"))

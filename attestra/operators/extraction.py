@@ -8,14 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.functions.structured import with_validated
-from attestra.functions.text import extract, prompt, within_budget
+from attestra.functions.structured import json_schema, with_validated
+from attestra.functions.text import SYSTEM_PROMPT, extract, prompt, within_budget
 from attestra.sources.tables import materialised
 
-Generate = Callable[[str], str]
+#: A model's call: system prompt, question, JSON schema of the answer.
+Generate = Callable[[str, str, dict], str]
 
 
-def _answers(rows: DataFrame, ask: str, make: Callable[[], Generate]) -> DataFrame:
+def _answers(rows: DataFrame, ask: str, make: Callable[[], Generate], schema: dict) -> DataFrame:
     """One answer a row. The model is made once for each batch stream of a Python worker; its failure is the row's error."""
     kept = rows.columns
 
@@ -25,7 +26,7 @@ def _answers(rows: DataFrame, ask: str, make: Callable[[], Generate]) -> DataFra
             raw, failure = [], []
             for question in part[ask]:
                 try:
-                    raw.append(generate(question))
+                    raw.append(generate(SYSTEM_PROMPT, question, schema))
                     failure.append(None)
                 except Exception as e:  # noqa: BLE001  any model may fail; the row says how
                     raw.append(None)
@@ -39,6 +40,7 @@ def _answers(rows: DataFrame, ask: str, make: Callable[[], Generate]) -> DataFra
 def extract_by_model(docs: DataFrame, make: Callable[[], Generate], text: str = "text", version: str = "v2", retries: int = 2) -> DataFrame:
     """Adds ``status, record, raw, errors, warnings, attempts``.
 
+    ``make`` gives a call that takes the system prompt, a question and the JSON schema of the answer.
     Each attempt asks for the rows that are still invalid, the errors of the attempt before in
     the question; errors are those of the last attempt. A model that fails ends a row at once
     as ``failed_runtime``. Attempts are separate passes over fewer and fewer rows, each written
@@ -48,7 +50,7 @@ def extract_by_model(docs: DataFrame, make: Callable[[], Generate], text: str =
     left = docs.withColumn("_ask", prompt(within_budget(F.col(text)), version))
     done: DataFrame | None = None
     for attempt in range(1, retries + 2):
-        answered = materialised(_answers(left, "_ask", make))  # a model is asked once for each attempt
+        answered = materialised(_answers(left, "_ask", make, json_schema(version)))  # a model is asked once for each attempt
         checked = with_validated(answered, "raw", version)
         failed = F.col("failure").isNotNull()
         ok = F.size("errors") == 0

@@ -1,4 +1,4 @@
-"""Recognised words to lines, blocks, pages and markdown (X14, X15, A19-A21, W5, W6), and a grey threshold."""
+"""Recognised words to lines, blocks, pages and markdown (X14-X16, A19-A21, W5, W6), and a grey threshold."""
 
 from __future__ import annotations
 
@@ -50,6 +50,28 @@ def polygon_bbox(polygon: Column, box: Column) -> Column:
     return F.coalesce(F.when(F.size(polygon) > 0, points), F.transform(F.slice(box, 1, 4), lambda x: x.cast("int")), F.array(*[F.lit(0)] * 4))
 
 
+def _first(result: object, names: tuple[str, ...]) -> object:
+    """The first of some fields that a result has, by key or by attribute."""
+    for n in names:
+        value = result.get(n) if isinstance(result, dict) else getattr(result, n, None)
+        if value is not None:
+            return value
+    return None
+
+
+def recognised(result: object) -> tuple[list, list, list | None, list | None]:
+    """Texts, scores, polygons and boxes of a recogniser's result, whatever its form: a dict, a dict under
+    ``res``, or an object with these as attributes. A result without texts gives none. Runs in a batch function."""
+    inner = _first(result, ("res",))
+    forms = [inner if isinstance(inner, dict) else result, result] if not isinstance(result, dict) else [inner if inner is not None else result]
+    for form in forms:
+        texts = _first(form, ("rec_texts", "texts"))
+        if texts is not None and len(texts):
+            scores = _first(form, ("rec_scores", "scores"))
+            return list(texts), list(scores) if scores is not None else [], _first(form, ("dt_polys", "rec_polys")), _first(form, ("rec_boxes",))
+    return [], [], None, None
+
+
 def otsu_threshold(pixels: DataFrame, image: str, value: str) -> DataFrame:
     """The grey value that parts an image's pixels with the greatest variance between classes; of equal ones the least.
 

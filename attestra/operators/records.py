@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,22 +84,44 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return rows.orderBy(order, key).limit(n)
 
 
+def numbered(names: list[str], splits: list[tuple[str, str]]) -> list[str]:
+    """W7 of one family of names in order: a name met before gets the first free number, from the count of its uses on."""
+    uses: dict[str, int] = {}
+    out = []
+    for name, (stem, ending) in zip(names, splits, strict=True):
+        made = name
+        if name in uses:
+            made = next(m for k in count(uses[name]) if (m := f"{stem}__{k}{ending}") not in uses)
+            uses[name] += 1
+        uses[made] = 1
+        out.append(made)
+    return out
+
+
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """A repeated name gets ``__k`` before its ending. A made name that is taken is numbered again.
+    """Rows of the name and order columns with ``unique_name``: a repeated name gets ``__k`` before its ending.
 
-    Names are made unique in two steps, each within one base name: by count, then, where a
-    made name meets a given one, by further numbers.
+    Names that could meet are one family: those of one stem less its ``__k`` endings. A family of one
+    name is numbered by a window; one of several, where a made name may meet a given one, in order, as
+    an Arrow batch. A bundle is a bounded sample, and so is a family. Other columns stay.
     """
     stem, ending = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^.+?(\.[^.]*)?$", 1)
+    split = rows.withColumns({"_stem": stem, "_end": ending}).withColumn("_family", F.concat(F.regexp_replace("_stem", r"(__\d+)+$", ""), F.lit("/"), "_end"))
+    families = split.groupBy("_family").agg((F.min(name) != F.max(name)).alias("_several"))
+    split = split.join(families, "_family")
     k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    named = rows.withColumn("_k", k).withColumn("unique_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("__"), F.col("_k"), ending)))
-    taken = named.where("_k = 0").select(F.col("unique_name").alias("_t"), F.col(order).alias("_o"))
-    clash = named.where("_k > 0").join(taken.withColumnRenamed("_t", "unique_name"), "unique_name", "left_semi").select(F.col(order)).distinct().withColumn("_clash", F.lit(True))
-    marked = named.join(clash, order, "left")
-    # A clash takes a number beyond all that its base name has used.
-    beyond = F.max("_k").over(Window.partitionBy(name)) + F.sum(F.coalesce(F.col("_clash").cast("int"), F.lit(0))).over(Window.partitionBy(name).orderBy(order))
-    marked = marked.withColumn("_n", beyond)
-    return marked.withColumn("unique_name", F.when(F.col("_clash"), F.concat(stem, F.lit("__"), F.col("_n"), ending)).otherwise(F.col("unique_name"))).drop("_k", "_clash", "_n")
+    single = split.where("NOT _several").withColumn("_k", k)
+    single = single.withColumn("unique_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat("_stem", F.lit("__"), "_k", "_end"))).select(*rows.columns, "unique_name")
+    several = split.where("_several").select(*rows.columns, "_family", "_stem", "_end")
+
+    columns = rows.columns
+
+    def number(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        return part[columns].assign(unique_name=numbered(part[name].tolist(), list(zip(part["_stem"], part["_end"], strict=True))))
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "unique_name string"])
+    return single.unionByName(several.groupBy("_family").applyInPandas(number, kinds))
 
 
 def batches(rows: DataFrame, key: str, size: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,22 +13,10 @@ from attestra.operators import evaluation as E
 from attestra.operators import layout as L
 from attestra.operators import records as R
 from attestra.plans import views as V
+from attestra.plans.registry import query
 from attestra.streaming.jobs import event_windows
 
-Query = Callable[[SparkSession, str], DataFrame]
 WEIGHTS = {"pcpl_inn": 2.0, "bene_inn": 2.0, "sum": 3.0, "issue_date": 1.0, "start_date": 1.0, "end_date": 1.0, "currency": 0.5, "ikz": 1.5}
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
 
 
 def gold_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,11 +217,11 @@ def tall_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.from_wide(E.wide(diagnosed(spark, sf_dir), "id"), "id").select("id", "field", "is_match", "error_type", F.round("edit_similarity", 6).alias("edit_similarity"), F.col("within_tolerance").cast("string").alias("within_tolerance"))
 
 
-@query(f"WITH gp AS ({GP}) " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS n, count(*) FILTER (gold_{f} IS NOT DISTINCT FROM pred_{f}) AS equal FROM gp WHERE id % 5 <> 0" for f in N.FIELDS))
+@query(f"WITH gp AS ({GP}) " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS n, count(*) FILTER (gold_{f} IS NOT DISTINCT FROM pred_{f}) AS equal FROM gp" for f in N.FIELDS))
 def plain_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M10, A23, JN4: raw values, of documents for which a truth exists."""
+    """M10, JN4, JN7: raw values of all documents."""
     rows = gold_pred(spark, sf_dir)
-    gold = rows.where("id % 5 <> 0").select("id", *(F.col(f"gold_{f}").alias(f) for f in N.FIELDS))
+    gold = rows.select("id", *(F.col(f"gold_{f}").alias(f) for f in N.FIELDS))
     pred = rows.select("id", *(F.col(f"pred_{f}").alias(f) for f in N.FIELDS))
     return E.equal_fields(gold, pred, "id").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if("equal").alias("equal"))
 
@@ -268,10 +254,10 @@ def append_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.append_keep_first(docs.where("source < 'src5'").withColumn("batch", F.lit("old")), docs.withColumn("batch", F.lit("new")), "doc_id")
 
 
-@query(f"{D} SELECT id, n.field, coalesce(bool_or(ok), false) AS is_match, coalesce(max(err), 'missing') AS error_type FROM (SELECT DISTINCT id, f.field FROM gp, (VALUES {', '.join(f'''('{f}')''' for f in N.FIELDS)}) f(field) WHERE status = 'succeeded') n LEFT JOIN (SELECT * FROM d WHERE id % 3 <> 0 OR field <> 'ikz') x USING (id, field) GROUP BY id, n.field")
+@query(f"{D} SELECT id, n.field, coalesce(bool_or(ok), false) AS is_match, coalesce(max(err), 'missing') AS error_type FROM (SELECT DISTINCT id, f.field FROM gp, (VALUES {', '.join(f'''('{f}')''' for f in N.FIELDS)}) f(field) WHERE status = 'succeeded') n LEFT JOIN (SELECT * FROM d WHERE g IS NOT NULL) x USING (id, field) GROUP BY id, n.field")
 def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN6."""
-    rows = E.tall(diagnosed(spark, sf_dir), "id").where("id % 3 <> 0 OR field <> 'ikz'")
+    """JN6: diagnoses exist where the truth has the field, a natural gap."""
+    rows = E.tall(diagnosed(spark, sf_dir), "id").where("gold_value IS NOT NULL")
     return R.with_missing_fields(rows, ["id"], list(N.FIELDS)).select("id", "field", "is_match", "error_type")
 
 
@@ -314,10 +300,19 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.seeded_sample(V.load(spark, sf_dir, "documents").select("doc_id", "source"), 200, 42, "doc_id")
 
 
-@query("SELECT doc_id, name, CASE WHEN n = 0 THEN name ELSE concat(regexp_extract(name, '^(.+?)(\\.[^.]*)?$', 1), '__', n, '.pdf') END AS unique_name FROM (SELECT doc_id, concat(source, '.pdf') AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)")
+UNIQUE = r"""WITH n AS (SELECT doc_id, CASE WHEN source = 'src0' AND doc_id = (SELECT max(doc_id) FROM documents WHERE source = 'src0') THEN 'src0__1.pdf' ELSE concat(source, '.pdf') END AS name FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id) - 1 AS n FROM n),
+m AS (SELECT doc_id, name, CASE WHEN n = 0 THEN name ELSE concat(regexp_extract(name, '^(.+?)(\.[^.]*)?$', 1), '__', n, '.pdf') END AS u FROM k)
+SELECT doc_id, name, CASE WHEN name = 'src0__1.pdf' AND (SELECT count(*) FROM m WHERE u = 'src0__1.pdf') > 1 THEN 'src0__1__1.pdf' ELSE u END AS unique_name FROM m"""
+
+
+@query(UNIQUE)
 def unique_bundle_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W7."""
-    rows = V.load(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".pdf")).alias("name"))
+    """The last file of one source already has a name that numbering makes."""
+    docs = V.load(spark, sf_dir, "documents")
+    last = docs.where("source = 'src0'").agg(F.max("doc_id").alias("last"))
+    name = F.when((F.col("source") == "src0") & (F.col("doc_id") == F.col("last")), "src0__1.pdf").otherwise(F.concat("source", F.lit(".pdf")))
+    rows = docs.join(F.broadcast(last), how="left").select("doc_id", name.alias("name"))
     return R.unique_names(rows, "name", "doc_id").select("doc_id", "name", "unique_name")
 
 
@@ -354,7 +349,8 @@ def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH t AS ({OCR}) SELECT id, strftime(strptime(regexp_extract(text, 'Дата (\\d\\d\\.\\d\\d\\.\\d{{4}})', 1), '%d.%m.%Y'), '%Y-%m-%d') AS issue_date, strftime(strptime(regexp_extract(text, 'по (\\d\\d\\.\\d\\d\\.\\d{{4}})', 1), '%d.%m.%Y'), '%Y-%m-%d') AS start_date, cast(NULL AS string) AS end_date FROM t")
 def regex_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3, W8, N11."""
-    return ocr(spark, sf_dir).select("id", *(X.nth_date(F.col("text"), i).alias(n) for i, n in enumerate(N.DATE_FIELDS)))
+    found = ocr(spark, sf_dir).select("id", X.dates(F.col("text")).alias("d"))
+    return found.select("id", *(F.get("d", F.lit(i)).alias(n) for i, n in enumerate(N.DATE_FIELDS)))
 
 
 @query(f"WITH t AS ({OCR}) SELECT id, price AS amount, 'RUB' AS currency, regexp_extract(text, 'ИКЗ: (\\d+)', 1) AS ikz FROM t")

@@ -1,6 +1,6 @@
 """The evaluation report: metrics of runs by configuration, as a dictionary and as Markdown (A17, N13, SNK8).
 
-All figures come from three aggregations; the driver only sees a few rows for each
+All figures come from three aggregations, each run once; the driver only sees a few rows for each
 configuration and renders them.
 """
 
@@ -56,6 +56,7 @@ def compute(results: DataFrame, weights: dict[str, float] | None = None, wrong_c
     counts = {(r["ocr_engine"], r["extractor"]): r for r in E.status_counts(results).collect()}
     rows = stored_diagnostics(E.succeeded(results), tolerance)
     sums = E.field_sums(rows, wrong_counts_as_fn=wrong_counts_as_fn, weights=weights)
+    sums = results.sparkSession.createDataFrame(sums.collect(), sums.schema)  # a row for each configuration, used twice
     fields = {}
     for r in E.field_metrics(sums).collect():
         fields.setdefault((r["ocr_engine"], r["extractor"]), {})[r["field"]] = r

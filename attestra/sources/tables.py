@@ -23,14 +23,22 @@ from attestra.sources import schemas
 EXTRACTED_FILES = ("ocr.json", "ocr.md", "extraction.json", "meta.json")
 
 
+def shared_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``; without one only a local master has a folder."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "attestra-checkpoints")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster names in ``spark.checkpoint.dir``, and read back. What made it
-    (a model, a random draw) is not run again, even if executors are lost."""
-    spark = df.sparkSession
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "attestra-checkpoints")
-    path = f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read back. What made it (a model, a random draw) is not run again, even
+    if executors are lost."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str = schemas.DATASET) -> DataFrame:
@@ -188,10 +196,10 @@ def write_artifacts(rows: DataFrame, root: str, copy_source: bool = False) -> No
     rows.select("guarantee_id", "stem", *columns, *(["content"] if copy_source else [])).foreachPartition(write)
 
 
-def manifest(rows: DataFrame) -> DataFrame:
-    """SNK9: totals of a bulk run and its failures, as one row. ``rows``: ``path, ok, error``."""
-    failures = F.sort_array(F.collect_list(F.when(~F.col("ok"), F.struct("path", "error"))))
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), failures.alias("failures"))
+def manifest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SNK9: totals of a bulk run as one row, and its failures as rows of ``path, error``. ``rows``: ``path, ok, error``."""
+    totals = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
+    return totals, rows.where(~F.col("ok")).select("path", "error")
 
 
 def legacy_report(rows: DataFrame) -> DataFrame:

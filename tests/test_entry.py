@@ -12,7 +12,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from attestra.plans.queries import ORACLES, QUERIES
+from attestra.plans.registry import load_all
+
+QUERIES, ORACLES = load_all()
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 

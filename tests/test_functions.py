@@ -142,8 +142,8 @@ def test_validation_v2(spark):
     got = check(
         spark,
         [
-            '```json\n{"guarantee_number": " G  1 ", "principal_inn": "77-07083893", "currency": "руб", "amount": 10.5, "bogus_field": 1,}\n```',
-            "not json at all", '{"guarantee_number": "X", amount: BROKEN', '{"principal_inn": "123"}', '{"amount": -100}', '{"ikz": "none"}',
+            '```json\n{"guarantee_number": " G  1 ", "principal_inn": "77-07083893", "currency": "руб", "amount": 10.5, "surplus": 1,}\n```',
+            "no braces here", '{"guarantee_number": "X", amount: open', '{"principal_inn": "123"}', '{"amount": -100}', '{"ikz": "none"}',
             '{"start_date": "2024-02-01", "end_date": "2024-01-01"}', "[1, 2]", '{"principal_inn": 1234567890}', '{"issue_date": "2024-13-01"}', '{"amount": 5, "nested": {"a": 1}', None,
         ],
     )
