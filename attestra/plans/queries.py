@@ -373,7 +373,7 @@ ANSWER = "concat('```json\n{\"guarantee_number\": \"G-', cast(o_orderkey as stri
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 OR o_orderkey % 10 = 0 OR o_orderkey % 4 = 0 THEN NULL ELSE concat('G-', o_orderkey) END AS guarantee_number, CASE WHEN o_orderkey % 6 = 0 OR o_orderkey % 10 = 0 OR o_orderkey % 4 = 0 THEN NULL ELSE 'RUB' END AS currency, cast(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE (o_orderkey % 6 = 0)::int + (o_orderkey % 10 = 0)::int END AS bigint) AS n_errors FROM orders")
 def json_repair_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X8-X10, VR1-VR4, P6: fenced answers with a trailing comma, some cut off beyond repair."""
-    rows = V.load(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{ANSWER} AS answer")
+    rows = V.spread(V.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")).selectExpr("o_orderkey AS id", f"{ANSWER} AS answer")
     checked = S.with_validated(rows, "answer")
     return checked.select("id", F.col("record.guarantee_number").alias("guarantee_number"), F.col("record.currency").alias("currency"), F.size("errors").cast("long").alias("n_errors"))
 
@@ -389,7 +389,7 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of documents as a recogniser would give them, 40 to a block and 8 to a line."""
-    docs = V.load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("ord", "text"))
+    docs = V.spread(V.load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("ord", "text"))
     o = F.col("ord")
     return docs.select(
         "doc_id", "ord", "text", F.floor(o / 40).cast("int").alias("block_num"), F.pmod(F.floor(o / 8), F.lit(5)).cast("int").alias("line_num"), (10 * (o % 8)).alias("left"),

@@ -72,5 +72,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has slots, such as one small file, dealt over all of them; others as they are."""
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(slots) if rows.rdd.getNumPartitions() < 2 * slots else rows
+
+
 def view(spark: SparkSession, sf_dir: str, columns: dict[str, str], table: str) -> DataFrame:
-    return load(spark, sf_dir, table).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
+    return spread(load(spark, sf_dir, table)).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
