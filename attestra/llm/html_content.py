@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import table
+from attestra.llm.common import bounded, table
 from attestra.llm.html_pages import labelled_pages
 
 #: A tag with its attributes as HTML reads them: a quote opens a value only right after the equals sign, and a value without quotes ends
@@ -79,6 +80,30 @@ def closed_at_once(attributes: str) -> bool:
     return attributes.endswith("/") and max((m.end() for m in ATTRIBUTE.finditer(attributes)), default=0) < len(attributes)
 
 
+class Stack(list):
+    """Open elements with their nodes, and how many of each name are open."""
+
+    def __init__(self) -> None:
+        super().__init__([("#page", 0)])
+        self.open: Counter = Counter()
+
+    def append(self, item: tuple[str, int]) -> None:
+        super().append(item)
+        self.open[item[0]] += 1
+
+    def pop(self) -> tuple[str, int]:
+        item = super().pop()
+        self.open[item[0]] -= 1
+        return item
+
+    def cut(self, at: int) -> None:
+        while len(self) > at:
+            self.pop()
+
+    def set_node(self, node: int) -> None:
+        self[-1] = (self[-1][0], node)
+
+
 class Page:
     """The elements of a page in order, its runs of text, and where blocks end."""
 
@@ -98,7 +123,7 @@ class Page:
         return len(self.tag) - 1
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int]] = [("#page", 0)]  # plain inline elements share their parent's node
+        stack = Stack()  # plain inline elements share their parent's node
         at, n, links, runs = 0, len(html), 0, self.runs
         endless: set[str] = set()
         while at < n:
@@ -138,7 +163,7 @@ class Page:
                         end = NEXT_TAG.search(html, at)
                         stop = at = end.start() if end else n
                 if tag == "xmp":
-                    links -= self._close("p", stack) if any(t == "p" for t, _ in stack) else 0
+                    links -= self._close("p", stack) if stack.open["p"] else 0
                     runs += [None, (self._open(tag, stack[-1][1], attributes), entities.escape(html[begin:stop], False), links > 0)]
                 runs.append(None) if tag not in ("script", "style") and not foreign else None
                 continue
@@ -159,16 +184,16 @@ class Page:
                     stack.pop()
             if tag in FOREIGN and closed_at_once(attributes):
                 continue
-            if tag in CLOSES_P and any(t == "p" for t, _ in stack):
+            if tag in CLOSES_P and stack.open["p"]:
                 links -= self._close("p", stack)
             if tag in SIBLING:
                 same, scope = SIBLING[tag]
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(stack.open[t] for t in same) else ():
                     if stack[i][0] in scope:
                         break
                     if stack[i][0] in same:
                         links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
+                        stack.cut(i)
                         runs.append(None)
                         break
             if tag == "a":
@@ -176,7 +201,7 @@ class Page:
             if tag in INLINE and not named(attributes):
                 stack.append((tag, stack[-1][1]))
                 if tag == "button":
-                    stack[-1] = (tag, self._open(tag, stack[-1][1], attributes))
+                    stack.set_node(self._open(tag, stack[-1][1], attributes))
             else:
                 stack.append((tag, self._open(tag, stack[-1][1], attributes)))
                 if tag in ("td", "th"):
@@ -184,15 +209,15 @@ class Page:
                 elif not inside_block(tag):
                     runs.append(None)
 
-    def _close(self, tag: str, stack: list[tuple[str, int]]) -> int:
+    def _close(self, tag: str, stack: Stack) -> int:
         """End the innermost element of a name; how many links that ends."""
         same = (tag, f"~{tag}")
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if stack.open[tag] or stack.open[same[1]] else ():
             if stack[i][0] in same:
                 gone = stack[i:]
                 if tag in INLINE and any(t not in INLINE and t[0] != "~" for t, _ in gone[1:]):
                     return 0  # a stray inline end doesn't end blocks
-                del stack[i:]
+                stack.cut(i)
                 if not all(inside_block(t) for t, _ in gone):
                     self.runs.append(None)
                 return sum(t == "a" for t, _ in gone)
@@ -243,11 +268,11 @@ class Page:
         blocks, part = [], []
         for run in [*self.runs, None]:
             if run is None:
-                if part and (block := " ".join(entities.unescape("".join(part)).split())):
+                if part and (block := " ".join("".join(part).split())):
                     blocks.append(block)
                 part = []
             elif content[run[0]]:
-                part.append(run[1])
+                part.append(entities.unescape(run[1]) if "&" in run[1] else run[1])  # a reference ends with its run
         return "\n".join(blocks)
 
 
@@ -261,11 +286,11 @@ class Forest:
         self.start = np.cumsum(sizes) - sizes
         self.parent = np.concatenate([np.array(p.parent) + s for p, s in zip(pages, self.start, strict=True)])
         self.parent[self.start] = -1
-        depth = np.zeros(len(self.parent), int)
-        for i, p in enumerate(self.parent.tolist()):
-            if p >= 0:
-                depth[i] = depth[p] + 1
-        self.levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+        depth: list[int] = []
+        for p in self.parent.tolist():
+            depth.append(depth[p] + 1 if p >= 0 else 0)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
 
     def marginals(self, weights: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Marginal of each node, of each edge by both ends, and the logarithm of the normaliser."""
@@ -290,7 +315,7 @@ class Forest:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 400, seed: int = 11, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def trained(pages: int = 700, seed: int = 11, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features and edges, by gradient ascent on the labelled pages' likelihood with a small penalty."""
     parsed = [Page(h) for h in labelled_pages(pages, seed)]
     forest = Forest(parsed)
@@ -342,7 +367,7 @@ def extract_content(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(bounded(read, 2), "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:

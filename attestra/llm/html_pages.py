@@ -25,6 +25,7 @@ PARTS = {
 class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.block, self.block_name = "p", ""  # how the page at hand marks paragraphs
 
     def words(self, low: int, high: int, end: str = "") -> str:
         r = self.r
@@ -53,7 +54,7 @@ class Maker:
             text = f"<b>{self.words(1, 4)}</b> " + text
         if self.r.random() < 0.1:
             text = text.replace(". ", ".<br>", 1)
-        return self.element("p", label, text)
+        return self.element(self.block if label else "p", label, text, self.block_name if label else "")
 
     def body(self) -> str:
         """Parts of an article, most of them paragraphs."""
@@ -118,18 +119,37 @@ class Maker:
         return self.element(r.choice(["div", "ul", "p"]), 0, " ".join(self.link() for _ in range(r.randint(2, 5))), name)
 
     def page(self) -> str:
+        """A page of one of some layouts: a marked article, a plain body, blocks of ``div``, a table with columns, lines parted by ``br``."""
         r = self.r
+        layout = r.random()
+        self.block, self.block_name = ("div", r.choice(["", "", "", "text", "para", "block"])) if r.random() < 0.25 else ("p", "")
         body = self.body()
-        tag = r.choice(["article", "article", "main", "div", "div", "section"])
-        name = "" if tag in ("article", "main") and r.random() < 0.6 else r.choice(CONTENT_NAMES)
-        main = self.element(tag, 1, body, name)
         before = [self.part(k) for k in ("notice", "header", "nav", "ad", "aside") if r.random() < 0.5]
         after = [self.part(k) for k in ("share", "form", "aside", "ad", "comments", "notice", "footer") if r.random() < 0.45]
+        if layout < 0.14:  # the body is the article's element
+            few = r.random() < 0.5
+            return self.document("".join(before[: r.randint(0, 2)] if few else before) + body + "".join(after[: r.randint(0, 1)] if few else after), 1)
+        if layout < 0.22:  # text and line breaks in the body itself or in one element
+            lines = "<br><br>".join(self.sentences(1, 6) for _ in range(r.randint(2, 9)))
+            own = r.random() < 0.5
+            main = lines if own else self.element(r.choice(["div", "td", "font", "section"]), 1, lines, r.choice(["", "", "text", "story"]))
+            return self.document("".join(before[:2]) + main + "".join(after[:2]), int(own))
+        if layout < 0.34:  # columns of a table: the menu, the article, the rest
+            side = lambda: self.element("td", 0, r.choice([self.links(0), "<br>".join(self.link() for _ in range(r.randint(3, 9))), " ".join(self.link() for _ in range(5)), self.part("ad")]), r.choice(["", "", "menu", "side"]))
+            cells = [side() for _ in range(r.randint(0, 2))] + [self.element("td", 1, body, r.choice(["", "", "content"]))] + [side() for _ in range(r.randint(0, 1))]
+            top = self.element("tr", 0, self.element("td", 0, self.words(1, 4))) if r.random() < 0.4 else ""
+            return self.document("".join(before[:1]) + self.element("table", 0, top + self.element("tr", 0, "".join(cells))) + "".join(after[:1]), 0)
+        tag = r.choice(["article", "article", "main", "div", "div", "section"])
+        name = "" if tag in ("article", "main") and r.random() < 0.6 or r.random() < 0.2 else r.choice(CONTENT_NAMES)
+        main = self.element(tag, 1, body, name)
         if r.random() < 0.4:  # a wrapper around content and some of the rest
             cut = r.randint(0, len(before))
             main = self.element("div", 0, "".join(before[cut:]) + main + "".join(after[:1]), r.choice(["wrapper", "container", "page", "layout", "row", ""]))
             before, after = before[:cut], after[1:]
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{}}</style></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+        return self.document("".join(before) + main + "".join(after), 0)
+
+    def document(self, inner: str, label: int) -> str:
+        return f'<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{}}</style></head><body data-y="{label}">{inner}</body></html>'
 
 
 def labelled_pages(n: int, seed: int) -> list[str]:

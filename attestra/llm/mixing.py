@@ -177,4 +177,6 @@ def _with_thresholds(base: DataFrame, plan: list[list], rest: dict[str, tuple[in
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    # Besides the contract's columns, where each take goes: its shard, and its place there by the shuffle key.
+    takes = F.transform("draws", lambda d: d["shard"]), F.transform("draws", lambda d: d["shuffle_key"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), takes[0].alias("shards"), takes[1].alias("shuffle_keys"))

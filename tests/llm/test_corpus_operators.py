@@ -8,6 +8,7 @@ import importlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -370,6 +371,50 @@ def test_mix(spark, docs, mixed_rows, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mix_follows_the_splitting_tree(spark):
+    """Each shard's takes of a source are whole blocks, as many as the tree's quota, and no block's pass is in two shards."""
+    docs = spark.createDataFrame([(i, "one two three", f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
+    mix = mixing.Mix(blocks=32, shards=5)
+    sums = [{"_source": f"s{r.s}", "_block": r.b, "words": r.w} for r in docs.selectExpr("substring(source, 2) AS s", f"pmod(xxhash64({mix.seed}, doc_id), 32) AS b", "3L AS w").groupBy("s", "b").sum("w").withColumnRenamed("sum(w)", "w").collect()]
+    plan, rest = mixing._block_plan([dict(x, _source="s" + x["_source"]) for x in sums], mix)
+    quotas = collections.Counter((name, shard) for name, _, _, _, whole, part, _ in plan for _, shard in [*whole, *part])
+    drawn = collections.defaultdict(set)
+    block = {r.doc_id: r.b for r in docs.selectExpr("doc_id", f"pmod(xxhash64({mix.seed}, doc_id), 32) AS b").collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    for r in mixing.mix_sources(docs, mix=mix).collect():
+        for d in r.draws:
+            drawn["s" + source[r.doc_id], block[r.doc_id], d["pass"]].add(d["shard"])
+    assert all(len(s) == 1 for s in drawn.values())
+    found = collections.Counter((name, min(s)) for (name, _, _), s in drawn.items())
+    assert found == quotas and len({s for _, s in quotas}) == 5
+
+
+def test_mix_and_shards_of_odd_rows(spark):
+    rows = [(1, "a b", "s"), (1, "a b", "s"), (None, "c", None), (None, None, "s"), (2, "", "s"), (3, "word " * 300_000, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r["size"] for r in mixing.mix_sources(docs).collect()) == [0, 0, 1, 2, 2, 300_000]
+    placed = sharding.shard_by_kd_tree(docs, shards=3).collect()
+    assert sorted(r["size"] for r in placed) == [16, 16, 17, 19, 19, 1_500_016]
+    slots = collections.defaultdict(list)
+    for r in placed:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_queries_return_their_columns(spark, data):
+    """The registered queries of mixing, sharding and languages on the smallest tables."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in mixing.op8_mix_sources(spark, data).collect():
+        assert r.taken == r["size"] * len(r.shards) and len(r.shards) == len(r.shuffle_keys) <= 2
+    placed = sharding.op9_kd_tree_shards(spark, data).collect()
+    assert {r.doc_id for r in placed} == set(docs) and {r.law for r in placed} == {"bytes"} and {r.grown_shard for r in placed} == {None}
+    assert {r.shard for r in placed} == set(range(40))
+    from attestra.llm import language_id
+
+    held = {r.doc_id: r.held_out for r in language_id.op3_language_id(spark, data).collect()}
+    assert held == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
+
+
 def test_shards(docs, mixed_rows, none, spark):
     rows = sharding.shard_by_kd_tree(docs, shards=6).collect()
     assert sorted(r.doc_id for r in rows) == sorted(i for i, *_ in mixed_rows)

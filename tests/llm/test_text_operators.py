@@ -172,6 +172,55 @@ def test_pages_not_seen_in_training():
     assert right > 0.85
 
 
+def paragraphs(n: int = 6) -> list[str]:
+    words, r = "the quick brown fox jumps over a lazy dog while seven wizards boil odd jars".split(), random.Random(1)
+    return [" ".join(r.choice(words) for _ in range(60)).capitalize() + "." for _ in range(n)]
+
+
+LAYOUTS = {
+    "a plain body": lambda ps: "".join(f"<p>{p}</p>" for p in ps),
+    "div blocks in an article": lambda ps: "<article>" + "".join(f"<div>{p}</div>" for p in ps) + "</article>",
+    "div blocks in the body": lambda ps: "".join(f"<div>{p}</div>" for p in ps),
+    "a column of a table": lambda ps: "<table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td>" + "".join(f"<p>{p}</p>" for p in ps) + "</td></tr></table>",
+    "unnamed wrappers": lambda ps: "<div><div><div>" + "".join(f"<p>{p}</p>" for p in ps) + "</div></div></div>",
+}
+
+
+@pytest.mark.parametrize("layout", sorted(LAYOUTS))
+def test_articles_of_all_layouts(layout):
+    ps = paragraphs()
+    html = f"<html><head><title>t</title></head><body>{LAYOUTS[layout](ps)}</body></html>"
+    assert html_content.extract_texts([html], html_content.trained()) == ["\n".join(ps)]
+
+
+def test_text_of_the_body_itself():
+    ps = paragraphs()
+    assert html_content.extract_texts([f"<body>{ps[0]}</body>", "<body>" + "<br><br>".join(ps) + "</body>"], html_content.trained()) == [ps[0], " ".join(ps)]
+
+
+def test_inline_drawings_and_references():
+    ps = paragraphs(3)
+    html = f"<article><p>{ps[0]} <svg><text>x</text></svg><math><mi>y</mi></math> end &amp; &<b>amp;</b> more.</p><p>{ps[1]}</p><p>{ps[2]}</p></article>"
+    assert html_content.extract_texts([html], html_content.trained())[0].split("\n")[0] == f"{ps[0]} x y end & &amp; more."
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    html_content.extract_texts(["<div>" * 16_000 + "deep"], html_content.trained())
+    html_content.Page("<i><p>" * 16_000 + "</b>" * 16_000)
+    assert time.time() - began < 20
+
+
+def test_long_texts_are_cut_nowhere(spark):
+    """A text of over a batch's bytes, alone and among short ones, in all text operators."""
+    long = "word " * 700_000
+    docs = spark.createDataFrame([(1, "a b"), (2, long), (3, None), (4, long)], "doc_id long, text string").repartition(1)
+    counted = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, bpe.default_path()).collect()}
+    assert counted[2] == counted[4] == (3_500_000, 700_000) and counted[3] == (0, 0)
+    named = {r.doc_id: r.lang_pred for r in language_id.identify(docs, {"en": {"w": 0}, "xx": {"q": 0}}).collect()}
+    assert named == {1: "en", 2: "en", 3: "und", 4: "en"}
+
+
 def test_marginals_are_exact():
     """Against the sum over all labellings of small trees."""
     rng = np.random.default_rng(5)
