@@ -53,6 +53,11 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def hot_limit(rows: int) -> int:
+    """Rows of one key beyond which it is hot: fewer than ``HOT_KEYS`` keys can be."""
+    return max(LEAST_HOT, rows // HOT_KEYS)
+
+
 def join_uses(rows: DataFrame, known: DataFrame, keys: list[str], uses: str) -> DataFrame:
     """Inner join of ``rows`` with ``known``, one row for each key with ``uses``, its number of rows: no task gets all rows of a hot key.
 
@@ -60,7 +65,7 @@ def join_uses(rows: DataFrame, known: DataFrame, keys: list[str], uses: str) ->
     shuffled. Both tables should be written ones: each is read twice. Keys are not null.
     """
     total, most = known.agg(F.sum(uses), F.max(uses)).first()
-    limit = max(LEAST_HOT, (total or 0) // HOT_KEYS)
+    limit = hot_limit(total or 0)
     if (most or 0) <= limit:
         return rows.join(known, keys)
     hot = known.where(F.col(uses) > limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import drop_written, join_uses, written
+from attestra.llm.common import drop_written, hot_limit, join_uses, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,24 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = tuple(new)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("uses")), "least")
-        large = written(join_uses(both, least, ["a"], "uses").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        nearest = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("uses")), "least")
-        small = join_uses(large, nearest, ["a"], "uses").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        most = both.groupBy("a").agg(F.count(F.lit(1)).alias("uses")).agg(F.max("uses")).first()[0] or 0
+        kept = []
+
+        def tied(rows: DataFrame, known: DataFrame) -> DataFrame:
+            """Join on ``a``; where a node is hot, both tables are written and its edges joined where they are."""
+            if most <= hot_limit(2 * new[0]):
+                return rows.join(known.drop("uses"), "a")
+            kept.append(written(known, "least"))
+            return join_uses(rows, kept[-1], ["a"], "uses")
+
+        uses = F.count(F.lit(1)).alias("uses")
+        large = tied(both, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), uses)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        if kept:
+            large = written(large, "large")
+            kept.append(large)
+        small = tied(large, large.groupBy("a").agg(F.min("b").alias("m"), uses)).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         after = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
-        for gone in (now, least, large, nearest):
+        for gone in (now, *kept):
             drop_written(gone)
         now = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

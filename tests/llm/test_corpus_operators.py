@@ -232,6 +232,17 @@ def test_jaccard_links_null_ids(spark):
     assert got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_components_of_stars(spark, monkeypatch, hot):
+    """Nodes of very many edges, with and without the way for hot ones."""
+    from attestra.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", hot)
+    edges = [(500, i) for i in range(40)] + [(900, i) for i in range(600, 640)] + [(39, 600), (1000, 1001)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(40), 500, *range(600, 640), 900], 0), 1000: 1000, 1001: 1000}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
