@@ -188,9 +188,9 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     names = found.groupBy("name").agg(F.count(F.lit(1)).alias("uses"), F.max("several").alias("any")).where("uses > 1 OR any").select("name")
     shared = written(found.join(names, "name", "left_semi"), "shared-anchors")
     drop_written(found)
-    kinds = shared.groupBy("name").agg(((F.min("stretch") != F.max("stretch")) | F.max("several")).alias("open"))
-    known = written(shared.join(kinds, "name").select("name", "stretch", "doc_id", "tag", "first", "n", "open"), "known-anchors")
-    drop_written(shared)
+    kinds = written(shared.groupBy("name").agg(((F.min("stretch") != F.max("stretch")) | F.max("several")).alias("open"), F.count(F.lit(1)).alias("uses")), "kinds")
+    known = written(join_uses(shared, kinds, ["name"], "uses").select("name", "stretch", "doc_id", "tag", "first", "n", "open"), "known-anchors")
+    drop_written(shared), drop_written(kinds)
     whole = known.where("NOT open").select("doc_id", "tag", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     some = known.where("open")
 
