@@ -531,8 +531,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = written(rooted.select("doc_id", F.col("n").alias("n_shingles"), "key", *texts.columns[3:]), "rooted")
     linked, alone = rooted.where("key IS NOT NULL"), rooted.where("key IS NULL")
     order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_sha256") if choose else None
-    least = linked.groupBy("key").agg(F.min("doc_id").alias("least"), *([F.min(order).alias("first")] if choose else []))
-    joined = linked.join(least, "key").select("doc_id", "n_shingles", F.col("least").alias("component_id"), *([order.eqNullSafe(F.col("first")).alias("kept"), "text_sha256"] if choose else []))
+    least = linked.groupBy("key").agg(F.min("doc_id").alias("least"), *([F.min(order).alias("first")] if choose else []), F.count(F.lit(1)).alias("uses"))
+    joined = join_uses(linked, written(least, "least"), ["key"], "uses").select("doc_id", "n_shingles", F.col("least").alias("component_id"), *([order.eqNullSafe(F.col("first")).alias("kept"), "text_sha256"] if choose else []))
     return joined.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([F.lit(True).alias("kept"), "text_sha256"] if choose else [])))
 
 
