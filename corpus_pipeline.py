@@ -61,9 +61,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it: its shards, each in one file's rows, ordered by a hash."""
+    """Each document as often as the mix of sources takes it: shard after shard, each ordered by a hash and cut into as many files as its size asks for."""
     drawn = mix_sources(docs, keep=tuple(docs.columns)).withColumn("draw", F.explode("draws"))
-    return _renamed(drawn.repartition("draw.shard").sortWithinPartitions("draw.shard", "draw.shuffle_key"), docs.columns)
+    place = "draw.shard", "draw.shuffle_key"  # by ranges: a task's rows don't depend on the number of shards
+    return _renamed(drawn.repartitionByRange(*place).sortWithinPartitions(*place), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
