@@ -508,3 +508,20 @@ def test_pipeline_writes_shards_in_shuffled_order(spark, data):
             shard = next(s for s, ids in want.items() if part[at : at + len(ids)] == ids)
             at += len(want.pop(shard))
     assert not want
+
+
+def test_pipeline_cuts_shards_into_even_files(spark, data):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.createDataFrame([(i, f"one two three {i}", f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
+    place = {}
+    for r in mixing.mix_sources(docs).collect():
+        for d in r.draws:
+            place.setdefault((d["shard"], d["shuffle_key"]), []).append(r.doc_id)
+    want = [i for k in sorted(place) for i in place[k]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [[r.doc_id for r in part] for part in pipeline.mix(spark, docs, data).rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [i for part in parts for i in part] == want
+    assert len(parts) > 1 and max(map(len, parts)) < 2 * len(want) / len(parts)
