@@ -525,3 +525,16 @@ def test_pipeline_cuts_shards_into_even_files(spark, data):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [i for part in parts for i in part] == want
     assert len(parts) > 1 and max(map(len, parts)) < 2 * len(want) / len(parts)
+
+
+def test_jaccard_of_hot_components(spark, monkeypatch):
+    """A component with more rows than a hot key's, and the same rows without the way for hot ones."""
+    from attestra.llm import common
+
+    text = lambda word, n: " ".join(f"{word}{i}" for i in range(n))
+    rows = [(i, text("a", 60)) for i in range(12)] + [(20 + i, text("a", 60 + i % 3)) for i in range(6)] + [(40, text("b", 30)), (41, text("c", 30)), (42, None), (None, text("a", 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    got = {r.doc_id: (r.component_id, r.kept) for r in jaccard_join.jaccard_components(docs, choose=True).collect()}
+    assert len(got) == len(rows)
+    assert got == {**{i: (0, t == text("a", 60) and i == 0) for i, t in rows}, 40: (40, True), 41: (41, True), 42: (42, True)}
