@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import bpe, exact_dedup, html_content, jaccard_join, language_id, mixing, sharding, substring_dedup, token_counts, topk_search
+from attestra.llm import bpe, collocations, exact_dedup, html_content, jaccard_join, language_id, mixing, sharding, substring_dedup, token_counts, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_kd_tree_shards": sharding.op9_kd_tree_shards,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_phrase_collocations": collocations.op11_phrase_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op11_phrase_collocations": collocations.ORACLE,
 }
