@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import bpe, collocations, exact_dedup, html_content, jaccard_join, language_id, mixing, sharding, spelling, substring_dedup, token_counts, topk_search
+from attestra.llm import bpe, collocations, embedding_dedup, exact_dedup, html_content, jaccard_join, language_id, mixing, sharding, spelling, substring_dedup, token_counts, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_kd_tree_shards": sharding.op9_kd_tree_shards,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_phrase_collocations": collocations.op11_phrase_collocations,
+    "op12_embedding_near_dedup": embedding_dedup.op12_embedding_near_dedup,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
@@ -29,5 +30,6 @@ ORACLES: dict[str, str] = {
     "op7_topk_search": topk_search.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
     "op11_phrase_collocations": collocations.ORACLE,
+    "op12_embedding_near_dedup": embedding_dedup.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }
