@@ -210,6 +210,17 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     return phrases, words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
+def best_cut() -> Column:
+    """``score, cut, l, r`` of the cut that counts, from ``a, lefts, rights``. Products of counts may pass 64 bits."""
+    exact = lambda c: c.cast("decimal(18,0)")
+    return F.array_min(
+        F.transform(
+            F.arrays_zip("lefts", "rights"),
+            lambda c, i: F.struct(F.call_function("div", 1_000_000 * exact(F.col("a")) * exact(F.col("a")), exact(c["lefts"]) * exact(c["rights"])).alias("score"), i.alias("cut"), c["lefts"].alias("l"), c["rights"].alias("r")),
+        )
+    )
+
+
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, max_words: int = 3, top: int | None = 2000, share: int = 50) -> DataFrame:
     """Collocations of each language: ``lang, rank, phrase, a, l, r, n, score``, best first.
 
@@ -227,9 +238,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """
     phrases, totals = frequent_phrases(docs, lang_col, text_col, least, max_words)
     held = phrases.where(F.col("k") > 1).where(F.col("inside").isNull() | (100 * F.col("inside") < share * F.col("a")))
-    exact = lambda c: c.cast("decimal(18,0)")  # noqa: E731  products of counts may pass 64 bits
-    cuts = F.transform(F.arrays_zip("lefts", "rights"), lambda c, i: F.struct(F.call_function("div", 1_000_000 * exact(F.col("a")) * exact(F.col("a")), exact(c["lefts"]) * exact(c["rights"])).alias("score"), i.alias("cut"), c["lefts"].alias("l"), c["rights"].alias("r")))
-    scored = held.select("lang", "phrase", "a", F.array_min(cuts).alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "c.score")
+    scored = held.select("lang", "phrase", "a", best_cut().alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "c.score")
     order = [F.desc("score"), F.desc("a"), "phrase"]
     if top is not None:  # the first of each bucket of a language, then of those the first: no language meets in one task
         bucket = F.pmod(F.xxhash64("phrase"), F.lit(RANK_BUCKETS)).alias("bucket")
