@@ -161,7 +161,7 @@ def near_words(vocabulary: DataFrame, shard_words: int = SHARD_WORDS) -> DataFra
     """
     spark = vocabulary.sparkSession
     shards = max(1, -(-vocabulary.count() // shard_words))
-    found = []
+    found = [vocabulary.where("false").select("word", F.col("word").alias("near"), F.col("n").alias("near_n"))]
     for way in ("forward", "backward"):
         key = F.col("word") if way == "forward" else F.reverse("word")
         ranged = vocabulary.select(key.alias("key"), "n").repartitionByRange(shards, "key").sortWithinPartitions("key")
