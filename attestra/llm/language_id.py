@@ -145,10 +145,10 @@ def learn_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: ``doc_id, lang_pred, score``, after them the columns named in ``keep``.
+    """One row per input row: ``doc_id, lang_pred, score, rejected``, after them the columns named in ``keep`` as ``k_...``.
 
     ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter, or where
-    nothing was learned. Repeated and null ids pass through.
+    nothing was learned; ``rejected`` tells the first case alone. Repeated and null ids pass through.
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,15 +156,13 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
         for batch in batches:
             found = []
             for text in batch.column(1).to_pylist():
-                if not text or not ranker or not LETTER.search(text):
-                    found.append(("und", 0.0))
-                else:
-                    found.append(ranker.nearest(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *batch.columns[2:]], names=["doc_id", "lang_pred", "score", *(f"k_{c}" for c in keep)])
+                rejected = not text or not LETTER.search(text)
+                found.append((*(("und", 0.0) if rejected or not ranker else ranker.nearest(text)), rejected))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_()), *batch.columns[2:]], names=["doc_id", "lang_pred", "score", "rejected", *(f"k_{c}" for c in keep)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k_{c}") for c in keep))
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(bounded(predict, 1), ", ".join(["doc_id long, lang_pred string, score double", *(f"k_{c} {kinds[f'k_{c}']}" for c in keep)]))
+    return rows.mapInArrow(bounded(predict, 1), ", ".join(["doc_id long, lang_pred string, score double, rejected boolean", *(f"k_{c} {kinds[f'k_{c}']}" for c in keep)]))
 
 
 def fold(id_col: str = "doc_id") -> Column:

@@ -80,21 +80,37 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``draws`` is an array of ``(pass, shard, shuffle_key)``, one for each time the mix takes
     the document; empty if it doesn't. ``size`` counts words; null text has none. Null is a
     source of its own, the last. A source without words has target 0, and its documents and
-    other empty ones ride along with their block. Rows that repeat an id are rows of their
-    own. An empty table gives an empty result. Other columns are not read.
+    other empty ones ride along with their block. Blocks and thresholds hash the id; null and
+    repeated ids are rows of their own by the text too, and where texts repeat as well by the
+    place in the input (a rerun over the same files agrees). An empty table gives an empty
+    result. Other columns are not read.
     """
     spark = docs.sparkSession
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
-    u = F.xxhash64(F.lit(mix.seed), F.col(id_col))
-    rows_ = docs.select(
+    given = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         key.alias("_source"),
         word_count(F.col(text_col)).alias("size"),
-        F.pmod(u, F.lit(mix.blocks)).cast("int").alias("_block"),
-        F.shiftrightunsigned(u, 64 - 2 * FINE_BITS).alias("_fine"),
+        F.xxhash64(F.lit(mix.seed), F.col(id_col)).alias("_hash"),
+        F.xxhash64(F.col(text_col)).alias("_text"),
+        F.monotonically_increasing_id().alias("_place"),
         *(F.col(c).alias(f"k_{c}") for c in keep),
     )
-    base = written(rows_.select("doc_id", "_source", "size", "_block", "_fine"), "mix")
+    base = written(given.drop(*(f"k_{c}" for c in keep)), "mix")
+    counts = base.groupBy("_hash", "_text").agg(F.count(F.lit(1)).alias("n")).groupBy("_hash").agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
+    again = written(counts.where("rows > 1").select("_hash", (F.col("most") > 1).alias("_by_place")), "mix-repeats")
+    repeats = again.count()
+    if repeats and keep:
+        given = written(given, "mix-rows")  # a row has one place
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        u = F.col("_hash")
+        if repeats:
+            rows = rows.join(F.broadcast(again) if repeats <= BROADCAST_ROWS else again, "_hash", "left")
+            u = F.when(F.col("_by_place").isNull(), u).when(F.col("_by_place"), F.xxhash64("_hash", "_text", "_place")).otherwise(F.xxhash64("_hash", "_text"))
+        return rows.withColumn("_hash", u).withColumns({"_block": F.pmod("_hash", F.lit(mix.blocks)).cast("int"), "_fine": F.shiftrightunsigned("_hash", 64 - 2 * FINE_BITS)})
+
+    base, given = hashed(given.drop(*(f"k_{c}" for c in keep)) if repeats and keep else base), hashed(given)
     rows = base.groupBy("_source", "_block").agg(F.sum("size").alias("words")).collect()  # sources x blocks sums
     plan, rest = _block_plan(rows, mix)
     plan = _with_thresholds(base, plan, rest)
@@ -104,12 +120,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Keyed by source and block: a source with a third of all rows is spread over all its blocks.
     if len(plan) <= BROADCAST_ROWS:  # beyond it both sides are shuffled
         planned = F.broadcast(planned)
-    return (rows_ if keep else base).join(planned, ["_source", "_block"]).select(
+    return (given if keep else base).join(planned, ["_source", "_block"]).select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(mix.seed + 1), F.col("doc_id"), d["pass"]).alias("shuffle_key"))).alias("draws"),
+        F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(mix.seed + 1), F.col("_hash"), d["pass"]).alias("shuffle_key"))).alias("draws"),
         *(f"k_{c}" for c in keep),
     )
 
