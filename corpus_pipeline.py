@@ -21,54 +21,81 @@ from attestra.llm.mixing import mix_sources
 BROADCAST_ROWS = 400_000
 
 
-def _renamed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(*(F.col(f"k_{c}").alias(c) for c in columns))
+def _packed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``doc_id``, ``text`` and every column as ``c0, c1, ...``, so that no name of an input meets one of ours; and those names."""
+    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))), [f"c{i}" for i in range(len(docs.columns))]
 
 
-def _without(docs: DataFrame, gone: DataFrame, key: str, value) -> DataFrame:
-    """``docs`` less the rows in ``gone`` (``g_id`` and ``g_key``); broadcast only if they are few enough, else shuffled."""
-    gone = written(gone.distinct(), "gone")
+def _unpacked(rows: DataFrame, docs: DataFrame, mark: str = "") -> DataFrame:
+    return rows.select(*(F.col(f"{mark}c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` less those of ``gone`` by ``_id`` (null too) and ``_sha``; broadcast only if they are few enough, else shuffled."""
+    gone = written(gone.select(F.col("_id").alias("_gone_id"), F.col("_sha").alias("_gone_sha")).distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    keyed = docs.withColumn(key, value)
-    return keyed.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col(key) == F.col("g_key")), "left_anti").drop(key)
+    return rows.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter go."""
+    """Documents in a language; those without a letter go, and no others, whatever was learned.
+
+    Null and empty texts have no letter. Null and repeated ids, and other columns, of any
+    names, pass through; null ids teach no language. An empty table gives an empty one.
+    """
+    rows, names = _packed(docs)
     profiles = learn_profiles(docs.where(fold() != 0))
-    return _renamed(identify(docs, profiles, keep=tuple(docs.columns)).where("lang_pred <> 'und'"), docs.columns)
+    return _unpacked(identify(rows, profiles, keep=tuple(names)).where("NOT rejected"), docs, "k_")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id, of several rows of that id, or of none, the first by their values."""
-    sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
-    found = written(exact_dedup(docs), "exact")
-    rows = _without(docs, found.where("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_key")), "_sha", sha)
-    again = found.where("kept").groupBy(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = written(again, "again")
+    """Of equal texts the document with the largest id, of several rows of that id, or of none, the first by their values as JSON.
+
+    Null texts count as empty and are one group. Null ids stay only where no equal text has an
+    id. Other columns, of any names and kinds, pass through. An empty table gives an empty one.
+    """
+    rows, names = _packed(docs)
+    rows = rows.withColumn("_sha", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    found = written(exact_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "exact")
+    left = _gone(rows, found.where("NOT kept"))
+    again = written(found.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
     if not again.take(1):
-        return rows
-    values = F.struct(*docs.columns)
-    repeated = rows.withColumn("_sha", sha).join(again, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_sha") == F.col("g_key")), "left_semi")
-    one = repeated.groupBy("doc_id", "_sha").agg(F.min(values).alias("row")).select("row.*")
-    return _without(rows, again, "_sha", sha).unionByName(one)
+        return _unpacked(left, docs)
+    repeated = left.join(again.select(F.col("_id").alias("_again_id"), F.col("_sha").alias("_again_sha")), F.col("doc_id").eqNullSafe(F.col("_again_id")) & (F.col("_sha") == F.col("_again_sha")), "left_semi")
+    row = F.struct(*names)
+    one = repeated.groupBy("doc_id", "_sha").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return _unpacked(_gone(left, again).select(*names).unionByName(one), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; the others go by id and text."""
-    gone = jaccard_components(docs, choose=True).where("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_key"))
-    return _without(docs, gone, "_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    """Of each group of near copies the document with the smallest id; the others go by id and text.
+
+    Texts without words, null ones too, link with nothing and stay. Null ids go where their
+    group has an id. Repeated rows of what stays stay. Other columns, of any names, pass
+    through. An empty table gives an empty one.
+    """
+    rows, _ = _packed(docs)
+    gone = jaccard_components(docs, choose=True).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    return _unpacked(_gone(rows.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)), gone), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it: shard after shard, each ordered by a hash and cut into as many files as its size asks for."""
-    drawn = mix_sources(docs, keep=tuple(docs.columns)).withColumn("draw", F.explode("draws"))
+    """Each document as often as the mix of sources takes it: shard after shard, each ordered by a hash and cut into as many files as its size asks for.
+
+    A null source is one of its own; null texts have no words and go with their block; null
+    and repeated ids are drawn row by row. Other columns, of any names, pass through. An empty table gives an empty one.
+    """
+    rows, names = _packed(docs)
+    drawn = mix_sources(rows.withColumn("source", F.col(names[docs.columns.index("source")])), keep=tuple(names)).withColumn("draw", F.explode("draws"))
     place = "draw.shard", "draw.shuffle_key"  # by ranges: a task's rows don't depend on the number of shards
-    return _renamed(drawn.repartitionByRange(*place).sortWithinPartitions(*place), docs.columns)
+    return _unpacked(drawn.repartitionByRange(*place).sortWithinPartitions(*place), docs, "k_")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the digest of what they decode to."""
+    """Token ids of each document, and the digest of what they decode to: ``doc_id, n_tokens, ids, decoded_sha256``.
+
+    Null texts count as empty; null and repeated ids pass through. An empty table gives an empty one.
+    """
     return encode_documents(docs, default_path(), outputs=("n_tokens", "ids", "decoded_sha256"))
 
 
