@@ -412,6 +412,54 @@ def test_mix_and_shards_of_odd_rows(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_mix_meets_targets_of_null_and_repeated_ids(spark):
+    """Sources of null ids, of one id, and of one row many times: each comes near its target."""
+    texts = lambda n: [" ".join(["w"] * (20 + i % 7)) + f" t{i}" for i in range(n)]
+    rows = [(None, t, "a") for t in texts(400)] + [(7, t, "b") for t in texts(400)] + [(8, "one two three four", "c")] * 400 + [(i, t, None) for i, t in enumerate(texts(100), 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for keep in ((), ("source", "text")):
+        taken, target = collections.Counter(), {}
+        for r in mixing.mix_sources(docs, keep=keep).collect():
+            s = r.k_source if keep else {400 * 4: "c"}.get(r.source_size) or ("b" if r.doc_id == 7 else "a" if r.doc_id is None else None)
+            taken[s] += r["size"] * len(r.draws)
+            target[s] = r.target
+        assert set(taken) == {"a", "b", "c", None}
+        for s, t in target.items():
+            assert abs(taken[s] - t) <= 30
+
+
+ODD = "doc_id long, text string, source string, lang string, _sha string, g_id long, g_key string, `a.b` int, m map<string,int>, kept boolean, node long, draws int"
+
+
+def test_pipeline_of_clashing_columns_and_no_labels(spark, data):
+    """No label to learn from, names that the operators use themselves, a map beside repeated rows, null ids: nothing is lost."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    more = (None, "sha", 1, "key", 5, {"x": 1}, True, 9, 3)
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    rows = [(1, text, "s", *more), (1, text, "s", *more), (None, "another text of some words here", "s", *more), (3, "12 34", "s", *more), (4, None, None, *more), (5, text + " again", None, *more)]
+    docs = spark.createDataFrame(rows, ODD)
+    spoken = pipeline.language(spark, docs, data)
+    assert spoken.dtypes == docs.dtypes
+    assert sorted((r.doc_id or 0, r.text) for r in spoken.collect()) == sorted((r[0] or 0, r[1]) for r in rows if r[0] not in (3, 4))
+    single = pipeline.exact(spark, docs, data)
+    assert single.dtypes == docs.dtypes
+    assert sorted(r.doc_id or 0 for r in single.collect()) == [0, 1, 3, 4, 5]
+    assert all(r._sha == "sha" and r.g_id == 1 and r.m == {"x": 1} and r["a.b"] == 5 for r in single.collect())
+    near = pipeline.near(spark, single, data)
+    assert near.dtypes == docs.dtypes
+    assert sorted(r.doc_id or 0 for r in near.collect()) == [0, 1, 3, 4]
+    mixed = pipeline.mix(spark, near, data)
+    assert mixed.dtypes == docs.dtypes
+    assert all(r.node == 9 and r.draws == 3 for r in mixed.collect())
+    assert pipeline.encode(spark, mixed, data).count() == mixed.count()
+
+
+def test_pipeline_of_no_rows(spark, data):
+    pipeline = importlib.import_module("corpus_pipeline")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], ODD), data).count() == 0
+
+
 def test_queries_return_their_columns(spark, data):
     """The registered queries of mixing, sharding and languages on the smallest tables."""
     docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
