@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import metrics as M
 from attestra.functions.normalize import AMOUNT_FIELDS, DATE_FIELDS, FIELDS, ID_FIELDS, field, finite
+from attestra.operators.ranks import quantiles
 
 GROUP = ("ocr_engine", "extractor")
 STAGES = ("ocr_ms", "extract_ms", "total_ms")
@@ -160,11 +161,9 @@ def succeeded(rows: DataFrame) -> DataFrame:
 
 
 def latency_stats(rows: DataFrame, group: tuple[str, ...] = GROUP, stages: tuple[str, ...] = STAGES) -> DataFrame:
-    """Median, p95, p99 (linear interpolation) and mean of each stage, in one aggregation. Null counts as 0 ms."""
-    value = lambda s: F.coalesce(F.col(s).cast("double"), F.lit(0.0))
-    sums = rows.groupBy(*group).agg(*(x for s in stages for x in (F.percentile(value(s), [0.5, 0.95, 0.99]).alias(f"p_{s}"), F.avg(value(s)).alias(f"a_{s}"))))
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), *(F.get(f"p_{s}", F.lit(i)).alias(n) for i, n in enumerate(("median", "p95", "p99"))), F.col(f"a_{s}").alias("mean")) for s in stages)))
-    return sums.select(*group, each.alias("x")).select(*group, "x.*")
+    """Count, median, p95, p99 (linear interpolation, exact) and mean of each stage. Null counts as 0 ms."""
+    found = quantiles(rows, group, {s: F.coalesce(F.col(s).cast("double"), F.lit(0.0)) for s in stages}, (0.5, 0.95, 0.99))
+    return found.select(*group, "stage", "n", *(F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("median", "p95", "p99"))), "mean")
 
 
 def equal_fields(gold: DataFrame, pred: DataFrame, key: str, skip: tuple[str, ...] = ("schema_version", "extraction_confidence", "evidence", "warnings")) -> DataFrame:

@@ -12,6 +12,7 @@ from attestra.functions import text as X
 from attestra.operators import evaluation as E
 from attestra.operators import layout as L
 from attestra.operators import records as R
+from attestra.operators.ranks import quantiles
 from attestra.plans import views as V
 from attestra.plans.registry import query
 from attestra.streaming.jobs import event_windows
@@ -181,14 +182,23 @@ def error_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14 over the events' values."""
     events = V.load(spark, sf_dir, "events").select("event_type", F.col("value").alias("ms"))
-    stats = E.latency_stats(events, ("event_type",), ("ms",))
-    return stats.join(events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "event_type").select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("median", "p95", "p99", "mean")))
+    return E.latency_stats(events, ("event_type",), ("ms",)).select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("median", "p95", "p99", "mean")))
+
+
+@query("SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n, " + ", ".join(f"round(quantile_cont(o_totalprice, {q}), 6) AS {n}" for n, q in (("least", 0), ("q1", 0.25), ("median", 0.5), ("p999", 0.999), ("greatest", 1))) + ", round(quantile_cont(-o_totalprice / 7, 0.1), 6) AS p10_of_negative FROM orders GROUP BY ALL")
+def amount_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14 of amounts: exact ranks by digits, negative values and both ends among them."""
+    orders = V.load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), "o_totalprice")
+    found = quantiles(orders, ("priority", "status"), {"amount": F.col("o_totalprice"), "negative": -F.col("o_totalprice") / 7}, (0.0, 0.1, 0.25, 0.5, 0.999, 1.0))
+    of = lambda name, i: F.round(F.max(F.when(F.col("stage") == name, F.get("q", F.lit(i)))), 6)
+    names = {"least": 0, "q1": 2, "median": 3, "p999": 4, "greatest": 5}
+    return found.groupBy("priority", "status").agg(F.max("n").alias("n"), *(of("amount", i).alias(n) for n, i in names.items()), of("negative", 1).alias("p10_of_negative"))
 
 
 @query(f"WITH gp AS ({GP}) " + " UNION ALL ".join(f"SELECT ocr_engine, extractor, '{s}' AS stage, round(quantile_cont({s}, 0.5), 6) AS median, round(quantile_cont({s}, 0.95), 6) AS p95, round(quantile_cont({s}, 0.99), 6) AS p99, round(avg({s}), 6) AS mean FROM gp WHERE status = 'succeeded' GROUP BY ALL" for s in E.STAGES))
 def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14 of the three stages in one aggregation."""
-    return E.latency_stats(E.succeeded(gold_pred(spark, sf_dir))).withColumns(rounded("median", "p95", "p99", "mean"))
+    return E.latency_stats(E.succeeded(gold_pred(spark, sf_dir))).drop("n").withColumns(rounded("median", "p95", "p99", "mean"))
 
 
 @query(f"{D}, w AS (SELECT * FROM (VALUES {', '.join(f'''('{k}', {v})''' for k, v in WEIGHTS.items())}) AS t(field, w)), x AS (SELECT ocr_engine, extractor, id, sum(cast(w AS double) * cast(ok AS int)) AS won, sum(cast(w AS double)) AS w FROM d JOIN w USING (field) GROUP BY ALL) SELECT ocr_engine, extractor, round(sum(won) / sum(w), 6) AS weighted_accuracy, round(avg(won / w), 6) AS weighted_doc_score FROM x GROUP BY ALL")
