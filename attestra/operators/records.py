@@ -47,13 +47,15 @@ def latest(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 
 
 def versions(rows: DataFrame, key: str, at: str, tie: str, payload: str) -> DataFrame:
-    """Corrections numbered from 1 in time order, each with the payload before it."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    return rows.withColumns({"version": F.row_number().over(w), "previous_payload": F.lag(payload).over(w)})
+    """Corrections numbered from 1 in time order, each with the payload before it; a job may span many tasks."""
+    from attestra.operators.scan import numbered
+
+    return numbered(rows, key, (at, tie), payload)
 
 
 def with_children(jobs: DataFrame, key: str, one: dict[str, DataFrame], many: dict[str, DataFrame]) -> DataFrame:
-    """JN5: one struct of each single relation, one array of each multiple one (empty if there is none)."""
+    """JN5: one struct of each single relation, one array of each multiple one (empty if there is none). For relations
+    without a bound of their own take ``scan.children_pages``."""
     out = jobs
     for name, table in one.items():
         out = out.join(table.select(key, F.struct(*(c for c in table.columns if c != key)).alias(name)), key, "left")

@@ -13,6 +13,7 @@ from attestra.operators import evaluation as E
 from attestra.operators import layout as L
 from attestra.operators import records as R
 from attestra.operators.ranks import quantiles
+from attestra.operators.scan import children_pages, numbered
 from attestra.plans import views as V
 from attestra.plans.registry import query
 from attestra.streaming.jobs import event_windows
@@ -284,17 +285,34 @@ def job_latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH j AS ({JL}) SELECT job_id, id, row_number() OVER w AS version, payload, lag(payload) OVER w AS previous_payload FROM j WINDOW w AS (PARTITION BY job_id ORDER BY created_at, id)")
 def correction_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3."""
-    rows = R.versions(V.view(spark, sf_dir, V.JOB_LOG, "events"), "job_id", "created_at", "id", "payload")
-    return rows.select("job_id", "id", F.col("version").cast("long").alias("version"), "payload", "previous_payload")
+    rows = numbered(V.view(spark, sf_dir, V.JOB_LOG, "events"), "job_id", ("created_at", "id"), "payload")
+    return rows.select("job_id", "id", "version", "payload", "previous_payload")
+
+
+@query("SELECT event_type, event_id, row_number() OVER w AS version, value, lag(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")
+def hot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 where a few keys have all rows: each type of event spans many ranges."""
+    events = V.load(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
+    return numbered(events, "event_type", ("ts", "event_id"), "value", before="before").select("event_type", "event_id", "version", "value", "before")
 
 
 @query(f"WITH j AS ({JL}) SELECT job_id, count(*) AS n_extractions, count(*) FILTER (status = 'failed') AS n_failed FROM j GROUP BY ALL")
 def jobs_with_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN5: jobs with all their extractions as an array."""
+    """JN5: jobs with all their extractions, in arrays of a bounded size."""
     log = V.view(spark, sf_dir, V.JOB_LOG, "events")
-    jobs = R.with_children(log.select("job_id").distinct(), "job_id", {}, {"extractions": log.select("job_id", "created_at", "id", "status")})
+    pages = children_pages(log.select("job_id").distinct(), "job_id", log.select("job_id", "created_at", "id", "status"), ("created_at", "id"), "extractions", 100)
     failed = F.size(F.filter("extractions", lambda x: x["status"] == "failed"))
-    return jobs.select("job_id", F.size("extractions").cast("long").alias("n_extractions"), failed.cast("long").alias("n_failed"))
+    return pages.groupBy("job_id").agg(F.sum(F.size("extractions")).alias("n_extractions"), F.sum(failed).alias("n_failed"))
+
+
+@query("SELECT n_nationkey AS nation, n.page, len(list(c_custkey)) AS n, min(c_custkey) AS first, max(c_custkey) AS last FROM (SELECT c_nationkey, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) - 1) // 20 AS page FROM customer) n JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL UNION ALL SELECT n_nationkey, 0, 0, NULL, NULL FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)")
+def children_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN5: nations with their customers by balance, twenty a row; a nation without any has an empty page."""
+    nations = V.load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"))
+    customers = V.load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal", "c_custkey")
+    pages = children_pages(nations, "nation", customers, ("c_acctbal", "c_custkey"), "customers", 20)
+    keys = F.transform("customers", lambda c: c["c_custkey"])
+    return pages.select("nation", F.col("page").cast("long").alias("page"), F.size("customers").cast("long").alias("n"), F.array_min(keys).alias("first"), F.array_max(keys).alias("last"))
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 100")
