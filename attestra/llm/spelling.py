@@ -165,18 +165,32 @@ def near_words(vocabulary: DataFrame, shard_words: int = SHARD_WORDS) -> DataFra
     for way in ("forward", "backward"):
         key = F.col("word") if way == "forward" else F.reverse("word")
         ranged = vocabulary.select(key.alias("key"), "n").repartitionByRange(shards, "key").sortWithinPartitions("key")
-        ranged = written(ranged.withColumn("shard", F.spark_partition_id()), f"vocabulary-{way}")
+        ranged = written(ranged.withColumn("part", F.spark_partition_id()), f"vocabulary-{way}")
         half = F.expr("left(key, int(length(key) / 2))" if way == "forward" else "left(key, int((length(key) + 1) / 2))")
-        for s in ranged.groupBy("shard").agg(F.min("key").alias("least"), F.max("key").alias("most")).sort("shard").collect():
-            part = ranged.where(F.col("shard") == s["shard"]).sort("key").toArrow()
+        for first, last, least, most in _shards(ranged, shard_words):
+            part = ranged.where(F.col("part").between(first, last)).sort("key").toArrow()
             trie = spark.sparkContext.broadcast((Trie(part.column("key").to_pylist()), part))  # of a bounded number of words
             # The words that begin with a word's half are those from the half up to the half followed by the last letter.
-            reach = ranged.where((half <= s["most"]) & (F.concat(half, F.lit("Ā")) >= s["least"]))
+            reach = ranged.where((half <= most) & (F.concat(half, F.lit("Ā")) >= least))
             found.append(written(reach.select("key", "n").mapInArrow(_search(trie, way), "word string, near string, near_n long"), "near"))
             trie.destroy()
     return reduce(DataFrame.unionByName, found)
 
 
+def _shards(ranged: DataFrame, shard_words: int) -> list[tuple[int, int, str, str]]:
+    """Shards of neighbouring ranges, filled up to ``shard_words``: first and last range, least and greatest key."""
+    shards: list[tuple[int, int, str, str]] = []
+    room = 0
+    for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).sort("part").collect():  # a row for each range
+        if shards and r["n"] <= room:
+            shards[-1] = (shards[-1][0], r["part"], shards[-1][2], r["most"])
+            room -= r["n"]
+        else:
+            shards.append((r["part"], r["part"], r["least"], r["most"]))
+            room = shard_words - r["n"]
+    return shards
+
+
 def _search(shard: Broadcast, way: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, part = shard.value
