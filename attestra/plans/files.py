@@ -13,6 +13,8 @@ from attestra.plans import queries as Q
 from attestra.plans import views as V
 from attestra.plans.registry import query
 from attestra.sources import tables as T
+from attestra.operators.ranks import even_cuts
+from attestra.streaming import states
 from attestra.streaming.jobs import landing, resume
 
 
@@ -119,3 +121,32 @@ def results_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where(F.col("ocr_engine") == engine).write.parquet(f"{path}/run_id={engine}")
     read = T.read_results(spark, path)
     return read.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total_ms"), 4).alias("mean"))
+
+
+_STEP = "CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'queued' END"
+_HOURS = 12
+
+
+@query(f"""WITH RECURSIVE e AS (
+    SELECT cast(user_id AS string) AS job, epoch_us(ts) AS t, {_STEP} AS step, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (
+    SELECT DISTINCT job, 0::BIGINT AS n, NULL::string AS status, NULL::BIGINT AS since, 0 AS attempts, 0 AS refused, 0 AS timeouts FROM e
+    UNION ALL
+    SELECT job, n, CASE WHEN ok THEN step ELSE was END, CASE WHEN ok THEN t WHEN late THEN since + {_HOURS} * 3600000000 ELSE since END, attempts + (ok AND step = 'running')::int, refused + (NOT ok)::int, timeouts + late::int
+    FROM (
+        SELECT *, coalesce((was IS NULL AND step = 'queued') OR (was = 'queued' AND step = 'running') OR (was = 'running' AND step IN ('succeeded', 'failed')) OR (was = 'failed' AND step = 'queued'), false) AS ok
+        FROM (SELECT e.job, e.n, e.t, e.step, s.since, attempts, refused, timeouts, x.late, CASE WHEN x.late THEN 'failed' ELSE status END AS was
+              FROM s JOIN e ON e.job = s.job AND e.n = s.n + 1, LATERAL (SELECT coalesce(s.status = 'running' AND e.t >= s.since + {_HOURS} * 3600000000, false) AS late) x))),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY job ORDER BY n DESC) = 1),
+z AS (SELECT *, coalesce(status = 'running' AND (since + {_HOURS} * 3600000000 + 999) // 1000 <= (SELECT max(t) // 1000 FROM e), false) AS late FROM f)
+SELECT job, CASE WHEN late THEN 'failed' ELSE status END AS status, CASE WHEN late THEN since + {_HOURS} * 3600000000 ELSE since END AS since, attempts::BIGINT AS attempts, refused::BIGINT AS refused, (timeouts + late::int)::BIGINT AS timeouts FROM z""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as jobs, events as steps, twelve hours as the time for an answer. The steps land in three parts, and each run goes on from the states of the one before."""
+    work, out, mark = (T.shared_path(spark, n) for n in ("steps", "job-log", "job-mark"))
+    steps = V.load(spark, sf_dir, "events").selectExpr("cast(user_id AS string) AS job", "event_id AS id", "unix_micros(cast(ts AS timestamp)) AS at", f"{_STEP} AS step")
+    cuts = [int(c) for c in even_cuts(steps, "at", 3)]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = steps if low is None else steps.where(F.col("at") >= low)
+        (part if high is None else part.where(F.col("at") < high)).write.mode("append").parquet(work)
+        states.follow_jobs(landing(spark, work, states.STEPS, files_per_trigger=100_000), out, mark, _HOURS * 3600).awaitTermination()
+    return states.job_states(spark.read.schema(states.LOG).parquet(out)).withColumn("attempts", F.col("attempts").cast("long"))
