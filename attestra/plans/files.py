@@ -71,34 +71,42 @@ def listed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.requested(docs, T.read_ids(spark, path)).select("doc_id", "source")
 
 
-@query("SELECT n_name AS stem, n_nationkey, n_regionkey FROM nation")
+@query("SELECT c_name AS stem, c_custkey, c_acctbal FROM customer")
 def truth_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC11: one JSON file a document."""
-    folder = T.shared_path(spark, "truth").removeprefix("file://")
-    rows = V.load(spark, sf_dir, "nation").select("n_name", F.to_json(F.struct("n_nationkey", "n_regionkey")).alias("body"))
-
-    def write(part) -> None:
-        import os
-        from pathlib import Path
-
-        os.makedirs(folder, exist_ok=True)
-        for r in part:
-            Path(folder, f"{r['n_name']}.json").write_text(r["body"], encoding="utf-8")
-
-    rows.foreachPartition(write)
-    return T.read_truth(spark, folder, "n_nationkey long, n_regionkey long").select(F.url_decode("stem").alias("stem"), "n_nationkey", "n_regionkey")
+    """SRC11: one JSON file a document, below a folder of its own."""
+    root = T.shared_path(spark, "truth").removeprefix("file://")
+    rows = V.load(spark, sf_dir, "customer")
+    T.write_artifacts(rows.select(F.lit("truth").alias("guarantee_id"), F.col("c_name").alias("stem"), F.to_json(F.struct("c_custkey", "c_acctbal")).alias("extraction_json")), root)
+    files_ = T.read_files(spark, root, "extraction.json")
+    read = files_.select(F.col("guarantee_id").alias("stem"), F.from_json(F.col("content").cast("string"), "c_custkey long, c_acctbal double").alias("r"))
+    return read.select("stem", "r.c_custkey", "r.c_acctbal")
 
 
 @query("SELECT page_id, i AS page_index, cast(least(strlen(html) - i * 1000, 1000) AS int) AS size FROM (SELECT page_id, html, unnest(range((strlen(html) + 999) // 1000)) AS i FROM pages)")
 def file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC8: files cut into pages by an opener, each page through an engine."""
-    files = V.load(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    """SRC8, SRC9, SNK7: pages stored as source files of documents, read by the file source, cut into pages by an opener, each page through an engine."""
+    root = T.shared_path(spark, "sources").removeprefix("file://")
+    pages = V.load(spark, sf_dir, "pages").select(F.lit("pages").alias("guarantee_id"), F.concat(F.lit("p_"), "page_id").alias("stem"), F.encode("html", "UTF-8").alias("content"))
+    T.write_artifacts(pages, root, copy_source=True)
+    files = T.read_files(spark, root, "source.pdf")
 
     def opened(content: bytes, path: str) -> list[bytes]:
         return [content[at : at + 1000] for at in range(0, len(content), 1000)]
 
     found = T.pages(files, opened, lambda page, i: {"size": len(page)})
-    return found.select(F.col("path").cast("long").alias("page_id"), F.col("page_index").cast("long").alias("page_index"), F.get_json_object("page_json", "$.size").cast("int").alias("size"))
+    key = F.regexp_extract("path", r"p_(\d+)/[^/]*$", 1).cast("long")
+    return found.select(key.alias("page_id"), F.col("page_index").cast("long").alias("page_index"), F.get_json_object("page_json", "$.size").cast("int").alias("size"))
+
+
+@query("SELECT doc_id, concat('d', doc_id) AS stem, quality FROM labels WHERE quality = 1")
+def files_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC9, SRC10: of the artifacts of all labelled documents, those in the folders asked for; a filter on the folder reaches the listing."""
+    root = T.shared_path(spark, "artifacts").removeprefix("file://")
+    labels = V.load(spark, sf_dir, "labels")
+    T.write_artifacts(labels.select(F.concat(F.lit("q"), "quality").alias("guarantee_id"), F.concat(F.lit("d"), "doc_id").alias("stem"), F.to_json(F.struct("doc_id", "quality")).alias("meta_json")), root)
+    files_ = T.read_files(spark, root, "meta.json").where(F.col("path").contains("/q1/"))
+    read = files_.select(F.from_json(F.col("content").cast("string"), "doc_id long, quality long").alias("r"), F.col("guarantee_id").alias("stem"))
+    return read.select("r.doc_id", "stem", "r.quality")
 
 
 @query("SELECT doc_id AS id, length(text) AS chars FROM documents")

@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.operators.records import append_keep_first, file_keys, pending
+from attestra.sources import files as files_source
 from attestra.sources import schemas
 
-EXTRACTED_FILES = ("ocr.json", "ocr.md", "extraction.json", "meta.json")
+PUSHED_IDS = 1_000
 
 
 def shared_path(spark: SparkSession, name: str = "table") -> str:
@@ -86,14 +87,19 @@ def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
         raise
 
 
-def read_files(spark: SparkSession, root: str, pattern: str = "*.pdf", ids: DataFrame | None = None, id_col: str = "id") -> DataFrame:
-    """SRC9: files one folder below a root, in path order, with their folder's name as ``guarantee_id``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    named = files.withColumn("guarantee_id", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
-    if ids is not None:
-        named = named.join(ids.select(F.col(id_col).cast("string").alias("guarantee_id")), "guarantee_id", "left_semi")
-    key, stem = file_keys(F.col("path"))
-    return named.withColumns({"file_key": key, "stem": stem}).orderBy("path")
+def read_files(spark: SparkSession, root: str, pattern: str = "*.pdf", ids: DataFrame | None = None, id_col: str = "id", content: bool = True) -> DataFrame:
+    """SRC9: files one folder below a root, with their folder's name as ``guarantee_id``; only files of the ids asked for are opened.
+
+    A list of ids within a bound goes to the source as a filter, a longer one is a semi-join. ``content=False`` lists without opening.
+    """
+    files_source.register(spark)
+    parts = 4 * spark.sparkContext.defaultParallelism
+    found = spark.read.format("document_files").option("pattern", pattern).option("parts", parts).option("content", str(content).lower()).load(root)
+    if ids is None:
+        return found
+    wanted = ids.select(F.col(id_col).cast("string").alias("guarantee_id")).where("guarantee_id IS NOT NULL").distinct()
+    few = [r[0] for r in wanted.limit(PUSHED_IDS + 1).collect()]
+    return found.where(F.col("guarantee_id").isin(few)) if len(few) <= PUSHED_IDS else found.join(wanted, "guarantee_id", "left_semi")
 
 
 def pages(files: DataFrame, open_file: Callable[[bytes, str], list], run_page: Callable[[object, int], dict]) -> DataFrame:
@@ -175,25 +181,17 @@ def run_id(engine: Column, extractor: Column) -> Column:
 
 
 def write_artifacts(rows: DataFrame, root: str, copy_source: bool = False) -> None:
-    """SNK6, SNK7: files of each document below ``root/<guarantee_id>/<stem>/``, written where the rows are.
+    """SNK6, SNK7: files of each document below ``root/<guarantee_id>/<stem>/``, moved into place when all tasks have ended.
 
     ``rows`` has ``guarantee_id, stem`` and the columns ``ocr_json, ocr_md, extraction_json,
     meta_json``, and ``content`` if the source is kept; null columns write no file. ``root``
     must be a folder that all executors share.
     """
-    columns = ["ocr_json", "ocr_md", "extraction_json", "meta_json"]
-
-    def write(part: Iterator) -> None:
-        for r in part:
-            folder = os.path.join(root, r["guarantee_id"], r["stem"])
-            os.makedirs(folder, exist_ok=True)
-            for column, name in zip(columns, EXTRACTED_FILES, strict=True):
-                if r[column] is not None:
-                    Path(folder, name).write_text(r[column], encoding="utf-8")
-            if copy_source and r["content"] is not None:
-                Path(folder, "source.pdf").write_bytes(bytes(r["content"]))
-
-    rows.select("guarantee_id", "stem", *columns, *(["content"] if copy_source else [])).foreachPartition(write)
+    spark = rows.sparkSession
+    files_source.register(spark)
+    columns = ["guarantee_id", "stem", *(c for c in files_source.ARTIFACT_COLUMNS if c in rows.columns and (copy_source or c != "content"))]
+    os.makedirs(files_source.local_path(root), exist_ok=True)
+    rows.select(*columns).write.format("document_artifacts").mode("append").save(root)
 
 
 def manifest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
