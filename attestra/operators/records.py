@@ -3,9 +3,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +30,21 @@ def looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.join(facts, key, "left")
 
 
-def with_missing_fields(diags: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """JN6: every document has every field; one without a diagnosis is no match, ``missing``."""
-    spine = diags.select(*keys).distinct().select(*keys, F.explode(F.array(*(F.lit(f) for f in fields))).alias("field"))
-    return spine.join(diags, [*keys, "field"], "left").fillna({"is_match": False, "error_type": "missing"})
+def with_missing_fields(diags: DataFrame, keys: list[str], fields: list[str], docs: DataFrame | None = None) -> DataFrame:
+    """JN6: every document of ``docs`` (None: of ``diags``) has every field; one without a diagnosis is no match, ``missing``. Keys may be null.
+
+    The fields of a document are packed before the join, so that one row of each document is shuffled, not one of each field.
+    """
+    others = [c for c in diags.columns if c not in (*keys, "field")]
+    packed = diags.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.collect_list(F.struct("field", *others)).alias("_rows"))
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = (diags if docs is None else docs).select(*keys).distinct().join(packed, on, "left").withColumn("field", F.explode(F.array(*(F.lit(f) for f in fields))))
+    of = F.filter(F.coalesce("_rows", F.array().cast(packed.schema["_rows"].dataType)), lambda r: r["field"] == F.col("field"))
+    nothing = F.struct(F.col("field"), *(F.lit(None).cast(diags.schema[c].dataType).alias(c) for c in others))
+    each = joined.select(*keys, F.explode(F.when(F.size(of) > 0, of).otherwise(F.array(nothing))).alias("x")).select(*keys, "x.*")
+    return each.fillna({"is_match": False, "error_type": "missing"})
 
 
 def latest(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
@@ -86,44 +94,11 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return rows.orderBy(order, key).limit(n)
 
 
-def numbered(names: list[str], splits: list[tuple[str, str]]) -> list[str]:
-    """W7 of one family of names in order: a name met before gets the first free number, from the count of its uses on."""
-    uses: dict[str, int] = {}
-    out = []
-    for name, (stem, ending) in zip(names, splits, strict=True):
-        made = name
-        if name in uses:
-            made = next(m for k in count(uses[name]) if (m := f"{stem}__{k}{ending}") not in uses)
-            uses[name] += 1
-        uses[made] = 1
-        out.append(made)
-    return out
-
-
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Rows of the name and order columns with ``unique_name``: a repeated name gets ``__k`` before its ending.
+    """``names.unique_names``."""
+    from attestra.operators import names
 
-    Names that could meet are one family: those of one stem less its ``__k`` endings. A family of one
-    name is numbered by a window; one of several, where a made name may meet a given one, in order, as
-    an Arrow batch. A bundle is a bounded sample, and so is a family. Other columns stay.
-    """
-    stem, ending = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^.+?(\.[^.]*)?$", 1)
-    split = rows.withColumns({"_stem": stem, "_end": ending}).withColumn("_family", F.concat(F.regexp_replace("_stem", r"(__\d+)+$", ""), F.lit("/"), "_end"))
-    families = split.groupBy("_family").agg((F.min(name) != F.max(name)).alias("_several"))
-    split = split.join(families, "_family")
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    single = split.where("NOT _several").withColumn("_k", k)
-    single = single.withColumn("unique_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat("_stem", F.lit("__"), "_k", "_end"))).select(*rows.columns, "unique_name")
-    several = split.where("_several").select(*rows.columns, "_family", "_stem", "_end")
-
-    columns = rows.columns
-
-    def number(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        return part[columns].assign(unique_name=numbered(part[name].tolist(), list(zip(part["_stem"], part["_end"], strict=True))))
-
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "unique_name string"])
-    return single.unionByName(several.groupBy("_family").applyInPandas(number, kinds))
+    return names.unique_names(rows, name, order)
 
 
 def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
