@@ -140,12 +140,21 @@ ASK = "Extract fields from OCR text.\nOutput ONE valid JSON object only.\n\n"
 ASK_AGAIN = "Previous response is invalid.\nFix all errors and return ONE valid JSON object only.\n\nValidation errors:\n"
 
 
+def schema_part(version: str) -> str:
+    return f"Schema template ({version}):\n```json\n{template(version)}\n```\n\nOCR text:\n---\n"
+
+
 def prompt(text: Column, version: str = "v2", errors: Column | None = None) -> Column:
     """What a model is asked, or asked again after ``errors`` (an array of texts); ``SYSTEM_PROMPT`` goes before it."""
-    tail = f"Schema template ({version}):\n```json\n{template(version)}\n```\n\nOCR text:\n---\n"
     if errors is None:
         head = F.lit(ASK)
     else:
         bullets = F.array_join(F.transform(errors, lambda e: F.concat(F.lit("- "), e)), "\n")
         head = F.concat(F.lit(ASK_AGAIN), bullets, F.lit("\n\n"))
-    return F.concat(head, F.lit(tail), text, F.lit("\n---"))
+    return F.concat(head, F.lit(schema_part(version)), text, F.lit("\n---"))
+
+
+def question(text: str, version: str = "v2", errors: list[str] | None = None) -> str:
+    """X12 where the model is: the text of ``prompt``, so that no prompt is sent or stored."""
+    head = ASK if errors is None else ASK_AGAIN + "\n".join(f"- {e}" for e in errors) + "\n\n"
+    return f"{head}{schema_part(version)}{text}\n---"

@@ -126,11 +126,11 @@ _CHECKED = "concat('{\"ikz\": ', if(o_orderkey % 5 = 0, '\"none\"', concat('\"',
 def field_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VR2, VR4-VR6 on v1 records."""
     rows = V.load(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_CHECKED} AS answer")
-    checked = S.with_validated(rows, "answer", "v1")
+    checked = S.with_validated(rows, "answer", "v1", unknown="unknown")
     about = lambda c, word: F.size(F.filter(c, lambda e: e.contains(word)))
     return checked.select(
         F.col("o_orderkey").alias("id"), about("errors", "IKZ must").alias("ikz_errors"), about("errors", "between 0 and 1").alias("confidence_errors"),
-        about("warnings", "is after").alias("order_warnings"), F.array_join(S.unknown_keys(F.try_parse_json("answer"), "v1"), ",").alias("unknown"),
+        about("warnings", "is after").alias("order_warnings"), F.array_join("unknown", ",").alias("unknown"),
     )
 
 
@@ -149,7 +149,7 @@ def model_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         return generate
 
     docs = V.load(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "concat(o_orderstatus, ' ', lpad(cast(o_custkey AS string), 10, '7')) AS text")
-    return extract_by_model(docs, make, retries=1).select("id", "status", F.col("record.principal_inn").alias("principal_inn"), "attempts")
+    return extract_by_model(docs, make, retries=1, key="id").select("id", "status", F.col("record.principal_inn").alias("principal_inn"), "attempts")
 
 
 @query(f"WITH t AS ({Q.OCR}) SELECT id, strftime(strptime(regexp_extract(text, 'Дата (\\d\\d\\.\\d\\d\\.\\d{{4}})', 1), '%d.%m.%Y'), '%Y-%m-%d') AS issue_date, price AS amount, 'RUB' AS currency, regexp_extract(text, 'ИКЗ: (\\d+)', 1) AS ikz, 'v1' AS schema_version FROM t")

@@ -62,3 +62,34 @@ def test_missing_fields_of_documents_without_any_row(spark):
     got = sorted((r.id or 0, r.engine or "", r.field, r.is_match, r.error_type) for r in records.with_missing_fields(diags, ["id", "engine"], ["sum", "inn"], docs).collect())
     missing = lambda i, e, f: (i, e, f, False, "missing")
     assert got == sorted([(1, "e", "sum", True, "correct"), missing(1, "e", "inn"), missing(2, "e", "sum"), missing(2, "e", "inn"), missing(0, "e", "sum"), (0, "e", "inn", False, "wrong"), missing(3, "", "sum"), missing(3, "", "inn")])
+
+
+def test_questions_are_the_prompts_and_are_not_stored(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from attestra.functions import text as X
+    from attestra.operators import extraction
+
+    docs = spark.createDataFrame([(1, "one"), (2, "two"), (3, None)], "id long, text string")
+    wanted = docs.where("text IS NOT NULL").select("text", X.prompt(F.col("text")).alias("q"), X.prompt(F.col("text"), "v1", F.array(F.lit("a"), F.lit("b"))).alias("again")).collect()
+    for r in wanted:
+        assert X.question(r.text) == r.q
+        assert X.question(r.text, "v1", ["a", "b"]) == r.again
+    stored, write = [], extraction.materialised
+    monkeypatch.setattr(extraction, "materialised", lambda df: (stored.append(df.columns), write(df))[1])
+
+    def make():
+        def generate(system, q, schema):
+            raise AssertionError("called one by one")
+
+        def many(system, questions, schema):
+            return ['{"principal_inn": "7707083893"}' if "two" in q or q.startswith("Previous") else "no" for q in questions]
+
+        generate.many = many
+        return generate
+
+    for key in ("id", None):
+        got = {r.id: (r.status, r.attempts) for r in extraction.extract_by_model(docs, make, key=key).collect()}
+        assert got == {1: ("succeeded", 2), 2: ("succeeded", 1), 3: ("succeeded", 2)}
+    assert stored.count(["_row", "raw", "failure"]) == 6
+    assert [c for c in stored if "text" in c] == [["id", "text", "_row"]]
