@@ -586,3 +586,40 @@ def test_jaccard_of_hot_components(spark, monkeypatch):
     got = {r.doc_id: (r.component_id, r.kept) for r in jaccard_join.jaccard_components(docs, choose=True).collect()}
     assert len(got) == len(rows)
     assert got == {**{i: (0, t == text("a", 60) and i == 0) for i, t in rows}, 40: (40, True), 41: (41, True), 42: (42, True)}
+
+
+def test_whole_blocks_are_passed_over():
+    """The k-th best score is known; the maxima of all blocks but the first stay below it: only the first is opened."""
+    size, blocks = topk_search.BLOCK, 200
+    n = size * blocks
+    doc = np.tile(np.arange(n), 3)
+    term = np.repeat(np.arange(3), n)
+    count = np.ones(3 * n, np.int64)
+    count[:size] = 50  # only the first block's documents have the first term often
+    lengths = np.full(n, 100)
+    index = topk_search.Index(np.arange(n), lengths, doc, term, count, 100.0, 3)
+    weights = np.array([2.0, 1.0, 1.0])
+    want = index.top(np.arange(3), weights, 10)
+    assert want[0].tolist() == list(range(10))
+    index.read = 0
+    got = index.top(np.arange(3), weights, 10, float(want[1][-1]))
+    assert got[0].tolist() == want[0].tolist()
+    assert got[1].tolist() == want[1].tolist()
+    assert 0 < index.read <= 3 * size
+    index.read = 0
+    index.top(np.arange(3), weights, 10)  # without a threshold the first blocks give one
+    assert index.read <= 3 * size * topk_search.OPENED
+
+
+def test_terms_before_the_pivot_are_not_read():
+    """A block whose documents can't reach the score without the rare term: the common term's postings are not read."""
+    size = topk_search.BLOCK
+    doc = np.concatenate([np.arange(size), [7]])
+    term = np.concatenate([np.zeros(size, np.int64), [1]])
+    index = topk_search.Index(np.arange(size), np.full(size, 10), doc, term, np.ones(size + 1, np.int64), 10.0, 2)
+    docs, scores = index.top(np.arange(2), np.array([0.1, 5.0]), 1, 4.0)
+    assert docs.tolist() == [7]
+    assert scores[0] == pytest.approx(5.1)
+    index.read = 0
+    assert index.top(np.arange(2), np.array([0.1, 5.0]), 1, 5.2)[0].tolist() == []
+    assert index.read == 0
