@@ -27,6 +27,16 @@ def seed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read_dataset(spark, path, "id long, inn string, n_chars long").select("id", "inn", "lang", "n_chars")
 
 
+@query("SELECT doc_id AS id, md5(text) AS digest, length(text) AS chars, source AS inn FROM documents")
+def quoted_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1, SRC13: whole texts with their line breaks inside quotes, read by byte ranges."""
+    path = T.shared_path(spark, "quoted")
+    docs = V.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("inn"))
+    docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    read = T.read_dataset(spark, path, "id long, text string, inn string")
+    return read.select("id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"), "inn")
+
+
 @query(f"{Q.D} SELECT d.id, d.field, d.ok AS is_match, d.err AS error_type, round(d.sim, 6) AS edit_similarity, r.g AS gold_value, r.p AS pred_value FROM d JOIN (" + " UNION ALL ".join(f"SELECT id, '{f}' AS field, gold_{f} AS g, pred_{f} AS p FROM gp" for f in FIELDS) + ") r USING (id, field)")
 def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC5, SRC6, SNK1, SNK2, X18, P9, P10: results with the raw values as JSON, stored, added to, read again."""

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from attestra.operators.records import append_keep_first, file_keys, pending
 from attestra.sources import files as files_source
 from attestra.sources import schemas
+from attestra.sources.quoted import read_quoted
 
 PUSHED_IDS = 1_000
 
@@ -43,12 +44,11 @@ def materialised(df: DataFrame) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str = schemas.DATASET) -> DataFrame:
-    """SRC1, SRC2, SRC13: CSV with a header, by column name; a leading byte order mark is dropped."""
+    """SRC1, SRC2, SRC13: CSV with a header, by column name; a leading byte order mark is dropped. A large file is read by many tasks, line breaks inside quotes or not."""
     header = spark.read.text(path).limit(1).first()
     if header is None:
         return spark.createDataFrame([], schema)
-    quoted = spark.read.csv(path, header=True, quote='"', escape='"', encoding="UTF-8", multiLine=True)
-    quoted = quoted.withColumnsRenamed({c: c.lstrip("﻿") for c in quoted.columns})
+    quoted = read_quoted(spark, path)
     kinds = [x.strip().split(" ", 1) for x in schema.split(",")]
     have = set(quoted.columns)
     known = [F.col(n).try_cast(k).alias(n) if n in have else F.lit(None).cast(k).alias(n) for n, k in kinds]
