@@ -27,6 +27,16 @@ def seed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read_dataset(spark, path, "id long, inn string, n_chars long").select("id", "inn", "lang", "n_chars")
 
 
+@query("SELECT event_id AS id, min(n) AS batch FROM (SELECT event_id, 1 AS n FROM events WHERE event_id % 4 < 2 UNION ALL SELECT event_id, 2 FROM events WHERE event_id % 4 <> 1 UNION ALL SELECT event_id, 3 FROM events) GROUP BY ALL")
+def keyed_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2, JN1, U1: three batches that overlap, the last one twice; each key stays as it came first."""
+    path = T.shared_path(spark, "keyed")
+    events = V.load(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    for n, rule in ((1, "id % 4 < 2"), (2, "id % 4 <> 1"), (3, "true"), (3, "true")):
+        T.append_results(events.where(rule).withColumn("batch", F.lit(n)), path)
+    return spark.read.parquet(path).select("id", "batch")
+
+
 @query("SELECT doc_id AS id, md5(text) AS digest, length(text) AS chars, source AS inn FROM documents")
 def quoted_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1, SRC13: whole texts with their line breaks inside quotes, read by byte ranges."""

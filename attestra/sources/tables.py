@@ -17,9 +17,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.operators.records import append_keep_first, file_keys, pending
+from attestra.operators.records import append_keep_first, file_keys
 from attestra.sources import files as files_source
 from attestra.sources import schemas
+from attestra.sources.keyed import append_keyed
 from attestra.sources.quoted import read_quoted
 
 PUSHED_IDS = 1_000
@@ -152,15 +153,8 @@ def write_results(rows: DataFrame, path: str) -> None:
 
 
 def append_results(new: DataFrame, path: str, key: str = "id") -> None:
-    """SNK2: adds the rows whose key isn't there; what is there is neither read whole nor written again."""
-    spark = new.sparkSession
-    try:
-        there = spark.read.parquet(path).select(key)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        there = None
-    (pending(new, there, key) if there is not None else new).write.mode("append").parquet(path)
+    """SNK2: adds the rows whose key isn't there; of what is there only the keys of files that may have one of them are read."""
+    append_keyed(new, path, key)
 
 
 def write_seed(rows: DataFrame, path: str) -> None:
