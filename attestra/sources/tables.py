@@ -139,12 +139,51 @@ def read_weights(given: str) -> dict[str, float]:
     return {k: float(v) for k, v in json.loads(text).items()}
 
 
-def read_table(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16) -> DataFrame:
-    """SRC16: a database table, read in key ranges where they are given."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
-    if key and bounds:
-        reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
-    return reader.load()
+def _named(column: str) -> str:
+    """A column as Spark's own statements name it."""
+    return '"' + column.replace('"', '""') + '"'
+
+
+def read_table(spark: SparkSession, url: str, name: str, key: str | None = None, parts: int = 16, where: str | None = None) -> DataFrame:
+    """SRC16: a database table; with a numeric key in ``parts`` ranges of near equal numbers of rows, however the keys lie.
+
+    The key column alone is read first, by even ranges between its ends, to find the cuts. ``where``, in the database's
+    SQL, holds for both readings; filters put on the result reach the database too. Rows with a null key are in the first range.
+    """
+    if key is None:
+        return spark.read.jdbc(url, name)
+    key = _named(key)
+    if parts < 2:
+        return spark.read.jdbc(url, name, predicates=[where]) if where else spark.read.jdbc(url, name)
+    held = f" WHERE {where}" if where else ""
+    ends = spark.read.jdbc(url, f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {name}{held}) t").first()
+    if ends is None or ends[0] is None:
+        return spark.read.jdbc(url, name, predicates=[where]) if where else spark.read.jdbc(url, name)
+    keys = spark.read.jdbc(url, f"(SELECT {key} FROM {name}{held}) t", column=key.strip(chr(34)), lowerBound=ends[0], upperBound=ends[1], numPartitions=parts)
+    column = keys.columns[0]
+    from attestra.operators.ranks import even_cuts
+
+    cuts = even_cuts(materialised(keys.select(F.col(column).alias("key"))), "key", parts)
+    whole = dict(keys.dtypes)[column] in ("int", "bigint", "smallint", "tinyint")
+    cuts = sorted({int(-(-c // 1)) if whole else c for c in cuts})
+    ranges = [f"{key} < {cuts[0]} OR {key} IS NULL", *(f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:], strict=False)), f"{key} >= {cuts[-1]}"]
+    return spark.read.jdbc(url, name, predicates=[f"({r}) AND ({where})" if where else r for r in ranges])
+
+
+def write_batch(rows: DataFrame, url: str, name: str, batch: int, column: str = "batch", types: str | None = None) -> None:
+    """SNK12: rows of one numbered batch into a database table; a batch given again takes the place of what it had written.
+
+    ``types`` are the columns' types in the database, for a table that is not there yet.
+    """
+    manager = rows.sparkSession._jvm.java.sql.DriverManager
+    connection = manager.getConnection(url)
+    try:
+        if connection.getMetaData().getTables(None, None, name.upper(), None).next():
+            connection.createStatement().executeUpdate(f"DELETE FROM {name} WHERE {_named(column)} = {int(batch)}")
+    finally:
+        connection.close()
+    writer = rows.withColumn(column, F.lit(int(batch))).write.mode("append")
+    (writer.option("createTableColumnTypes", types) if types else writer).jdbc(url, name)
 
 
 def write_results(rows: DataFrame, path: str) -> None:
