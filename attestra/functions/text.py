@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import json
-import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attestra.functions.normalize import checked_date, loose_amount, lookup
 
@@ -20,13 +17,11 @@ AMOUNT_AFTER_WORD = r"(?iU)(?:сумм[аыеой]|размер[еа]?|сост
 IKZ = r"(?iU)(?:ИКЗ|икз|I[KК]З)\s*[:.]?\s*(\d{20,40})"
 CURRENCY = r"(?iU)(руб|рублей|рубль|руб\.|₽|RUB|USD|EUR|доллар|евро)"
 FOUND_CURRENCIES = {"руб": "RUB", "руб.": "RUB", "рублей": "RUB", "рубль": "RUB", "₽": "RUB", "rub": "RUB", "usd": "USD", "доллар": "USD", "eur": "EUR", "евро": "EUR"}
-INN = r"\b(\d{10}|\d{12})\b"
+EACH_INN = r"(?sU)\G(.*?)\b(\d{10}|\d{12})\b"  # tried from the end of the match before only
 BENEFICIARY = r"бенефициар|заявител|получател|государственн.*заказчик"
 PRINCIPAL = r"принципал|заказчик|поставщик|подрядчик|исполнител"
 CUT_MARK = "\n\n...[TRUNCATED FOR CONTEXT BUDGET]...\n\n"
 
-ROLES = T.StructType([T.StructField(n, T.StringType()) for n in ("principal_inn", "beneficiary_inn", "bank_inn")])
-
 
 def dates(text: Column) -> Column:
     """Valid dates in text order, as ISO texts."""
@@ -61,35 +56,48 @@ def ikz(text: Column) -> Column:
     return first_match(text, IKZ)
 
 
-def mentions(text: str) -> list[tuple[str, str]]:
-    """Each INN with the lower-cased 80 characters before it and 20 after."""
-    return [(m[1], text[max(0, m.start() - 80) : m.end() + 20].lower()) for m in re.finditer(INN, text)]
-
-
-def roles(found: list[tuple[str, str]]) -> tuple[str | None, str | None, str | None]:
-    """Who is who. An INN takes the first role that its surroundings name and nobody has; the rest fill gaps."""
-    taken: dict[str, str] = {}
-    for inn, around in found:
-        head, mark, _ = around.partition("инн")
-        hints = {
-            "bank": bool(mark) and ("банк" in around or "гарант" in head[-40:]),
-            "beneficiary": re.search(BENEFICIARY, around) is not None,
-            "principal": re.search(PRINCIPAL, around) is not None,
-        }
-        role = next((r for r, named in hints.items() if named and r not in taken), None)
-        if role:
-            taken[role] = inn
-    spare = [inn for inn, _ in found if inn not in taken.values()]
-    for role in ("principal", "beneficiary"):
-        if role not in taken and spare:
-            taken[role] = spare.pop(0)
-    return taken.get("principal"), taken.get("beneficiary"), taken.get("bank")
-
-
-@F.pandas_udf(ROLES)
-def inn_roles(text: pd.Series) -> pd.DataFrame:
-    """X1 and X2 need match positions and a fold with memory: an Arrow batch function. Null text has none."""
-    return pd.DataFrame([roles(mentions(t or "")) for t in text], columns=["principal_inn", "beneficiary_inn", "bank_inn"], dtype=object)
+def mentions(text: Column) -> Column:
+    """Each INN with the lower-cased 80 characters before it and 20 after, in text order.
+
+    Each match takes the text since the one before along, so that running lengths give places.
+    """
+    parts = [F.regexp_extract_all(text, F.lit(EACH_INN), F.lit(i)) for i in (1, 2)]
+    zipped = F.arrays_zip(parts[0].alias("gap"), parts[1].alias("inn"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<inn:string,start:int>>").alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = s["at"] + F.length(x["gap"])
+        return F.struct((begin + F.length(x["inn"])).alias("at"), F.array_append(s["found"], F.struct(x["inn"].alias("inn"), begin.alias("start"))).alias("found"))
+
+    def around(x: Column) -> Column:
+        first = F.greatest(x["start"] - 80, F.lit(0))
+        return F.lower(F.substring(text, first + 1, x["start"] + F.length(x["inn"]) + 20 - first))
+
+    return F.transform(F.aggregate(zipped, start, step, lambda s: s["found"]), lambda x: F.struct(x["inn"].alias("inn"), around(x).alias("around")))
+
+
+def inn_roles(text: Column) -> Column:
+    """Who is who. An INN takes the first role that its surroundings name and nobody has; the rest fill gaps. Null text has none."""
+    found = mentions(text)
+    nobody = F.struct(*(F.lit(None).cast("string").alias(r) for r in ("bank", "beneficiary", "principal")))
+
+    def step(s: Column, x: Column) -> Column:
+        around = x["around"]
+        mark = F.instr(around, "инн")
+        head = F.left(around, mark - 1)
+        bank = s["bank"].isNull() & (mark > 0) & (around.contains("банк") | F.right(head, F.lit(40)).contains("гарант"))
+        beneficiary = ~bank & s["beneficiary"].isNull() & around.rlike(BENEFICIARY)
+        principal = ~bank & ~beneficiary & s["principal"].isNull() & around.rlike(PRINCIPAL)
+        return F.struct(*(F.when(c, x["inn"]).otherwise(s[r]).alias(r) for r, c in (("bank", bank), ("beneficiary", beneficiary), ("principal", principal))))
+
+    def filled(s: Column) -> Column:
+        taken = F.array(s["bank"], s["beneficiary"], s["principal"])
+        spare = F.filter(F.transform(found, lambda x: x["inn"]), lambda i: ~F.coalesce(F.array_contains(taken, i), F.lit(False)))
+        principal = F.coalesce(s["principal"], F.get(spare, F.lit(0)))
+        beneficiary = F.coalesce(s["beneficiary"], F.get(spare, F.when(s["principal"].isNull(), 1).otherwise(0)))
+        return F.struct(principal.alias("principal_inn"), beneficiary.alias("beneficiary_inn"), s["bank"].alias("bank_inn"))
+
+    return F.aggregate(F.coalesce(found, F.array().cast("array<struct<inn:string,around:string>>")), nobody, step, filled)
 
 
 def extract(text: Column, found: Column | None = None) -> Column:

@@ -53,8 +53,8 @@ def extract_by_model(docs: DataFrame, make: Callable[[], Generate], text: str =
     Each attempt asks for the rows that are still invalid, the errors of the attempt before in
     the question; errors are those of the last attempt. A model that fails ends a row at once
     as ``failed_runtime``. Attempts are separate passes over fewer and fewer rows. Questions are
-    made where the model is; what is written of an attempt is ``key`` (unique, not null), answer and
-    failure. Without a key the documents are numbered and written first. A null text is asked as an empty one.
+    made where the model is; what is written of an attempt is ``key`` (unique, not null), the answer and what
+    was found in it. Without a key the documents are numbered and written first. A null text is asked as an empty one.
     """
     if key is None:
         base, mark = materialised(docs.withColumn("_row", F.monotonically_increasing_id())), "_row"
@@ -64,13 +64,15 @@ def extract_by_model(docs: DataFrame, make: Callable[[], Generate], text: str =
     asked = texts.withColumn("_errors", F.lit(None).cast("array<string>"))
     done: DataFrame | None = None
     for attempt in range(1, retries + 2):
-        answered = materialised(_answers(asked.select("_row", "_text", "_errors"), make, version))  # a model is asked once for each attempt
+        answered = _answers(asked.select("_row", "_text", "_errors"), make, version)
         checked = with_validated(answered, "raw", version)
         failed = F.col("failure").isNotNull()
         ok = F.size("errors") == 0
         status = F.when(failed, "failed_runtime").when(ok, "succeeded").otherwise("failed_validation")
         errors = F.when(failed, F.array("failure")).otherwise(F.col("errors"))
+        # Written: a model is asked once for each attempt, and an answer is checked once.
         rows = checked.select("_row", status.alias("status"), F.when(~failed, F.col("record")).alias("record"), "raw", errors.alias("errors"), "warnings", F.lit(attempt).alias("attempts"))
+        rows = materialised(rows)
         last = attempt == retries + 1
         finished = rows if last else rows.where("status <> 'failed_validation'")
         done = finished if done is None else done.unionByName(finished)

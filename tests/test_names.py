@@ -91,5 +91,5 @@ def test_questions_are_the_prompts_and_are_not_stored(spark, monkeypatch):
     for key in ("id", None):
         got = {r.id: (r.status, r.attempts) for r in extraction.extract_by_model(docs, make, key=key).collect()}
         assert got == {1: ("succeeded", 2), 2: ("succeeded", 1), 3: ("succeeded", 2)}
-    assert stored.count(["_row", "raw", "failure"]) == 6
+    assert stored.count(["_row", "status", "record", "raw", "errors", "warnings", "attempts"]) == 6
     assert [c for c in stored if "text" in c] == [["id", "text", "_row"]]
