@@ -61,6 +61,16 @@ def versions(rows: DataFrame, key: str, at: str, tie: str, payload: str) -> Data
     return numbered(rows, key, (at, tie), payload)
 
 
+def checked_corrections(corrections: DataFrame, jobs: DataFrame, key: str, payload: str, status: str = "status") -> DataFrame:
+    """W3's guards: ``corrections`` with ``refused``, why a row may not be taken, or null. The first reason counts: no such job,
+    a payload that is no JSON object, a job that has not ended. ``jobs`` has one row for each key; a null key names no job."""
+    known = jobs.select(F.col(key).alias("_job"), F.col(status).alias("_status"))
+    joined = corrections.join(known, F.col(key) == F.col("_job"), "left")
+    sound = F.coalesce(F.schema_of_variant(F.try_parse_json(payload)).startswith("OBJECT"), F.lit(False))
+    reason = F.when(F.col("_job").isNull(), "unknown job").when(~sound, "bad body").when(~F.coalesce(F.col("_status").isin("succeeded", "failed"), F.lit(False)), "job has not ended")
+    return joined.withColumn("refused", reason).drop("_job", "_status")
+
+
 def with_children(jobs: DataFrame, key: str, one: dict[str, DataFrame], many: dict[str, DataFrame]) -> DataFrame:
     """JN5: one struct of each single relation, one array of each multiple one (empty if there is none). For relations
     without a bound of their own take ``scan.children_pages``."""

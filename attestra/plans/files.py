@@ -11,7 +11,8 @@ from attestra.operators import evaluation as E
 from attestra.operators import records as R
 from attestra.plans import queries as Q
 from attestra.plans import views as V
-from attestra.plans.registry import query
+from attestra.plans.registry import ORACLES, query
+from attestra.plans.report import stored_diagnostics
 from attestra.sources import tables as T
 from attestra.operators.ranks import even_cuts
 from attestra.streaming import states
@@ -188,3 +189,29 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         (part if high is None else part.where(F.col("at") < high)).write.mode("append").parquet(work)
         states.follow_jobs(landing(spark, work, states.STEPS, files_per_trigger=100_000), out, mark, _HOURS * 3600).awaitTermination()
     return states.job_states(spark.read.schema(states.LOG).parquet(out)).withColumn("attempts", F.col("attempts").cast("long"))
+
+
+@query("SELECT sum(n)::BIGINT AS rows, max(n)::BIGINT AS last, 2::BIGINT AS runs FROM (SELECT count(*) AS n FROM documents WHERE source < 'src5' UNION ALL SELECT count(*) FROM documents WHERE NOT source < 'src5') t")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: progress rows of two runs over a folder: rows taken in all, in the larger run, and runs with rows."""
+    work, out, mark, log = (T.shared_path(spark, n) for n in ("landing", "done", "mark", "progress"))
+    docs = V.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    for run, part in enumerate((docs.where("source < 'src5'"), docs.where("NOT source < 'src5'"))):
+        part.select("id").write.mode("append").parquet(work)
+        stream = resume(landing(spark, work, "id long", files_per_trigger=100_000), lambda batch: batch, out, mark)
+        stream.awaitTermination()
+        seen = [(run, p["numInputRows"], p["batchDuration"]) for p in stream.recentProgress]
+        spark.createDataFrame(seen, "run int, rows long, ms long").coalesce(1).write.mode("append").parquet(log)
+    runs = spark.read.parquet(log).groupBy("run").agg(F.sum("rows").alias("rows")).where("rows > 0")
+    return runs.agg(F.sum("rows").alias("rows"), F.max("rows").alias("last"), F.count(F.lit(1)).alias("runs"))
+
+
+@query(ORACLES["micro_macro_accuracy"])
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK8: the rows behind the report, from results as they are stored."""
+    path = T.shared_path(spark, "results")
+    rows = Q.diagnosed(spark, sf_dir)
+    rows = rows.withColumns({f"{side}_json": S.stored_json({f: F.col(f"{side}_{f}") for f in FIELDS}) for side in ("gold", "pred")})
+    T.write_results(E.wide(rows, "id", "ocr_engine", "extractor", "status", "ocr_ms", "extract_ms", "total_ms", "gold_json", "pred_json"), path)
+    sums = E.field_sums(stored_diagnostics(E.succeeded(T.read_results(spark, path)), 0.01))
+    return E.group_metrics(sums).select("ocr_engine", "extractor", *(F.round(c, 6).alias(c) for c in ("micro_accuracy", "macro_accuracy")))

@@ -290,6 +290,14 @@ def correction_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("job_id", "id", "version", "payload", "previous_payload")
 
 
+@query("SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'unknown job' WHEN event_type = 'error' THEN 'bad body' WHEN c_mktsegment = 'BUILDING' THEN 'job has not ended' END AS refused FROM events LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY') ON c_custkey = user_id")
+def correction_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which corrections may be taken, and why the others not: customers as jobs, events as corrections."""
+    jobs = V.load(spark, sf_dir, "customer").where("c_mktsegment <> 'MACHINERY'").selectExpr("c_custkey AS user_id", "if(c_mktsegment = 'BUILDING', 'running', 'succeeded') AS status")
+    rows = V.load(spark, sf_dir, "events").selectExpr("event_id", "user_id", "if(event_type = 'error', concat('[', props, ']'), props) AS payload")
+    return R.checked_corrections(rows, jobs, "user_id", "payload").select("event_id", "refused")
+
+
 @query("SELECT event_type, event_id, row_number() OVER w AS version, value, lag(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")
 def hot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3 where a few keys have all rows: each type of event spans many ranges."""

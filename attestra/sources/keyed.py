@@ -77,9 +77,13 @@ def append_keyed(new: DataFrame, path: str, key: str = "id") -> None:
     """Adds the rows whose key isn't there; repeats within ``new`` and null keys stay. What is there is not written again.
 
     A batch given again after a failure adds nothing: what the failed append had written is read as a file without
-    an entry. ``new`` should be the same at each reading (a table, or written).
+    an entry. ``new`` is made once.
     """
+    from attestra.sources.tables import materialised
+
     spark = new.sparkSession
+    if _there(spark, path) is not None:
+        new = materialised(new)
     files = files_with(new, path, key)
     if files:
         seen = spark.read.option("basePath", path).parquet(*files).select(key).where(F.col(key).isNotNull())

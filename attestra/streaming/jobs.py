@@ -53,18 +53,23 @@ def allowed_step(before: Column, after: Column) -> Column:
 
 
 class Progress(StreamingQueryListener):
-    """T5: calls ``report(rows so far, rows of this batch, milliseconds)`` after each batch."""
+    """T5: calls ``report(rows so far, rows of this batch, milliseconds)`` after each batch; with the number of rows in
+    ``total`` known, also with the milliseconds left at the pace so far (null before the first row)."""
 
-    def __init__(self, report: Callable[[int, int, int], None]):
-        self.report, self.rows = report, 0
+    def __init__(self, report: Callable[..., None], total: int | None = None):
+        self.report, self.total = report, total
+        self.rows, self.ms = 0, 0
 
     def onQueryStarted(self, event) -> None:  # noqa: N802, ANN001
-        self.rows = 0
+        self.rows, self.ms = 0, 0
 
     def onQueryProgress(self, event) -> None:  # noqa: N802, ANN001
-        n = event.progress.numInputRows
-        self.rows += n
-        self.report(self.rows, n, event.progress.batchDuration)
+        n, ms = event.progress.numInputRows, event.progress.batchDuration
+        self.rows, self.ms = self.rows + n, self.ms + ms
+        if self.total is None:
+            self.report(self.rows, n, ms)
+        else:
+            self.report(self.rows, n, ms, self.ms * (self.total - self.rows) / self.rows if self.rows else None)
 
     def onQueryIdle(self, event) -> None:  # noqa: N802, ANN001
         pass

@@ -48,11 +48,13 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_without_the_optional_folders(tmp_path):
+def test_without_the_optional_folders(tmp_path, data):
     for part in ("attestra", "__spark_entry__.py"):
         source = os.path.join(ROOT, part)
         (shutil.copytree if os.path.isdir(source) else shutil.copy)(source, tmp_path / part)
     shutil.rmtree(tmp_path / "attestra/llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'slot_prf' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); print(len(q))"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'slot_prf' in q and not any(n.startswith('op') or n == 'pipeline' for n in q)\n"
+    code += "from pyspark.sql import SparkSession\nspark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+    code += f"assert q['status_counts'](spark, {data!r}).count() == 4"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=False)
     assert done.returncode == 0, done.stderr

@@ -48,3 +48,24 @@ def test_job_states(spark, tmp_path, runs):
     want = plain(steps, 600)
     assert sorted((tuple(x) for x in got)) == want or [tuple(x) for x in sorted(got, key=lambda x: x.job)] == want
     assert any(x[5] for x in want) and dict((x[0], x[1]) for x in want)["lone"] == "failed"
+
+
+def test_corrections_are_refused_with_a_reason(spark):
+    from attestra.operators import records
+
+    jobs = spark.createDataFrame([("a", "succeeded"), ("b", "running"), ("c", None), ("d", "failed"), (None, "failed")], "job string, status string")
+    rows = [(1, "a", '{"x": 1}'), (2, "a", "[1]"), (3, "a", "no"), (4, "a", None), (5, "b", "{}"), (6, "c", "{}"), (7, "z", "{}"), (8, None, "{}"), (9, "d", "{}"), (10, "z", "no")]
+    found = records.checked_corrections(spark.createDataFrame(rows, "id int, job string, body string"), jobs, "job", "body")
+    assert {r.id: r.refused for r in found.collect()} == {1: None, 2: "bad body", 3: "bad body", 4: "bad body", 5: "job has not ended", 6: "job has not ended", 7: "unknown job", 8: "unknown job", 9: None, 10: "unknown job"}
+
+
+def test_progress_tells_what_is_left():
+    from types import SimpleNamespace
+
+    from attestra.streaming.jobs import Progress
+
+    seen = []
+    progress = Progress(lambda *x: seen.append(x), total=100)
+    for n, ms in ((0, 5), (20, 35), (30, 60)):
+        progress.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(numInputRows=n, batchDuration=ms)))
+    assert seen == [(0, 0, 5, None), (20, 20, 35, 160.0), (50, 30, 60, 100.0)]
