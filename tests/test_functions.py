@@ -170,3 +170,14 @@ def test_unknown_keys(spark):
     rows = spark.createDataFrame([('{"amount": 1, "odd": 2}',)], "a string")
     assert rows.select(S.unknown_keys(F.try_parse_json("a"), "v2").alias("k")).first().k == ["odd"]
     assert apply(spark, S.schema_version, ["v1", "v3", None]) == ["v1", "v2", "v2"]
+
+
+def test_printed_decimals_round_the_binary_value_halves_to_even(spark):
+    values = [k * 500 / 10000 for k in range(200)] + [-0.15, 0.25, 0.35, 0.0005, 1.0005, 2.5, 1e-9, 1e16, 123456789012.35, 0.0]
+    assert apply(spark, lambda c: N.decimals(c, 1), values, "double") == [f"{v:.1f}" for v in values]
+    assert apply(spark, lambda c: N.decimals(c, 3), values, "double") == [f"{v:.3f}" for v in values]
+    assert apply(spark, N.percent, values, "double") == [f"{v * 100:.1f}%" for v in values]
+    totals = [500.0 * k for k in range(1, 1000)]
+    assert apply(spark, lambda c: N.percent(c, F.lit(1000000)), totals, "double") == [f"{v / 10000:.1f}%" for v in totals]
+    times = [0.5, 1.5, 2.5, 1050.0, 1250.0, 1350.0, 2450.0]
+    assert apply(spark, N.duration, times, "double") == [f"{v:.0f}ms" if v < 1000 else f"{v / 1000:.1f}s" for v in times]
