@@ -30,12 +30,12 @@ def seed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS state, o_totalprice AS total, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS batch FROM orders WHERE o_totalprice >= 1000")
 def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC16, SNK12: orders through a database in two batches, the second one twice, read by ranges of near equal rows. The embedded database serves one JVM: a local master."""
-    url = f"jdbc:derby:{T.shared_path(spark, 'database').removeprefix('file://')};create=true"
+    """SRC16, SNK12: orders through a database in two batches, the second one twice, read by ranges of near equal rows. The database is a file that driver and executors share."""
+    url = f"sqlite:{T.shared_path(spark, 'database').removeprefix('file:')}"
     orders = V.load(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS customer", "o_orderstatus AS state", "o_totalprice AS total")
     for batch, rule in ((1, "state <> 'F'"), (2, "state = 'F' AND id % 2 = 0"), (2, "state = 'F'")):
-        T.write_batch(orders.where(rule), url, "orders", batch, types="state VARCHAR(8)")
-    return T.read_table(spark, url, "orders", "id", parts=4).where("total >= 1000")
+        T.write_batch(orders.where(rule), url, "orders", batch)
+    return T.read_table(spark, url, "orders", "id", parts=4 * spark.sparkContext.defaultParallelism).where("total >= 1000")
 
 
 @query("SELECT event_id AS id, min(n) AS batch FROM (SELECT event_id, 1 AS n FROM events WHERE event_id % 4 < 2 UNION ALL SELECT event_id, 2 FROM events WHERE event_id % 4 <> 1 UNION ALL SELECT event_id, 3 FROM events) GROUP BY ALL")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from attestra.operators.records import append_keep_first, file_keys
 from attestra.sources import files as files_source
-from attestra.sources import schemas
+from attestra.sources import schemas, sqlite
 from attestra.sources.keyed import append_keyed
 from attestra.sources.quoted import read_quoted
 
@@ -144,22 +144,50 @@ def _named(column: str) -> str:
     return '"' + column.replace('"', '""') + '"'
 
 
+def _table(spark: SparkSession, url: str, name: str, predicates: list[str] | None = None) -> DataFrame:
+    """A table, a partition for each predicate: ``sqlite:`` URLs by their own source, others by JDBC."""
+    if not url.startswith("sqlite:"):
+        return spark.read.jdbc(url, name, predicates=predicates) if predicates else spark.read.jdbc(url, name)
+    sqlite.register(spark)
+    return spark.read.format("sqlite_table").option("table", name).option("predicates", json.dumps(predicates or [])).load(sqlite.path_of(url))
+
+
+def _ends(spark: SparkSession, url: str, name: str, key: str, held: str) -> tuple | None:
+    ends = f"SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {name}{held}"
+    if not url.startswith("sqlite:"):
+        return spark.read.jdbc(url, f"({ends}) t").first()
+    base = sqlite.connected(sqlite.path_of(url))
+    try:
+        return base.execute(ends).fetchone()
+    finally:
+        base.close()
+
+
+def _keys(spark: SparkSession, url: str, name: str, key: str, held: str, ends: tuple, parts: int) -> DataFrame:
+    """The key column alone, by even ranges between its ends."""
+    if not url.startswith("sqlite:"):
+        return spark.read.jdbc(url, f"(SELECT {key} FROM {name}{held}) t", column=key.strip(chr(34)), lowerBound=ends[0], upperBound=ends[1], numPartitions=parts)
+    steps = [ends[0] + (ends[1] - ends[0]) * i / parts for i in range(1, parts)]
+    ranges = [f"{key} < {steps[0]!r} OR {key} IS NULL", *(f"{key} >= {a!r} AND {key} < {b!r}" for a, b in zip(steps, steps[1:], strict=False)), f"{key} >= {steps[-1]!r}"]
+    where = held.removeprefix(" WHERE ")
+    return _table(spark, url, name, [f"({r}) AND ({where})" if where else r for r in ranges]).select(key.strip('"').replace('""', '"'))
+
+
 def read_table(spark: SparkSession, url: str, name: str, key: str | None = None, parts: int = 16, where: str | None = None) -> DataFrame:
     """SRC16: a database table; with a numeric key in ``parts`` ranges of near equal numbers of rows, however the keys lie.
 
-    The key column alone is read first, by even ranges between its ends, to find the cuts. ``where``, in the database's
+    ``url`` is a JDBC URL, or ``sqlite:`` and a file that driver and executors share. The key column alone is read first,
+    by even ranges between its ends, to find the cuts. ``where``, in the database's
     SQL, holds for both readings; filters put on the result reach the database too. Rows with a null key are in the first range.
     """
     if key is None:
-        return spark.read.jdbc(url, name)
+        return _table(spark, url, name)
     key = _named(key)
-    if parts < 2:
-        return spark.read.jdbc(url, name, predicates=[where]) if where else spark.read.jdbc(url, name)
     held = f" WHERE {where}" if where else ""
-    ends = spark.read.jdbc(url, f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {name}{held}) t").first()
+    ends = _ends(spark, url, name, key, held) if parts > 1 else None
     if ends is None or ends[0] is None:
-        return spark.read.jdbc(url, name, predicates=[where]) if where else spark.read.jdbc(url, name)
-    keys = spark.read.jdbc(url, f"(SELECT {key} FROM {name}{held}) t", column=key.strip(chr(34)), lowerBound=ends[0], upperBound=ends[1], numPartitions=parts)
+        return _table(spark, url, name, [where] if where else None)
+    keys = _keys(spark, url, name, key, held, ends, parts)
     column = keys.columns[0]
     from attestra.operators.ranks import even_cuts
 
@@ -167,14 +195,27 @@ def read_table(spark: SparkSession, url: str, name: str, key: str | None = None,
     whole = dict(keys.dtypes)[column] in ("int", "bigint", "smallint", "tinyint")
     cuts = sorted({int(-(-c // 1)) if whole else c for c in cuts})
     ranges = [f"{key} < {cuts[0]} OR {key} IS NULL", *(f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:], strict=False)), f"{key} >= {cuts[-1]}"]
-    return spark.read.jdbc(url, name, predicates=[f"({r}) AND ({where})" if where else r for r in ranges])
+    return _table(spark, url, name, [f"({r}) AND ({where})" if where else r for r in ranges])
 
 
 def write_batch(rows: DataFrame, url: str, name: str, batch: int, column: str = "batch", types: str | None = None) -> None:
     """SNK12: rows of one numbered batch into a database table; a batch given again takes the place of what it had written.
 
-    ``types`` are the columns' types in the database, for a table that is not there yet.
+    ``types`` are the columns' types in a JDBC database, for a table that is not there yet.
     """
+    numbered = rows.withColumn(column, F.lit(int(batch)))
+    if url.startswith("sqlite:"):
+        path = sqlite.path_of(url)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        if sqlite.columns_of(path, name):
+            base = sqlite.connected(path, write=True)
+            try:
+                base.execute(f"DELETE FROM {name} WHERE {_named(column)} = {int(batch)}")
+            finally:
+                base.close()
+        sqlite.register(rows.sparkSession)
+        numbered.write.format("sqlite_table").option("table", name).mode("append").save(path)
+        return
     manager = rows.sparkSession._jvm.java.sql.DriverManager
     connection = manager.getConnection(url)
     try:
@@ -182,7 +223,7 @@ def write_batch(rows: DataFrame, url: str, name: str, batch: int, column: str =
             connection.createStatement().executeUpdate(f"DELETE FROM {name} WHERE {_named(column)} = {int(batch)}")
     finally:
         connection.close()
-    writer = rows.withColumn(column, F.lit(int(batch))).write.mode("append")
+    writer = numbered.write.mode("append")
     (writer.option("createTableColumnTypes", types) if types else writer).jdbc(url, name)
 
 
