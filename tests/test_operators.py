@@ -301,3 +301,11 @@ def test_views_have_all_kinds_of_errors(diagnosed):
     assert kinds == {"correct", "missing", "wrong", "extra"}
     assert set(views.GOLD_PRED) >= {f"gold_{f}" for f in FIELDS}
     assert "match_ikz boolean" in schemas.RESULTS
+
+
+def test_answers_of_many_rows_are_not_broadcast(spark):
+    """Beside a wide record a few columns of a written table look small, however many rows there are."""
+    docs = spark.range(50).selectExpr("id", "concat('t', id) AS text")
+    found = extract_by_model(docs, lambda: lambda system, question, schema: "{}" if "t7" in question else "no", retries=1, key="id").select("id", "status", "attempts")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 50
