@@ -309,3 +309,11 @@ def test_answers_of_many_rows_are_not_broadcast(spark):
     found = extract_by_model(docs, lambda: lambda system, question, schema: "{}" if "t7" in question else "no", retries=1, key="id").select("id", "status", "attempts")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 50
+
+
+@pytest.mark.parametrize("name", ["layout_blocks", "layout_markdown"])
+def test_words_are_grouped_where_their_document_is(spark, data, name):
+    """Documents are shuffled once, before they become rows of words."""
+    plan = getattr(Q, name)(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert plan.index("Generate") < plan.index("Exchange")  # the plan is printed from the end
