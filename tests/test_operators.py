@@ -317,3 +317,13 @@ def test_words_are_grouped_where_their_document_is(spark, data, name):
     plan = getattr(Q, name)(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.index("Generate") < plan.index("Exchange")  # the plan is printed from the end
+
+
+def test_mentions_are_looked_for_once_however_many_roles_are_read(spark, data):
+    plan = Q.regex_inn_roles(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\G(.*?)") == 2  # the gaps and the INNs
+
+
+def test_small_tables_are_dealt_in_parts_that_grow_with_their_files(spark, data):
+    one = views.load(spark, data, "orders")
+    assert views.spread(one).rdd.getNumPartitions() == 32 * one.rdd.getNumPartitions()
