@@ -439,7 +439,12 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, names: np.ndarray, left: np.nda
         a, b = cuts[own], cuts[own + 1]
         size = b - a
         at = np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)
-        others, common = np.unique(posting[at], return_counts=True)
+        if 16 * len(at) > len(nodes):
+            common = np.bincount(posting[at], minlength=len(nodes))
+            others = np.flatnonzero(common)
+            common = common[others]
+        else:
+            others, common = np.unique(posting[at], return_counts=True)
         for y in others[100 * common >= 75 * (sizes[x] + sizes[others] - common)].tolist():
             p, q = find(x), find(y)
             if p != q:
@@ -465,12 +470,41 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.select("root", "i", "j", "side", "node", "text").groupBy("root", "i", "j").applyInArrow(_cell_links, "root long, a long, b long")
 
 
-def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
+def _bucket_members(members: DataFrame, large: DataFrame, outside: DataFrame) -> DataFrame:
+    """``root, node, weight, hub, left`` of sets of large groups; ``left`` marks those outside. Members of a bucket that was
+    reduced to leaders of batches share no hub: such buckets count as one as far as they hang together."""
+    mine = members.join(large.select("root", "node", "weight"), "node").join(outside.select("node", F.lit(True).alias("left")), "node", "left")
+    mine = written(mine.select("root", "node", "weight", "hub", "cost", F.coalesce("left", F.lit(False)).alias("left")), "bucket-members")
+    hot = mine.where(f"cost = {ALWAYS}")
+    if not hot.take(1):
+        return mine.drop("cost")
+    tied = components(hot.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("root", "hub")
+    tied = hot.select("root", "node", "weight", "left").distinct().join(tied, "node")
+    return written(mine.where(f"cost <> {ALWAYS}").drop("cost").unionByName(tied), "bucket-members")
+
+
+def _bucket_cells(large: DataFrame, held: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Cells of buckets instead of whole groups: two sets that link share one. Small buckets are packed, large ones cut into blocks."""
+    packs = hubs.where("blocks = 1").groupBy("root").agg(F.ceil(2 * F.sum("w") / BLOCK_TOKENS).alias("packs"))
+    packs = F.broadcast(packs) if packs.count() <= BROADCAST_ROWS else packs
+    known = written(hubs.join(packs, "root", "left").select("hub", "uses", "parts", "blocks", "packs"), "buckets")
+    placed = join_uses(held, known, ["hub"], "uses")
+    small = placed.where("blocks = 1").select("root", F.pmod(F.xxhash64("hub"), F.col("packs")).cast("int").alias("i"), F.lit(-1).alias("j"), F.when(F.col("left"), LEFT | RIGHT).otherwise(RIGHT).alias("side"), "node").distinct()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    cut = placed.where("blocks > 1").withColumn("root", F.col("hub"))
+    left = cut.where("left").select("root", one("parts").alias("i"), every("blocks").alias("j"), F.lit(LEFT).alias("side"), "node")
+    right = cut.select("root", every("parts").alias("i"), one("blocks").alias("j"), F.lit(RIGHT).alias("side"), "node")
+    return _cells(small.unionByName(left).unionByName(right).join(large.select("node", "text"), "node"))
+
+
+def _links(sets: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
     """Links ``a, b`` inside candidate groups, by cells of bounded size.
 
     A group of one block is one cell. In a larger one a few leaders are first compared with every block; the sets
-    that they join are one component, and only sets outside the largest such one are compared with the whole group:
-    a group of near copies of one text costs as much as it has rows.
+    that they join are one component, and only sets outside the largest such one are compared with others:
+    a group of near copies of one text costs as much as it has rows. They meet the whole group or, where that sends
+    fewer texts, the members of their buckets: groups grow faster than the corpus, for they hang together by chance.
     """
     leaders = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64(F.lit(s), "node")) for s in range(LEADERS))))
     sized = groups.join(sets.select("node", "weight"), "node")
@@ -491,11 +525,21 @@ def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     largest = joined.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("part", "n").alias("part"))
     inside = joined.join(F.broadcast(largest) if blocks.where("blocks > 1").count() <= BROADCAST_ROWS else largest, ["root", "part"], "left_semi").select("node")
     outside = written(large.join(inside, "node", "left_anti"), "outside")
-    parts = outside.groupBy("root").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).cast("int").alias("parts"))
-    few = F.broadcast(parts) if blocks.where("blocks > 1").count() <= BROADCAST_ROWS else parts
+    parts = outside.groupBy("root").agg(F.sum("weight").alias("lw"), F.ceil(F.sum("weight") / BLOCK_TOKENS).cast("int").alias("parts"))
+    held = _bucket_members(members, large, outside)
+    names = [F.bit_xor(F.xxhash64(*([F.lit(s)] * s), "node")).alias(f"name{s}") for s in (0, 1)]  # hubs of the same members are one
+    hubs = held.groupBy("root", "hub").agg(F.count(F.lit(1)).alias("uses"), F.sum("weight").alias("w"), F.sum(F.when(F.col("left"), F.col("weight"))).alias("lw"), *names).where("uses > 1 AND lw > 0")
+    hubs = hubs.groupBy("root", "uses", "name0", "name1").agg(F.min("hub").alias("hub"), F.min("w").alias("w"), F.min("lw").alias("lw"))
+    hubs = written(hubs.withColumns({n: F.ceil(F.col(c) / BLOCK_TOKENS).cast("int") for n, c in (("parts", "lw"), ("blocks", "w"))}), "buckets")
+    sent = hubs.groupBy("root").agg(F.sum(F.when(F.col("blocks") == 1, F.col("w")).otherwise(F.col("lw") * F.col("blocks") + F.col("w") * F.col("parts"))).alias("sent"))
+    costs = parts.join(blocks.select("root", "blocks"), "root").join(sent, "root", "left")
+    costs = written(costs.select("root", "parts", (F.coalesce("sent", F.lit(0.0)) < F.col("blocks") * (F.col("lw") + F.col("parts") * BLOCK_TOKENS)).alias("split")), "costs")
+    small = costs.count() <= BROADCAST_ROWS
+    few, split = (F.broadcast(x) if small else x for x in (costs.where("NOT split").select("root", "parts"), costs.where("split").select("root")))
     left = outside.join(few, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("root", "i", every.alias("j"), F.lit(LEFT).alias("side"), "node", "text")
     right = large.join(few, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(RIGHT).alias("side"), "node", "text")
-    return _cells(single).unionByName(_cells(left.unionByName(right))).unionByName(led).select("a", "b")
+    found = _cells(single).unionByName(_cells(left.unionByName(right))).unionByName(_bucket_cells(large, held.join(split, "root", "left_semi"), hubs.join(split, "root", "left_semi")))
+    return found.unionByName(led).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", choose: bool = False) -> DataFrame:
@@ -547,7 +591,7 @@ def _component_roots(texts: DataFrame, named: DataFrame, found: DataFrame, seed:
     dearest = Window.partitionBy("node").orderBy(F.desc("cost"), "hub")
     probes = shared.where(f"role = {OWN}").join(spare, "node").withColumn("left", F.sum("weight").over(dearest))
     kept = probes.where(f"left > spare OR cost = {ALWAYS}").select("hub").unionByName(shared.where(f"role = {FAILS} OR cost = {ALWAYS}").select("hub")).distinct()
-    members = shared.join(kept, "hub", "left_semi").select("node", "hub").distinct()
+    members = written(shared.join(kept, "hub", "left_semi").select("node", "hub", "cost").distinct(), "members")
     groups = components(members.select(F.col("node").alias("a"), F.col("hub").alias("b"))).join(active, "node", "left_semi")
     groups = written(groups, "groups")
     drop_written(found)
@@ -561,7 +605,7 @@ def _component_roots(texts: DataFrame, named: DataFrame, found: DataFrame, seed:
     sets = written(chosen.select("node", F.encode("text", "UTF-8").alias("text"), F.greatest(F.lit(1), F.octet_length("text") / 5).alias("weight")), "sets")
     if sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):  # equal rows without an id, or with one
         sets = written(sets.dropDuplicates(["node"]), "sets")
-    return components(_links(sets, groups))
+    return components(_links(sets, groups, members))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -623,3 +623,21 @@ def test_terms_before_the_pivot_are_not_read():
     index.read = 0
     assert index.top(np.arange(2), np.array([0.1, 5.0]), 1, 5.2)[0].tolist() == []
     assert index.read == 0
+
+
+def test_large_groups_meet_by_buckets(spark, monkeypatch):
+    """A group that hangs together by chance sends each set about as often as it is in a bucket, not once for each block; sets of a bucket reduced to leaders still meet."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 60)
+    n = 120
+    texts = {i: " ".join(f"w{i // 2}x{k}" for k in range(12)) for i in range(n)}  # 2k and 2k + 1 are equal
+    texts[0] = texts[n - 1] = " ".join(f"far{k}" for k in range(12))  # in different batches of a hot bucket
+    sets = spark.createDataFrame([(i, t.encode(), 3.0) for i, t in texts.items()], "node long, text binary, weight double")
+    groups = spark.createDataFrame([(i, 0) for i in range(n)], "node long, root long")
+    buckets = [(i, 1000 + i, 1) for i in range(n)] + [(i + 1, 1000 + i, 1) for i in range(n - 1)]
+    hot = [(0, 5000, jaccard_join.ALWAYS), (1, 5000, jaccard_join.ALWAYS), (1, 5001, jaccard_join.ALWAYS), (n - 2, 5001, jaccard_join.ALWAYS), (n - 2, 5002, jaccard_join.ALWAYS), (n - 1, 5002, jaccard_join.ALWAYS)]
+    sent, cells = [], jaccard_join._cells
+    monkeypatch.setattr(jaccard_join, "_cells", lambda rows: (sent.append(rows.count()), cells(rows))[1])
+    links = jaccard_join._links(sets, groups, spark.createDataFrame(buckets + hot, "node long, hub long, cost int"))
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect() if r.a != r.b}
+    assert found == {(2 * k, 2 * k + 1) for k in range(1, n // 2 - 1)} | {(0, n - 1)}
+    assert sum(sent) <= 8 * n  # the whole group: 6 blocks, each set 12 times and more
