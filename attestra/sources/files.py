@@ -3,8 +3,9 @@
 ``spark.read.format("document_files")`` lists the files one folder below a root, drops those that a
 filter on their folder, name, key or stem excludes before any is opened, and packs the rest into
 partitions of near equal bytes. ``df.write.format("document_artifacts")`` writes below a staging
-folder; only when all tasks have ended does the driver move the files into place, so that a
-failed job or a lost executor leaves none.
+folder; only when all tasks have ended are the files moved into place, so that a failed job or a
+lost executor leaves none. ``tables.write_artifacts`` lets tasks move them, a bucket each; a plain
+``save`` leaves it to the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import os
 import shutil
 import time
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,8 @@ FILE_COLUMNS = "path string, guarantee_id string, file_key string, stem string,
 ARTIFACT_COLUMNS = {"ocr_json": "ocr.json", "ocr_md": "ocr.md", "extraction_json": "extraction.json", "meta_json": "meta.json", "content": "source.pdf"}
 BATCH_BYTES = 16 << 20
 STAGING = ".staging"
+BUCKETS = 64  # folders of documents by their name
+COMMITTED = "committed"
 
 
 def local_path(root: str) -> str:
@@ -142,59 +146,87 @@ class DocumentFiles(DataSource):
         return FileReader(dict(self.options), schema)
 
 
+def committed(staging: str) -> list[str]:
+    """Names of the staged folders of the attempts that count, in the order of their partitions."""
+    with open(os.path.join(staging, COMMITTED), encoding="utf-8") as f:
+        return f.read().split()
+
+
+def move_bucket(staging: str, root: str, attempts: list[str], bucket: int) -> None:
+    """Moves the staged files of one bucket into place; of a file that several partitions wrote the last one's stays. May be done again."""
+    for attempt in attempts:
+        base = os.path.join(staging, attempt, str(bucket))
+        for top in sorted(os.listdir(base)) if os.path.isdir(base) else ():
+            os.makedirs(os.path.join(root, top), exist_ok=True)
+            for stem in os.listdir(os.path.join(base, top)):
+                source, final = os.path.join(base, top, stem), os.path.join(root, top, stem)
+                try:
+                    os.rename(source, final)  # a document that wasn't there goes as a folder
+                except OSError:
+                    for name in os.listdir(source) if os.path.isdir(source) else ():
+                        os.replace(os.path.join(source, name), os.path.join(final, name))
+
+
+def clear(staging: str) -> None:
+    for _ in range(5):  # a task that is being stopped may still write
+        shutil.rmtree(staging, ignore_errors=True)
+        if not os.path.exists(staging):
+            break
+        time.sleep(0.2)
+
+
 @dataclass
 class Staged(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    attempt: str
 
 
 class ArtifactWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
         self.root, self.overwrite = local_path(options["path"]), overwrite
-        self.staging = os.path.join(self.root, STAGING, uuid.uuid4().hex)
+        self.moves = "staging" not in options  # else whoever named the folder moves the files
+        self.staging = os.path.join(self.root, STAGING, options.get("staging") or uuid.uuid4().hex)
         if missing := {"guarantee_id", "stem"} - set(schema.names):
             raise ValueError(f"columns {', '.join(sorted(missing))} are needed")
         self.columns = {c: f for c, f in ARTIFACT_COLUMNS.items() if c in schema.names}
         os.makedirs(self.staging)  # by the driver: a task of an aborted job finds none
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
-        folder = os.path.join(self.staging, uuid.uuid4().hex)  # of this attempt alone
-        os.mkdir(folder)
-        files = []
+        attempt = uuid.uuid4().hex
+        base = os.path.join(self.staging, attempt)  # of this attempt alone
+        os.mkdir(base)
         for batch in iterator:
             for row in batch.to_pylist():
                 place = [row["guarantee_id"], row["stem"]]
                 if any(not p or p in (".", "..") or "/" in p or "\0" in p or p == STAGING for p in place):
                     raise ValueError(f"no folder can be named {place}")
-                for column, name in self.columns.items():
-                    if (body := row[column]) is not None:
-                        staged = os.path.join(folder, str(len(files)))
-                        with open(staged, "wb") as f:
-                            f.write(body.encode() if isinstance(body, str) else body)
-                        files.append((staged, os.path.join(self.root, *place, name)))
-        return Staged(files)
+                folder = os.path.join(base, str(zlib.crc32("/".join(place).encode()) % BUCKETS), *place)
+                found = [(name, body) for column, name in self.columns.items() if (body := row[column]) is not None]
+                if found:
+                    os.makedirs(folder, exist_ok=True)
+                for name, body in found:
+                    with open(os.path.join(folder, name), "wb") as f:
+                        f.write(body.encode() if isinstance(body, str) else body)
+        return Staged(attempt)
 
     def commit(self, messages: list[Staged | None]) -> None:
+        attempts = [m.attempt for m in messages if m]
         try:
             if self.overwrite:
                 with os.scandir(self.root) as found:
                     for old in [x.path for x in found if x.is_dir() and x.name != STAGING]:
                         shutil.rmtree(old)
-            for message in messages:
-                for staged, final in message.files if message else ():
-                    os.makedirs(os.path.dirname(final), exist_ok=True)
-                    os.replace(staged, final)
+            if self.moves:
+                for bucket in range(BUCKETS):
+                    move_bucket(self.staging, self.root, attempts, bucket)
+            else:
+                with open(os.path.join(self.staging, COMMITTED), "w", encoding="utf-8") as f:
+                    f.write("\n".join(attempts))
         finally:
-            self._clear()
+            if self.moves:
+                clear(self.staging)
 
     def abort(self, messages: list[Staged | None]) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
-        for _ in range(5):  # a task that is being stopped may still write
-            shutil.rmtree(self.staging, ignore_errors=True)
-            if not os.path.exists(self.staging):
-                break
-            time.sleep(0.2)
+        clear(self.staging)
 
 
 class DocumentArtifacts(DataSource):

@@ -255,7 +255,7 @@ def run_id(engine: Column, extractor: Column) -> Column:
 
 
 def write_artifacts(rows: DataFrame, root: str, copy_source: bool = False) -> None:
-    """SNK6, SNK7: files of each document below ``root/<guarantee_id>/<stem>/``, moved into place when all tasks have ended.
+    """SNK6, SNK7: files of each document below ``root/<guarantee_id>/<stem>/``, moved into place by tasks when all that write have ended.
 
     ``rows`` has ``guarantee_id, stem`` and the columns ``ocr_json, ocr_md, extraction_json,
     meta_json``, and ``content`` if the source is kept; null columns write no file. ``root``
@@ -265,7 +265,22 @@ def write_artifacts(rows: DataFrame, root: str, copy_source: bool = False) -> No
     files_source.register(spark)
     columns = ["guarantee_id", "stem", *(c for c in files_source.ARTIFACT_COLUMNS if c in rows.columns and (copy_source or c != "content"))]
     os.makedirs(files_source.local_path(root), exist_ok=True)
-    rows.select(*columns).write.format("document_artifacts").mode("append").save(root)
+    name = uuid.uuid4().hex
+    place = files_source.local_path(root)
+    staging = os.path.join(place, files_source.STAGING, name)
+
+    def move(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        attempts = files_source.committed(staging)
+        for part in parts:
+            for bucket in part["id"]:
+                files_source.move_bucket(staging, place, attempts, bucket)
+            yield part
+
+    try:
+        rows.select(*columns).write.format("document_artifacts").option("staging", name).mode("append").save(root)
+        spark.range(0, files_source.BUCKETS, 1, files_source.BUCKETS).mapInPandas(move, "id long").write.format("noop").mode("overwrite").save()
+    finally:
+        files_source.clear(staging)
 
 
 def manifest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -84,3 +84,13 @@ def test_a_failing_task_leaves_no_file(spark, tmp_path, bad):
     with pytest.raises(PySparkException):
         tables.write_artifacts(spark.createDataFrame(rows, SCHEMA).repartition(5), str(tmp_path / "out"))
     assert written(tmp_path / "out") == []
+
+
+def test_tasks_move_the_files(spark, tmp_path, monkeypatch):
+    """The driver's commit touches no document's file, and of a file that several partitions wrote the last one's stays."""
+    rows = [("g", f"s{i % 40}", str(i), None, None, None, None, i) for i in range(80)]
+    table = spark.createDataFrame(rows, SCHEMA).repartitionByRange(8, "other")
+    monkeypatch.setattr(files.os, "replace", lambda *_: pytest.fail("moved by the driver"))
+    tables.write_artifacts(table, str(tmp_path / "out"))
+    assert {p: (tmp_path / "out" / p).read_text() for p in written(tmp_path / "out")} == {f"g/s{i}/ocr.json": str(i + 40) for i in range(40)}
+    assert "files" not in files.Staged.__dataclass_fields__  # a message has no list of files
