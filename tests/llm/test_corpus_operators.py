@@ -331,6 +331,28 @@ def test_wand_with_thresholds(k):
         assert not len(index.top(own, idf[own], k, score[want[0]] + 1)[0])
 
 
+def test_many_queries_together():
+    """Block by block for all queries at once: as each query alone, and blocks below all thresholds are not read."""
+    r = np.random.default_rng(6)
+    n, terms, k = 5000, 200, 10
+    df = np.sort(r.integers(1, 3000, terms))
+    doc = np.concatenate([np.sort(r.choice(n, x, replace=False)) for x in df])
+    term, count, lengths, ids = np.repeat(np.arange(terms), df), r.integers(1, 6, df.sum()), r.integers(50, 400, n), r.permutation(n)
+    by = np.argsort(doc, kind="stable")
+    index = topk_search.Index(ids, lengths, doc[by], term[by], count[by], 200.0, terms)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    asked = [np.sort(r.choice(terms, x, replace=False)) for x in r.integers(1, 150, 300)]
+    cuts, flat = np.cumsum([0, *map(len, asked)]), np.concatenate(asked)
+    want = [index.top(own, idf[own], k) for own in asked]
+    for part in (None, 0.8, 1.0):
+        floor = np.array([-np.inf if part is None else part * w[1][-1] for w in want])
+        q, found, score = index.best(cuts, flat, idf, k, floor)
+        for i, (docs, scores) in enumerate(want):
+            assert found[q == i].tolist() == docs.tolist() and score[q == i] == pytest.approx(scores, abs=2e-6)
+    index.read = 0
+    assert not len(index.best(cuts, flat, idf, k, np.full(len(asked), 1e6))[0]) and index.read == 0
+
+
 def test_search_of_odd_rows(spark):
     """Query rows of one id have results of their own; null ids are left out; other columns may have any name."""
     docs = spark.createDataFrame([(1, "red green", 0), (2, "green blue", 1), (2, "green blue", 1), (None, "red", 2), (4, None, 3), (5, "", 4)], "doc_id long, text string, score int")
