@@ -24,9 +24,10 @@ def normalised(rows: DataFrame, fields: dict[str, str] = FIELDS) -> DataFrame:
     return rows.withColumns({f"{side}_{f}": field(f, F.col(f"{name}_{f}")) for f in fields for side, name in (("g", "gold"), ("p", "pred"))})
 
 
-def with_diagnostics(rows: DataFrame, tolerance: float = 0.01, fields: dict[str, str] = FIELDS) -> DataFrame:
-    """M9: one struct ``d_<field>`` a field, from normalised values."""
-    return rows.withColumns({f"d_{f}": F.struct(*(c.alias(k) for k, c in M.diagnostics(f, F.col(f"p_{f}"), F.col(f"g_{f}"), tolerance).items()), F.col(f"g_{f}").isNotNull().alias("has_gold")) for f in fields})
+def with_diagnostics(rows: DataFrame, tolerance: float = 0.01, fields: dict[str, str] = FIELDS, only: tuple[str, ...] | None = None) -> DataFrame:
+    """M9: one struct ``d_<field>`` a field, from normalised values; with ``only`` no other measures than these, since what
+    is exploded later is computed whole."""
+    return rows.withColumns({f"d_{f}": F.struct(*(c.alias(k) for k, c in M.diagnostics(f, F.col(f"p_{f}"), F.col(f"g_{f}"), tolerance).items() if only is None or k in only), F.col(f"g_{f}").isNotNull().alias("has_gold")) for f in fields})
 
 
 def tall(rows: DataFrame, *keys: str, fields: dict[str, str] = FIELDS) -> DataFrame:

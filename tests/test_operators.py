@@ -327,3 +327,11 @@ def test_mentions_are_looked_for_once_however_many_roles_are_read(spark, data):
 def test_small_tables_are_dealt_in_parts_that_grow_with_their_files(spark, data):
     one = views.load(spark, data, "orders")
     assert views.spread(one).rdd.getNumPartitions() == 32 * one.rdd.getNumPartitions()
+
+
+def test_missing_fields_compute_no_measures(spark, data):
+    """Only what is returned is computed before the rows are exploded and packed."""
+    from attestra.plans.queries import missing_fields
+
+    plan = missing_fields(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan and "zip_with" not in plan
