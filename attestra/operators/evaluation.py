@@ -46,32 +46,33 @@ def wide(diagnosed: DataFrame, *keys: str, fields: dict[str, str] = FIELDS) -> D
     return diagnosed.select(*keys, *columns)
 
 
-def from_wide(rows: DataFrame, *keys: str, tolerance: float = 0.01, fields: dict[str, str] = FIELDS) -> DataFrame:
+def from_wide(rows: DataFrame, *keys: str, tolerance: float = 0.01, fields: dict[str, str] = FIELDS, only: tuple[str, ...] | None = None) -> DataFrame:
     """P10: the result layout as one row a document and field. Columns that a run lacks count as no match,
-    ``missing``; the amount's tolerance is computed from the stored values where it is absent."""
+    ``missing``; the amount's tolerance is computed from the stored values where it is absent. With ``only`` no other
+    measures than these. What is exploded is a column of its own: a projection may share the parsed texts between
+    fields, a generator does not.
+    """
     have = set(rows.columns)
 
     def col(name: str, kind: str) -> Column:
         return F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
 
-    gold = F.from_json("gold_json", "map<string,string>") if "gold_json" in have else F.lit(None).cast("map<string,string>")
-    pred = F.from_json("pred_json", "map<string,string>") if "pred_json" in have else F.lit(None).cast("map<string,string>")
+    stored = {f"_{side}": F.from_json(f"{side}_json", "map<string,string>") if f"{side}_json" in have else F.lit(None).cast("map<string,string>") for side in ("gold", "pred")}
+    parsed = rows.withColumns(stored)
     each = []
     for f in fields:
-        g, p = F.try_element_at(gold, F.lit(f)), F.try_element_at(pred, F.lit(f))
+        g, p = F.try_element_at("_gold", F.lit(f)), F.try_element_at("_pred", F.lit(f))
         tol = col(f"within_tol_{f}", "boolean")
         if f in AMOUNT_FIELDS:
             gn, pn = field(f, g), field(f, p)
             tol = F.coalesce(tol, M.within_tolerance(pn, gn, tolerance))
-        each.append(
-            F.struct(
-                F.lit(f).alias("field"), p.alias("pred_value"), g.alias("gold_value"), F.coalesce(col(f"match_{f}", "boolean"), F.lit(False)).alias("is_match"),
-                F.coalesce(col(f"error_type_{f}", "string"), F.lit("missing")).alias("error_type"), finite(col(f"edit_sim_{f}", "double")).alias("edit_similarity"),
-                finite(col(f"digit_acc_{f}", "double")).alias("digit_acc"), finite(col(f"abs_error_{f}", "double")).alias("abs_error"), tol.alias("within_tolerance"),
-                g.isNotNull().alias("has_gold"),
-            )
-        )
-    return rows.select(*keys, F.explode(F.array(*each)).alias("x")).select(*keys, "x.*")
+        measures = {
+            "is_match": F.coalesce(col(f"match_{f}", "boolean"), F.lit(False)), "error_type": F.coalesce(col(f"error_type_{f}", "string"), F.lit("missing")),
+            "edit_similarity": finite(col(f"edit_sim_{f}", "double")), "digit_acc": finite(col(f"digit_acc_{f}", "double")),
+            "abs_error": finite(col(f"abs_error_{f}", "double")), "within_tolerance": tol,
+        }
+        each.append(F.struct(F.lit(f).alias("field"), p.alias("pred_value"), g.alias("gold_value"), *(c.alias(k) for k, c in measures.items() if only is None or k in only), g.isNotNull().alias("has_gold")))
+    return parsed.select(*keys, F.array(*each).alias("_each")).select(*keys, F.explode("_each").alias("x")).select(*keys, "x.*")
 
 
 def ratio(top: Column, bottom: Column) -> Column:

@@ -66,8 +66,8 @@ def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = E.wide(rows, "id", "ocr_engine", "extractor", "status", "gold_json", "pred_json")
     path = T.shared_path(spark, "results")
     T.write_results(wide.where("extractor = 'regex'"), path)
-    T.append_results(wide, path)
-    return E.from_wide(T.read_results(spark, path), "id").select("id", "field", "is_match", "error_type", F.round("edit_similarity", 6).alias("edit_similarity"), "gold_value", "pred_value")
+    T.append_results(wide, path, once=False)
+    return E.from_wide(T.read_results(spark, path), "id", only=("is_match", "error_type", "edit_similarity")).select("id", "field", "is_match", "error_type", F.round("edit_similarity", 6).alias("edit_similarity"), "gold_value", "pred_value")
 
 
 @query("SELECT 'r1' AS run_id, 200 AS sample_size, 42 AS seed_value, 'tesseract' AS ocr_engine, true AS named")

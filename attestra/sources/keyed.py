@@ -2,8 +2,10 @@
 
 Beside a table's files lies a small index, one entry for each file: the least and the greatest key, and a Bloom
 filter in blocks of 512 bits, so that a key looks at one block of a file. A batch is held against the
-index, and only the files that may have one of its keys are read; their keys decide. A file that an
-interrupted append left without an entry is always read, and gets its entry with the next append.
+index, and only the files that may have one of its keys are read; their keys decide. A file with no more
+rows than the batch has keys is read without a test, since testing all keys would cost more: tests are
+never more than the table's rows. A file that an interrupted append left without an entry is always read,
+and gets its entry with the next append.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def _there(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def index_files(spark: SparkSession, path: str, key: str) -> None:
@@ -46,8 +48,8 @@ def index_files(spark: SparkSession, path: str, key: str) -> None:
         return
     keys = spark.read.option("basePath", path).parquet(*new).select(F.col(key).alias("key"), _name(F.col("_metadata.file_path")).alias("file"))
     block, bits = _places(F.col("key"))
-    words = [F.expr(f"bit_or(CASE WHEN shiftright(bit, 6) = {w} THEN shiftleft(1L, bit & 63) ELSE 0L END)") for w in range(8)]
-    placed = keys.where("key IS NOT NULL").select("file", block.alias("block"), F.explode(bits).alias("bit"))
+    words = [F.expr("bit_or(" + " | ".join(f"CASE WHEN shiftright(bits[{i}], 6) = {w} THEN shiftleft(1L, bits[{i}] & 63) ELSE 0L END" for i in range(BITS)) + ")") for w in range(8)]
+    placed = keys.where("key IS NOT NULL").select("file", block.alias("block"), bits.alias("bits"))
     placed.groupBy("file", "block").agg(F.array(*words).alias("words")).coalesce(4).write.mode("append").parquet(f"{path}/{INDEX}/blocks")
     # Last, since an entry here says that the filter is whole.
     keys.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).coalesce(1).write.mode("append").parquet(f"{path}/{INDEX}/files")
@@ -62,27 +64,32 @@ def files_with(keys: DataFrame, path: str, key: str) -> list[str]:
     every = {f.rsplit("/", 1)[-1]: f for f in data.inputFiles()}
     if files is None or blocks is None:
         return list(every.values())
-    block, bits = _places(F.col("key"))
-    asked = keys.select(F.col(key).alias("key")).where("key IS NOT NULL").distinct().select("key", block.alias("block"), bits.alias("bits"))
-    span = asked.agg(F.min("key"), F.max("key")).first()
-    known = {r["file"] for r in files.select("file").collect()}
-    near = files.select("file", "lo", "hi").where((F.col("lo") <= F.lit(span[1])) & (F.col("hi") >= F.lit(span[0]))) if span[0] is not None else files.where("false").select("file", "lo", "hi")
-    held = F.expr("forall(bits, b -> shiftright(get(words, shiftright(b, 6)), b & 63) & 1L = 1L)")
-    tested = blocks.join(near, "file").join(asked, "block").where((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")) & held)
-    hit = {r["file"] for r in tested.select("file").distinct().collect()}
+    asked = keys.select(F.col(key).alias("key")).where("key IS NOT NULL")
+    n, low, high = asked.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
+    entries = files.select("file", "n", ((F.col("lo") <= F.lit(high)) & (F.col("hi") >= F.lit(low))).alias("near")).collect() if n else files.select("file", "n", F.lit(False).alias("near")).collect()
+    known = {r["file"] for r in entries}
+    hit = {r["file"] for r in entries if r["near"] and r["n"] <= n}
+    if any(r["near"] and r["n"] > n for r in entries):
+        block, bits = _places(F.col("key"))
+        placed = asked.distinct().select("key", block.alias("block"), bits.alias("bits"))
+        large = files.select("file", "lo", "hi").where((F.col("n") > n) & (F.col("lo") <= F.lit(high)) & (F.col("hi") >= F.lit(low)))
+        held = F.expr("forall(bits, b -> shiftright(get(words, shiftright(b, 6)), b & 63) & 1L = 1L)")
+        tested = blocks.join(large, "file").join(placed, "block").where((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")) & held)
+        hit |= {r["file"] for r in tested.select("file").distinct().collect()}
     return [f for name, f in every.items() if name in hit or name not in known]
 
 
-def append_keyed(new: DataFrame, path: str, key: str = "id") -> None:
+def append_keyed(new: DataFrame, path: str, key: str = "id", once: bool = True) -> None:
     """Adds the rows whose key isn't there; repeats within ``new`` and null keys stay. What is there is not written again.
 
     A batch given again after a failure adds nothing: what the failed append had written is read as a file without
-    an entry. ``new`` is made once.
+    an entry. ``new`` is made once and stored before its keys are looked at; without ``once``, for rows that come out alike
+    each time, nothing is stored first: the keys are made alone, then the rows.
     """
     from attestra.sources.tables import materialised
 
     spark = new.sparkSession
-    if _there(spark, path) is not None:
+    if once and _there(spark, path) is not None:
         new = materialised(new)
     files = files_with(new, path, key)
     if files:

@@ -232,9 +232,9 @@ def write_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def append_results(new: DataFrame, path: str, key: str = "id") -> None:
+def append_results(new: DataFrame, path: str, key: str = "id", once: bool = True) -> None:
     """SNK2: adds the rows whose key isn't there; of what is there only the keys of files that may have one of them are read."""
-    append_keyed(new, path, key)
+    append_keyed(new, path, key, once)
 
 
 def write_seed(rows: DataFrame, path: str) -> None:

@@ -72,3 +72,23 @@ def test_keys_of_text(spark, tmp_path):
     keyed.append_keyed(rows("a", "b", "é"), path)
     keyed.append_keyed(rows("b", "c"), path)
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "é"]
+
+
+def test_files_no_larger_than_the_batch_are_read_without_a_test_of_each_key(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(0, 4000, 2, 4).write.parquet(path)
+    keyed.index_files(spark, path, "id")
+    monkeypatch.setattr(keyed, "_places", lambda key: (_ for _ in ()).throw(AssertionError("tested")))
+    assert len(keyed.files_with(spark.range(900, 1600), path, "id")) == 2  # 500 rows a file; two of the four files hold no key of this range
+    with pytest.raises(AssertionError, match="tested"):
+        keyed.files_with(spark.range(1000, 1100), path, "id")
+
+
+def test_rows_that_come_out_alike_are_not_stored_first(spark, tmp_path, monkeypatch):
+    from attestra.sources import tables
+
+    path = str(tmp_path / "t")
+    keyed.append_keyed(batch(spark, range(150), "one"), path)
+    monkeypatch.setattr(tables, "materialised", lambda df: (_ for _ in ()).throw(AssertionError("stored")))
+    keyed.append_keyed(batch(spark, range(100, 200), "two"), path, once=False)
+    assert read(spark, path) == sorted([(i, "one") for i in range(150)] + [(i, "two") for i in range(150, 200)])

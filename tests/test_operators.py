@@ -335,3 +335,13 @@ def test_missing_fields_compute_no_measures(spark, data):
 
     plan = missing_fields(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" not in plan and "zip_with" not in plan
+
+
+def test_stored_values_are_not_parsed_inside_the_generator(spark):
+    rows = spark.createDataFrame([("d", '{"sum": "1,5", "ikz": "12"}', '{"sum": "1.5"}', True)], "id string, gold_json string, pred_json string, match_sum boolean")
+    tall = E.from_wide(rows, "id", only=("is_match", "error_type"))
+    plan = tall._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [line for line in plan if "Generate explode" in line] and not any("Generate" in line and "from_json" in line for line in plan)
+    got = {r.field: (r.gold_value, r.pred_value, r.is_match, r.error_type, r.has_gold) for r in tall.collect()}
+    assert got["sum"] == ("1,5", "1.5", True, "missing", True) and got["ikz"] == ("12", None, False, "missing", True) and len(got) == 8
+    assert tall.columns == ["id", "field", "pred_value", "gold_value", "is_match", "error_type", "has_gold"]
