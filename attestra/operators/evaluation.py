@@ -36,13 +36,13 @@ def tall(rows: DataFrame, *keys: str, fields: dict[str, str] = FIELDS) -> DataFr
     return rows.select(*keys, each.alias("x")).select(*keys, "x.field", "x.pred_value", "x.gold_value", "x.d.*")
 
 
-def wide(diagnosed: DataFrame, *keys: str, fields: dict[str, str] = FIELDS) -> DataFrame:
-    """The result layout ``match_<f>, error_type_<f>`` and, where they apply, the measures."""
+def wide(diagnosed: DataFrame, *keys: str, fields: dict[str, str] = FIELDS, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The result layout ``match_<f>, error_type_<f>`` and, where they apply, the measures; with ``only`` no other measures than these."""
     columns = []
     for f in fields:
         columns += [F.col(f"d_{f}.is_match").alias(f"match_{f}"), F.col(f"d_{f}.error_type").alias(f"error_type_{f}")]
         applies = {"edit_similarity": f in ID_FIELDS or f in DATE_FIELDS, "digit_acc": f in ID_FIELDS, "abs_error": f in AMOUNT_FIELDS, "within_tolerance": f in AMOUNT_FIELDS}
-        columns += [F.col(f"d_{f}.{m}").alias(f"{short}_{f}") for m, short in MEASURES.items() if applies[m]]
+        columns += [F.col(f"d_{f}.{m}").alias(f"{short}_{f}") for m, short in MEASURES.items() if applies[m] and (only is None or m in only)]
     return diagnosed.select(*keys, *columns)
 
 
@@ -50,7 +50,8 @@ def from_wide(rows: DataFrame, *keys: str, tolerance: float = 0.01, fields: dict
     """P10: the result layout as one row a document and field. Columns that a run lacks count as no match,
     ``missing``; the amount's tolerance is computed from the stored values where it is absent. With ``only`` no other
     measures than these. What is exploded is a column of its own: a projection may share the parsed texts between
-    fields, a generator does not.
+    fields, a generator does not. It is exploded as outer, though it never is empty: else the optimizer asks for its size
+    in a filter, which it moves down to the scan with all that the column is made of.
     """
     have = set(rows.columns)
 
@@ -72,7 +73,7 @@ def from_wide(rows: DataFrame, *keys: str, tolerance: float = 0.01, fields: dict
             "abs_error": finite(col(f"abs_error_{f}", "double")), "within_tolerance": tol,
         }
         each.append(F.struct(F.lit(f).alias("field"), p.alias("pred_value"), g.alias("gold_value"), *(c.alias(k) for k, c in measures.items() if only is None or k in only), g.isNotNull().alias("has_gold")))
-    return parsed.select(*keys, F.array(*each).alias("_each")).select(*keys, F.explode("_each").alias("x")).select(*keys, "x.*")
+    return parsed.select(*keys, F.array(*each).alias("_each")).select(*keys, F.explode_outer("_each").alias("x")).select(*keys, "x.*")
 
 
 def ratio(top: Column, bottom: Column) -> Column:

@@ -345,3 +345,12 @@ def test_stored_values_are_not_parsed_inside_the_generator(spark):
     got = {r.field: (r.gold_value, r.pred_value, r.is_match, r.error_type, r.has_gold) for r in tall.collect()}
     assert got["sum"] == ("1,5", "1.5", True, "missing", True) and got["ikz"] == ("12", None, False, "missing", True) and len(got) == 8
     assert tall.columns == ["id", "field", "pred_value", "gold_value", "is_match", "error_type", "has_gold"]
+
+
+def test_diagnoses_are_not_computed_in_the_scan(spark, data):
+    """No filter asks for the size of what is exploded: it would compute all diagnoses of a table in the tasks that read it, before it is dealt, and again after."""
+    tall = Q.tall_results(spark, data)
+    plan = tall._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Generate explode" in line for line in plan)
+    assert not any("size(" in line for line in plan if "Filter" in line)
+    assert sum("levenshtein" in line for line in plan) == 1 and not any("zip_with" in line for line in plan)
