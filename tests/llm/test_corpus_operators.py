@@ -353,6 +353,34 @@ def test_many_queries_together():
     assert not len(index.best(cuts, flat, idf, k, np.full(len(asked), 1e6))[0]) and index.read == 0
 
 
+def test_blocks_hold_documents_of_one_kind():
+    """Documents of two vocabularies stand in blocks of their own: queries in one of them add nothing up in the other's blocks; results are as plain sums."""
+    r = np.random.default_rng(7)
+    n, terms, k = 3000, 120, 5
+    side = r.integers(0, 2, n)  # dealt at random
+    words = [np.unique(np.append(r.choice(60, 30) + 60 * s, 60 * s)) for s in side]
+    doc, term = np.repeat(np.arange(n), list(map(len, words))), np.concatenate(words)
+    count, lengths = r.integers(1, 4, len(doc)), r.integers(50, 60, n)
+    place, blocks = topk_search._places(doc, term, count, n)
+    assert len(set(place.tolist())) == n and place.max() < blocks * topk_search.BLOCK
+    assert all(len(set(side[place // topk_search.BLOCK == b].tolist())) == 1 for b in range(blocks))
+    by = np.argsort(place[doc], kind="stable")
+    ids, size = np.full(blocks * topk_search.BLOCK, -1), np.ones(blocks * topk_search.BLOCK, np.int64)
+    ids[place], size[place] = np.arange(n), lengths
+    index = topk_search.Index(ids, size, place[doc][by], term[by], count[by], 55.0, terms)
+    asked = [np.sort(r.choice(60, 12, replace=False)) for _ in range(80)]  # all of the first kind
+    idf = np.ones(terms)
+    opened, together = [], index._together
+    index._together = lambda block, *a: opened.append(block) or together(block, *a)
+    q, found, score = index.best(np.cumsum([0, *map(len, asked)]), np.concatenate(asked), idf, k, np.full(80, -np.inf))
+    assert opened and {int(side[place // topk_search.BLOCK == b][0]) for b in opened} == {0}
+    impact = count * 2.2 / (count + 1.2 * (0.25 + 0.75 * lengths[doc] / 55.0))
+    for i, own in enumerate(asked):
+        want = np.round(np.bincount(doc, np.isin(term, own) * impact, minlength=n), 6)
+        best = np.lexsort((np.arange(n), -want))[:k]
+        assert ids[found[q == i]].tolist() == best.tolist() and score[q == i] == pytest.approx(want[best], abs=2e-6)
+
+
 def test_search_of_odd_rows(spark):
     """Query rows of one id have results of their own; null ids are left out; other columns may have any name."""
     docs = spark.createDataFrame([(1, "red green", 0), (2, "green blue", 1), (2, "green blue", 1), (None, "red", 2), (4, None, 3), (5, "", 4)], "doc_id long, text string, score int")
