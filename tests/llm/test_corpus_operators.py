@@ -381,6 +381,31 @@ def test_blocks_hold_documents_of_one_kind():
         assert ids[found[q == i]].tolist() == best.tolist() and score[q == i] == pytest.approx(want[best], abs=2e-6)
 
 
+def test_texts_become_terms_once(spark, data):
+    """What answers the queries reads stored terms, not the texts."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    found = topk_search.search(docs, docs.where("doc_id % 20 = 0"))
+    assert found.inputFiles() and all("bm25-documents" in f for f in found.inputFiles())
+
+
+def test_terms_that_share_a_name_are_named_anew(spark, mixed_rows, docs, monkeypatch):
+    seeds = spark.sparkContext.accumulator(0)
+
+    class Clash(topk_search.Named):
+        def named(self):
+            one = super().named()
+            seeds.add(self.seed)
+            return one % 97 if self.seed == 0 else one
+
+    monkeypatch.setattr(topk_search, "Named", Clash)
+    want, got = brute_search(mixed_rows, 10), {}
+    for r in topk_search.search(docs, docs.where("doc_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    assert seeds.value > 0
+    assert {q: len(x) for q, x in got.items()} == {q: len(x) for q, x in want.items() if x}
+    assert all(got[q] == pytest.approx([s for _, s in x], abs=2e-6) for q, x in want.items() if x)
+
+
 def test_search_of_odd_rows(spark):
     """Query rows of one id have results of their own; null ids are left out; other columns may have any name."""
     docs = spark.createDataFrame([(1, "red green", 0), (2, "green blue", 1), (2, "green blue", 1), (None, "red", 2), (4, None, 3), (5, "", 4)], "doc_id long, text string, score int")
